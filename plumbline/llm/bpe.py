@@ -55,7 +55,7 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]):
         n = self.n = len(keys)
         self.buckets = max(1, n // 2)
-        hashes = [xxhash.xxh3_128_intdigest(k) for k in keys]
+        hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
         rows: dict[int, list[int]] = {}
         for i, h in enumerate(hashes):
             rows.setdefault(h % self.buckets, []).append(i)
@@ -85,11 +85,11 @@ class PerfectHash:
         self.slots = self.slots.tolist()
 
     def _place(self, h: int, shift: int) -> int:
-        return ((h >> 64) + shift * ((h >> 32) & 0xFFFFFFFF | 1)) % self.n
+        return ((h >> 24) + shift * (h >> 40 | 1)) % self.n
 
     def __call__(self, key: bytes) -> int:
         """The only key that ``key`` can be; the caller compares."""
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_64_intdigest(key)
         shift = self.shift[h % self.buckets]
         return self.slots[-shift - 1 if shift < 0 else self._place(h, shift)]
 
@@ -104,6 +104,10 @@ class Vocabulary:
 
     def _ready(self) -> None:
         self.split = regex.compile(self.pattern).findall
+        ids = {t: i for i, t in enumerate(self.tokens)}
+        self.bytes = [ids.get(bytes([b]), -1) for b in range(256)]
+        # what two neighbouring tokens merge into
+        self.pairs = {ids[t[:i]] << 32 | ids[t[i:]]: x for t, x in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids}
         self.memo = _Memo(self)
 
     def __getstate__(self) -> dict:
@@ -120,30 +124,29 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no token: the pair of lowest rank merges first, the leftmost of equals."""
-        n, rank = len(piece), self.rank
-        end = list(range(1, n + 1))  # of the part that starts here; 0 once it has merged away
+        n, pair = len(piece), self.pairs.get
+        ids = [self.bytes[b] for b in piece]
+        if min(ids) < 0:
+            raise ValueError("a single byte has no token")
+        after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
+        heap = [(r, i) for i in range(n - 1) if (r := pair(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            middle = end[i]
-            if not middle or middle >= n or end[middle] != stop:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or pair(ids[i] << 32 | ids[j]) != rank:
                 continue  # one of the two parts has changed since
-            end[i], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = i
-                if (r := rank(piece[i : end[stop]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (left := before[i]) >= 0 and (r := rank(piece[left:stop])) >= 0:
-                heapq.heappush(heap, (r, left, stop))
-        ids, i = [], 0
-        while i < n:
-            ids.append(rank(piece[i : end[i]]))
-            i = end[i]
-        if min(ids, default=0) < 0:
-            raise ValueError("a single byte has no token")
-        return ids
+            ids[i], ids[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := pair(rank << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := pair(ids[h] << 32 | rank)) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
         """Ids as packed 32-bit integers."""
