@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import add
 
 MEMO_ENTRIES = 1 << 18
-#: Pre-tokens beyond this many bytes are not kept in the memo.
-MEMO_BYTES = 64
+#: Longer pre-tokens are not kept in the memo.
+MEMO_CHARS = 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -107,7 +108,7 @@ class Vocabulary:
         ids = {t: i for i, t in enumerate(self.tokens)}
         self.bytes = [ids.get(bytes([b]), -1) for b in range(256)]
         # what two neighbouring tokens merge into
-        self.pairs = {ids[t[:i]] << 32 | ids[t[i:]]: x for t, x in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids}
+        self.pairs = {(ids[t[:i]], ids[t[i:]]): x for t, x in ids.items() for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids}
         self.memo = _Memo(self)
 
     def __getstate__(self) -> dict:
@@ -124,28 +125,29 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no token: the pair of lowest rank merges first, the leftmost of equals."""
-        n, pair = len(piece), self.pairs.get
+        n, pair, push, pop = len(piece), self.pairs.get, heapq.heappush, heapq.heappop
         ids = [self.bytes[b] for b in piece]
         if min(ids) < 0:
             raise ValueError("a single byte has no token")
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := pair(ids[i] << 32 | ids[i + 1])) is not None]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # a candidate is rank << 32 | place of its left part
+        heap = [r << 32 | i for i, r in enumerate(map(pair, zip(ids, ids[1:]))) if r is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
+            top = pop(heap)
+            i, rank = top & 0xFFFFFFFF, top >> 32
             j = after[i]
-            if ids[i] < 0 or j >= n or pair(ids[i] << 32 | ids[j]) != rank:
+            if j >= n or ids[i] < 0 or pair((ids[i], ids[j])) != rank:
                 continue  # one of the two parts has changed since
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pair(rank << 32 | ids[k])) is not None:
-                    heapq.heappush(heap, (r, i))
+                if (r := pair((rank, ids[k]))) is not None:
+                    push(heap, r << 32 | i)
             h = before[i]
-            if h >= 0 and (r := pair(ids[h] << 32 | rank)) is not None:
-                heapq.heappush(heap, (r, h))
+            if h >= 0 and (r := pair((ids[h], rank))) is not None:
+                push(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -154,18 +156,21 @@ class Vocabulary:
 
 
 class _Memo(dict):
-    """Pre-token -> packed ids."""
+    """Pre-token -> packed ids.  When full it becomes the older of two generations, from which what is asked for again comes back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, word: str) -> bytes:
-        piece = word.encode("utf-8")
-        one = self.vocabulary.rank(piece)
-        packed = np.array([one] if one >= 0 else self.vocabulary.merge(piece), np.int32).tobytes()
-        if len(piece) <= MEMO_BYTES:
+        packed = self.older.get(word)
+        if packed is None:
+            piece = word.encode("utf-8")
+            one = self.vocabulary.rank(piece)
+            packed = array("i", [one] if one >= 0 else self.vocabulary.merge(piece)).tobytes()
+        if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed
