@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, langid, linededup, simhash
+from plumbline.llm import bpe, langid, linededup, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, vocab), vocab))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(langid.remainder(5) == 0, F.lit(False))
+    learned = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(langid.remainder(5) != 0)
+    model = toxicity.fit(docs.join(learned, "doc_id"))
+    return toxicity.tag(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", F.to_json("spans").alias("spans"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.members(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,6 +44,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
