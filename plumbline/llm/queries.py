@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, langid, linededup, simhash, toxicity
+from plumbline.llm import bpe, decontam, langid, linededup, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -42,12 +42,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.match(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
