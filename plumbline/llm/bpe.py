@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import add
 
-MEMO_ENTRIES = 1 << 18
+MEMO_ENTRIES = 1 << 17
 #: Longer pre-tokens are not kept in the memo.
 MEMO_CHARS = 64
 

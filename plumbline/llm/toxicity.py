@@ -45,7 +45,7 @@ REACH = 8
 CLEAN_WINDOWS = 3
 BUCKETS = 1 << 18
 STEPS = 80
-MEMO_ENTRIES = 1 << 18
+MEMO_ENTRIES = 1 << 17
 
 _RUNS = re.compile(r"[^\W\d_]+").findall
 
