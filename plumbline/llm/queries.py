@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, langid, linededup, simhash, toxicity
+from plumbline.llm import bpe, decontam, langid, linededup, media, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -48,6 +48,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), "text")
+    found = media.sniff(media.pack(docs).drop("text").withColumn("declared", F.lit("text/plain")))
+    return found.withColumn("read", media.features(F.col("content"), F.col("media_type"))).select(
+        "doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", F.octet_length("content").cast("long").alias("media_bytes"), F.sha2("content", 256).alias("media_sha256"), "read.feature", "media_type", "corrected", F.size("embedded").alias("n_embedded")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_media": op9_media,
 }
 
 ORACLES: dict[str, str] = {
