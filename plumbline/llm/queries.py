@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, langid, linededup, media, simhash, toxicity
+from plumbline.llm import bpe, decontam, langid, linededup, media, quality, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -56,6 +56,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source, its path the section of that source in its language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    classifier = quality.fit(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    return quality.grade(docs, classifier)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_media": op9_media,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
