@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, langid, linededup, media, quality, simhash, substrings, toxicity
+from plumbline.llm import bpe, decontam, langid, linededup, media, quality, simhash, substrings, toxicity, wrappers
 from plumbline.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op6_html": op6_html,
     "op7_substrings": op7_substrings,
     "op8_decontamination": op8_decontamination,
     "op9_media": op9_media,
