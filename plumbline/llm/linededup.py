@@ -7,8 +7,8 @@ their lines but those of the largest doc_id that holds them; what stays is put t
 again by position.
 
 Each document sends every key once, so a line that a third of all documents share costs
-a count per task in the aggregation, and in the join back its rows are split by the
-adaptive skew join; texts travel once, by their own id.
+a count per task in the aggregation, and in the join back its rows are dealt to
+``SALTS`` tasks; texts travel once, by their own id.
 
 Defined results: a null or empty text is one empty line.  Rows of the same doc_id are
 one document for counting, and each keeps its own lines; a null doc_id adds nothing to
@@ -30,6 +30,8 @@ from plumbline.llm.common import ASCII_SPACE, add, free_name
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Parts that the rows of one key are dealt to.
+SALTS = 32
 
 
 def _key(line: str, min_chars: int) -> bytes | None:
@@ -60,8 +62,11 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int
     common = lines.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     gone = free_name(df, "gone")
     doc = free_name(df, "doc")
+    # a line that many documents share is dealt to SALTS tasks
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("byte"))
+    common = common.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("byte") for i in range(SALTS)])))
     drops = (
-        lines.join(common, ["h1", "h2"])
+        lines.join(common, ["h1", "h2", "salt"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc").alias(doc))
         .agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
