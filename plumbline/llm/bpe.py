@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add
+from plumbline.llm.common import add, arrow
 
 MEMO_ENTRIES = 1 << 17
 #: Longer pre-tokens are not kept in the memo.
@@ -196,8 +196,7 @@ def ids_of(spark: SparkSession, vocab: Vocabulary, text: Column) -> Column:
             np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
+    return arrow(run, "array<int>")(text)
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -222,8 +221,7 @@ def bytes_of(spark: SparkSession, vocab: Vocabulary, ids: Column) -> Column:
             data = joined.buffers()[2] if len(flat) else pa.py_buffer(b"")
             yield pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((ends + start).astype(np.int32).tobytes()), data])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary").asNondeterministic()(ids)
+    return arrow(run, "binary")(ids)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word and line contracts: bytes 0x20 and 0x09-0x0D.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 
+#: Bytes of an Arrow batch, unless the session sets it: long texts then need no more memory than short ones.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
+
+
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the system; the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def arrow(run: Callable[[Iterator], Iterator[pa.Array]], kind: str, several: bool = False) -> Callable:
+    """A column function from one that maps Arrow arrays (tuples of them, if ``several`` columns go in); evaluated once for each use."""
+
+    def each(batches):
+        yield from run(batches)
+        tidy()
+
+    each.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]] if several else Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(each, kind).asNondeterministic()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add
+from plumbline.llm.common import add, arrow
 
 SEED_WORDS = 4
 RARE_DOCS = 20
@@ -205,5 +205,4 @@ def _scan(df: DataFrame, text: str, block: Block, rare: dict, kind: str, min_sco
                 out[d].append({"item_id": one.ids[x], "score": -s, "first_word": int(a - starts[d]), "last_word": int(b - starts[d])})
             yield pa.array(out, pa.list_(pa.struct([("item_id", pa.array(one.ids).type), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind).asNondeterministic()(df[f"`{text}`"])
+    return arrow(run, kind)(df[f"`{text}`"])

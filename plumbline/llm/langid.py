@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add
+from plumbline.llm.common import add, arrow
 
 DIMENSIONS = 512
 CLASSES = 64
@@ -144,8 +144,7 @@ def guess(prototypes: dict[str, np.ndarray], text: Column) -> Column:
                     scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()(text)
+    return arrow(run, "lang_pred string, score double")(text)
 
 
 def remainder(of: int, key: str = "doc_id") -> Column:

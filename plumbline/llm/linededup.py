@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ASCII_SPACE, add, free_name
+from plumbline.llm.common import add, arrow, ASCII_SPACE, free_name
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -90,9 +90,8 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int
                     kept.append(text)
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["n_lines", "n_dropped", "kept"])
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     out = free_name(joined, "lines")
-    made = joined.withColumn(out, F.arrow_udf(run, "n_lines long, n_dropped long, kept string").asNondeterministic()(F.col(f"`{text}`"), F.col(gone)))
+    made = joined.withColumn(out, arrow(run, "n_lines long, n_dropped long, kept string", several=True)(F.col(f"`{text}`"), F.col(gone)))
     return add(made.drop(gone), {"n_lines": F.col(out)["n_lines"], "n_dropped": F.col(out)["n_dropped"], into: F.col(out)["kept"]}).drop(out)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add, free_name
+from plumbline.llm.common import add, arrow, free_name
 
 UNKNOWN = "application/octet-stream"
 BLOCK = 64
@@ -224,9 +224,8 @@ def sniff(df: DataFrame, content: str = "content", declared: str = "declared") -
             kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
             yield pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(lengths, pa.int64()), pa.array(carved, kind)], ["media_type", "media_length", "embedded"])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     name = free_name(df, "media")
-    made = df.withColumn(name, F.arrow_udf(run, "media_type string, media_length long, embedded array<struct<offset:long,length:long,type:string>>").asNondeterministic()(df[f"`{content}`"]))
+    made = df.withColumn(name, arrow(run, "media_type string, media_length long, embedded array<struct<offset:long,length:long,type:string>>")(df[f"`{content}`"]))
     out = F.col(name)
     right = F.col(f"`{declared}`").eqNullSafe(out["media_type"]) if declared in df.columns else F.lit(False)
     return add(made, {"media_type": out["media_type"], "media_length": out["media_length"], "corrected": ~right, "embedded": out["embedded"]}).drop(name)
@@ -258,8 +257,7 @@ def pack(df: DataFrame, text: str = "text", into: str = "content") -> DataFrame:
                 out.append(_wave(b + bytes(-len(b) % BLOCK if b else BLOCK)))
             yield pa.array(out, pa.binary())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return add(df, {into: F.arrow_udf(run, "binary").asNondeterministic()(df[f"`{text}`"])})
+    return add(df, {into: arrow(run, "binary")(df[f"`{text}`"])})
 
 
 def features(content: Column, kind: Column) -> Column:
@@ -286,5 +284,4 @@ def features(content: Column, kind: Column) -> Column:
                 )
             yield pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]))
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string").asNondeterministic()(content, kind)
+    return arrow(run, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", several=True)(content, kind)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import arrow, written
 
 DOCS_PER_LABEL = 6_000
 BINS = 12
@@ -98,8 +98,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
         for batch in batches:
             yield pa.array([features(t.as_py()) for t in batch], pa.list_(pa.float64()))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    seen = sorted((r.x, r.y) for r in picked.select("y", F.arrow_udf(run, "array<double>")("text").alias("x")).collect())
+    seen = sorted((r.x, r.y) for r in picked.select("y", arrow(run, "array<double>")("text").alias("x")).collect())
     y = np.array([v for _, v in seen], float)
     return Classifier(np.array([x for x, _ in seen]), y, np.array([1 / share[int(v)] for v in y]), base)
 
@@ -109,8 +108,7 @@ def evidence(classifier: Classifier, text: Column) -> Column:
         for batch in batches:
             yield pa.array(classifier(batch.to_pylist()), pa.float64())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "double").asNondeterministic()(text)
+    return arrow(run, "double")(text)
 
 
 def _strength(sites: DataFrame, mean: Column) -> float:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import arrow, written
 from plumbline.llm.components import components
 
 WORDS = 3
@@ -65,8 +65,7 @@ def fingerprints(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
         for batch in batches:
             yield pa.array([fingerprint(t.as_py(), words, seed) for t in batch], pa.int64())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "long").asNondeterministic()(text)
+    return arrow(run, "long")(text)
 
 
 def _signatures(points: DataFrame, segments: int) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add, free_name
+from plumbline.llm.common import add, arrow, free_name
 
 TOXIC_DOCS = 3_000
 CLEAN_DOCS = 6_000
@@ -166,8 +166,7 @@ def sample(labelled: DataFrame, text: str, label: str, key: str, toxic: int = TO
                 out.append(min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0) >> 1)
             yield pa.array(out, pa.int64())
 
-    sketch.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    once = picked.withColumn("sketch", F.arrow_udf(sketch, "long")("text")).groupBy("sketch", "y").agg(F.min("text").alias("text"))
+    once = picked.withColumn("sketch", arrow(sketch, "long")("text")).groupBy("sketch", "y").agg(F.min("text").alias("text"))
     return once.select("text", "y"), share
 
 
@@ -302,8 +301,7 @@ def _marked(model: Model, text: Column) -> Column:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.StructArray.from_arrays([pa.array(model.score(highest, likely), pa.float64()), pa.array(highest, pa.float64()), pa.array(spans, kind)], ["score", "highest", "spans"])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "score double, highest double, spans array<struct<start:int,end:int,p:double>>").asNondeterministic()(text)
+    return arrow(run, "score double, highest double, spans array<struct<start:int,end:int,p:double>>")(text)
 
 
 def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add, free_name
+from plumbline.llm.common import add, arrow, free_name
 
 SALTS = 32
 #: A slot whose text is the same on all pages is the host's own, from this many pages.
@@ -317,6 +317,5 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str =
                 out.append(known[w](page.as_py()))
             yield pa.array(out, pa.string())
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    made = add(joined, {into: F.arrow_udf(run, "string").asNondeterministic()(F.col(f"`{html}`"), F.col(wrapper))})
+    made = add(joined, {into: arrow(run, "string", several=True)(F.col(f"`{html}`"), F.col(wrapper))})
     return made.drop(host, own, wrapper)
