@@ -76,6 +76,22 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, most: dict[int, int]) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
+    """(text, y) of a bounded number of labelled documents, the number of labels of each kind, and the share of them that was taken.
+
+    Labels above 0 are 1.  Of each kind at most ``most`` are taken in expectation, by a
+    hash of the key.  The labels are chosen first, so what is broadcast to the documents
+    is that many keys at most, and texts don't move.
+    """
+    known = labels.select(F.col(f"`{key}`").alias("key"), (F.col(f"`{label}`") > 0).cast("int").alias("y")).where("y is not null and key is not null")
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = {y: min(1.0, most[y] / n) for y, n in sizes.items()}
+    part = F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
+    picked = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < part * (1 << 20))
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    return texts.join(F.broadcast(picked), "key").select("text", "y"), sizes, share
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use, whatever the case."""
     used = {c.lower() for c in df.columns}

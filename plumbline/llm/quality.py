@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow, written
+from plumbline.llm.common import arrow, labelled_sample, written
 
 DOCS_PER_LABEL = 6_000
 BINS = 12
@@ -86,13 +86,11 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self._spread(np.array([features(t) for t in texts]).reshape(len(texts), -1)) @ self.w, -30, 30)))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> Classifier:
-    rows = labelled.select(F.col(f"`{text}`").alias("text"), (F.col(f"`{label}`") > 0).cast("int").alias("y"), F.col(f"`{key}`").alias("key")).where("text is not null and y is not null and key is not null")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> Classifier:
+    """A classifier from documents and the labels of some of them."""
+    picked, sizes, share = labelled_sample(docs, labels, text, label, key, {0: DOCS_PER_LABEL, 1: DOCS_PER_LABEL})
     total = sum(sizes.values())
     base = sizes.get(1, 0) / total if total else 0.5
-    share = {y: min(1.0, DOCS_PER_LABEL / n) for y, n in sizes.items()}
-    picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(SCALE)) < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * SCALE)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

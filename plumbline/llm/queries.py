@@ -22,7 +22,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(langid.remainder(5) == 0, F.lit(False))
     learned = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(langid.remainder(5) != 0)
-    model = toxicity.fit(docs.join(learned, "doc_id"))
+    model = toxicity.fit(docs, learned)
     return toxicity.tag(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", F.to_json("spans").alias("spans"))
 
 
@@ -69,7 +69,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's host is its source, its path the section of that source in its language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
-    classifier = quality.fit(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.grade(docs, classifier)
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add, arrow, free_name
+from plumbline.llm.common import add, arrow, free_name, labelled_sample
 
 TOXIC_DOCS = 3_000
 CLEAN_DOCS = 6_000
@@ -151,12 +151,9 @@ def _read(texts: list[str | None], scores: _Scores) -> tuple[np.ndarray, np.ndar
     return highest, likely, places
 
 
-def sample(labelled: DataFrame, text: str, label: str, key: str, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS) -> tuple[DataFrame, dict[int, float]]:
+def sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS) -> tuple[DataFrame, dict[int, float]]:
     """(text, y) of a bounded number of labelled rows, near copies once, and the share of each label that was taken."""
-    rows = labelled.select(F.col(f"`{text}`").alias("text"), (F.col(f"`{label}`") > 0).cast("int").alias("y"), F.col(f"`{key}`").alias("key")).where("text is not null and y is not null and key is not null")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, most / sizes[y]) for y, most in ((0, clean), (1, toxic)) if sizes.get(y)}
-    picked = rows.where((F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * (1 << 20)))
+    picked, _, share = labelled_sample(docs, labels, text, label, key, {0: clean, 1: toxic})
 
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -215,9 +212,9 @@ def _windows(rows: DataFrame, lexicon: set[str]) -> DataFrame:
     return rows.mapInArrow(cut, "words array<string>, marks array<byte>")
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
-    """A model from labelled rows; see the module's docstring for what it reads."""
-    rows, share = sample(labelled, text, label, key)
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
+    """A model from documents and the labels of some of them; see the module's docstring for what it reads."""
+    rows, share = sample(docs, labels, text, label, key)
     if len(share) < 2:
         return Model(base=float(bool(share.get(1))))
     rows = rows.persist()
