@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import add, arrow
 
-DIMENSIONS = 512
+DIMENSIONS = 2_048
 CLASSES = 64
 ORDER = 3
 SEED = 20_240_611
@@ -80,9 +80,9 @@ def profile(text: str | None) -> np.ndarray | None:
     grams, counts = np.unique((codes[:-2] * CLASSES + codes[1:-1]) * CLASSES + codes[2:], return_counts=True)
     pair, last = _bound()
     out, counts = np.zeros(DIMENSIONS, np.float32), counts.astype(np.float32)
-    for at in range(0, len(grams), 4096):
-        g = grams[at : at + 4096]
-        out += counts[at : at + 4096] @ (pair[g // CLASSES] * last[g % CLASSES]).astype(np.float32)
+    for at in range(0, len(grams), 128):
+        g = grams[at : at + 128]
+        out += counts[at : at + 128] @ (pair[g // CLASSES] * last[g % CLASSES]).astype(np.float32)
     return out
 
 
