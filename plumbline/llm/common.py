@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +107,21 @@ def add(df: DataFrame, columns: dict) -> DataFrame:
     names = {c.lower() for c in columns}
     keep = [c for c in df.columns if c.lower() not in names]
     return df.select(*[df[f"`{c}`"] for c in keep], *[c.alias(n) for n, c in columns.items()])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """Weighted logistic regression: Newton steps on the penalised likelihood, halved until they raise it."""
+    weight, w = weight / weight.mean(), np.zeros(x.shape[1])
+    cost = lambda w: float((weight * (np.logaddexp(0, z := x @ w) - y * z)).sum() + ridge * (w @ w) / 2)
+    now = cost(w)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step, size = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - ridge * w), 1.0
+        while size > 1e-4 and cost(w + size * step) > now:
+            size /= 2
+        if size <= 1e-4 or np.abs(size * step).max() < 1e-8:
+            break
+        w = w + size * step
+        now = cost(w)
+    return w

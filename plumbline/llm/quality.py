@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow, labelled_sample, written
+from plumbline.llm.common import arrow, labelled_sample, logistic, written
 
 DOCS_PER_LABEL = 6_000
 BINS = 12
@@ -69,13 +69,7 @@ class Classifier:
         self.base, self.edges = base, [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T] if len(x) else []
         self.w = np.zeros(0)
         if len(x) and 0 < y.mean() < 1:
-            z, w = self._spread(x), np.zeros(1 + sum(len(e) + 1 for e in self.edges))
-            weight = weight / weight.mean()
-            for _ in range(25):
-                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-                hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + np.eye(len(w))
-                w = w + np.clip(np.linalg.solve(hessian, z.T @ (weight * (y - p)) - w), -3, 3)
-            self.w = w
+            self.w = logistic(self._spread(x), y, weight, 1.0)
 
     def _spread(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.ones(len(x)), *[np.eye(len(e) + 1)[np.searchsorted(e, c, side="right")] for e, c in zip(self.edges, x.T, strict=True)]])

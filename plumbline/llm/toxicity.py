@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add, arrow, free_name, labelled_sample
+from plumbline.llm.common import add, arrow, free_name, labelled_sample, logistic
 
 TOXIC_DOCS = 3_000
 CLEAN_DOCS = 6_000
 #: A feature counts as toxic if its log odds ratio less three standard errors is above this.
-MIN_LOG_ODDS = 0.7
+MIN_LOG_ODDS = 0.3
 ERRORS = 3.0
 MIN_DOCS = 5
 #: Words on either side of a marked word that the chain is fitted to, and windows from clean documents for each document.
@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     finally:
         rows.unpersist()
     weight = found["y"].map({y: 1 / s for y, s in share.items()}).to_numpy(float)
-    model.curve = _logistic(np.column_stack((np.ones(len(found)), found["highest"], np.log1p(found["likely"]))), found["y"].to_numpy(float), weight)
+    x = np.column_stack((np.ones(len(found)), found["highest"], np.log1p(found["likely"])))
+    model.curve = tuple(map(float, logistic(x, found["y"].to_numpy(float), weight, 0.1)))
     model.fitted = True
     return model
 
@@ -268,17 +269,6 @@ def _fit_chain(words: list, marks: list) -> Model:
     return Model(theta[:BUCKETS].astype(np.float32), float(theta[BUCKETS]), np.exp(theta[-4:].reshape(2, 2)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Weighted logistic regression by Newton steps with a small penalty."""
-    w = np.zeros(x.shape[1])
-    weight = weight / weight.mean()
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w = w + np.clip(np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 0.1 * w), -2, 2)
-    return tuple(map(float, w))
-
-
 def _marked(model: Model, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = _Scores(model)
