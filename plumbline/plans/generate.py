@@ -70,6 +70,7 @@ class Spec:
                 found.append(f"{c.name}: no such type as {c.ctype}")
             elif c.dist not in TYPES[c.ctype]:
                 found.append(f"{c.name}: {c.ctype} can't be {c.dist}")
+                continue  # its parameters mean nothing then
             found += [f"{c.name}: {op} rate {r} is outside 0 to 1" for op in OPS if not 0 <= (r := getattr(c.mess, op)) <= 1]
             p = c.params
             if c.dist == "uniform" and not p.get("low", 0) <= p.get("high", 1):
