@@ -100,7 +100,7 @@ def links(points: DataFrame, distance: int = DISTANCE, busy: int = BUSY) -> Data
     if distance not in (1, 2):
         raise ValueError("distance: 1 or 2")
     # few bytes become many rows: spread them before, or too few tasks would do it
-    points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = _signatures(points, (distance + 2) // 2)
     sizes = signed.groupBy("bit", "rest").agg(F.count("*").alias("n")).where("n > 1")
     met = written(signed.join(sizes, ["bit", "rest"]), "signatures")
