@@ -36,7 +36,7 @@ SEED_WORDS = 4
 RARE_DOCS = 20
 RARE_TIMES = 4
 MIN_SCORE = 0.4
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 KIND = "array<struct<item_id:{},score:double,first_word:int,last_word:int>>"
 
