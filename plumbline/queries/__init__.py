@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.registry import ORACLES, QUERIES
 
-for _name in ("discovery", "dynamics", "fidelity", "flagship", "generation", "privacy", "relations", "streams", "typing"):
+for _name in ("blueprints", "discovery", "dynamics", "fidelity", "flagship", "generation", "privacy", "relations", "streams", "typing"):
     import_module(f"plumbline.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
