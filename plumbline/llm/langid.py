@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add, arrow
+from plumbline.llm.common import add, arrow, free_name
 
 DIMENSIONS = 2_048
 CLASSES = 64
@@ -121,8 +121,9 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``, the cosine with that language's prototype (0 where it is negative)."""
-    out = F.col("_language")
-    return add(df.withColumn("_language", guess(prototypes, df[f"`{text}`"])), {"lang_pred": out["lang_pred"], "score": out["score"]}).drop("_language")
+    name = free_name(df, "language")
+    out = F.col(name)
+    return add(df.withColumn(name, guess(prototypes, df[f"`{text}`"])), {"lang_pred": out["lang_pred"], "score": out["score"]}).drop(name)
 
 
 def guess(prototypes: dict[str, np.ndarray], text: Column) -> Column:

@@ -54,3 +54,13 @@ def test_stages_take_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_columns_beside_those_of_documents_pass_through(spark, sf):
+    names = ["kept", "n_lines", "guess", "leaks", "fp", "g"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    docs = docs.select("*", *[(docs["doc_id"] * 2).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert all(r[n] == 2 * r.doc_id for r in out.collect() for n in names), name
