@@ -46,7 +46,7 @@ MAIN_SHARE = 0.6
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-SKIPPED = frozenset("head nav footer aside form button select textarea input dialog menu iframe object svg canvas audio video map label fieldset".split())
+SKIPPED = frozenset("head title nav footer aside form button select textarea input dialog menu iframe object svg canvas audio video map label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
 
@@ -54,7 +54,11 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An article is left out only as one of these.
+OTHER_ARTICLES = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
+#: Classes that say what a page has beside the element, not what the element is.
+_LAYOUT = re.compile(r"\b(?:has|with|without|no|is)[-_][a-z]+")
+_ATTRIBUTE = re.compile(r"(?<![-\w])(class|id|role|hidden|aria-hidden|style)(?![-\w])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -74,12 +78,15 @@ def _open(name: str, rest: str) -> Node:
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
                 head += "." + value.split(" ")[0] if key == "class" else ""
-                marks |= set(re.split(r"[^a-z]+", value))
+                marks |= set(re.split(r"[^a-z]+", _LAYOUT.sub("", value)))
             elif key == "role":
                 skipped |= value in ROLES
+            elif key == "style":
+                skipped |= "display:none" in value.replace(" ", "")
             else:
                 skipped |= value != "false"
-    return Node(head, name, skipped or (not MARKS.isdisjoint(marks) and name not in ("html", "body", "article", "main")))
+    left_out = {"html": (), "body": (), "main": (), "article": OTHER_ARTICLES}.get(name, MARKS)
+    return Node(head, name, skipped or not marks.isdisjoint(left_out))
 
 
 def parse(page: str | None) -> Node:
@@ -254,6 +261,8 @@ class Extractor:
                 if not text:
                     continue
             else:
+                if child.skipped:  # it may be left out where others of its slot aren't
+                    continue
                 head = child.head
             # the next such token, or an earlier one of a repeated group
             spot = next((i for i in (*range(at, len(kids)), *range(at - 1, -1, -1)) if kids[i][HEAD] == head), None)

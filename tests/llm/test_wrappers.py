@@ -25,6 +25,7 @@ def test_pages(spark):
         4: ("", ""),
         5: ("<p>unclosed <article><p>one<p>two<aside>side</aside><form><p>f</p></form>", "one\ntwo"),
         6: ("<article>" + "<p>many words</p>" * 20_000 + "</article>", "\n".join(["many words"] * 20_000)),
+        8: ('<title>t</title><div class="page has-sidebar"><article class="post" data-id="ad"><p>kept</p><p style="display: none">hidden</p><div id="comments"><article class="comment"><p>nice</p></article></div></article></div>', "kept"),
         7: ("<article><p>a &nbsp; b\n\tc 1 < 2</p></article>", "a b c 1 < 2"),
     }
     rows = [(i, "https://one.example/a" if i < 7 else None, h, "x") for i, (h, _) in cases.items()] + [(4, "nothing", "", "x")]
