@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.parse import tokens
 from plumbline.functions.stats import safe
+from plumbline.operators.ranks import exact_quantiles
 
 K = 10
 KNOTS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -34,8 +35,9 @@ def levels(df: DataFrame, entity: str, level: str, k: int = K) -> DataFrame:
 def numeric_marginal(df: DataFrame, value: str) -> DataFrame:
     """(q, v): quantile knots, and of the whole the mean, deviation (population), integrality and share of zeros."""
     x = F.col(value).cast("double")
-    one = df.agg(F.percentile(x, F.array(*[F.lit(q) for q in KNOTS])).alias("v"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.bool_and(x == F.floor(x)).alias("integral"), F.avg((x == 0).cast("double")).alias("zeros"))
-    return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in KNOTS]).alias("q"), F.col("v").alias("v"))).alias("k"), "mean", "sd", "integral", "zeros").select("k.q", F.round("k.v", 6).alias("v"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "integral", F.round("zeros", 6).alias("zeros"))
+    knots = [F.struct(F.lit(q).alias("q"), F.lit(v).alias("v")) for q, v in zip(KNOTS, exact_quantiles(df, value, KNOTS), strict=False)]
+    one = df.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.bool_and(x == F.floor(x)).alias("integral"), F.avg((x == 0).cast("double")).alias("zeros"))
+    return one.select(F.explode(F.array(*knots).cast("array<struct<q:double,v:double>>")).alias("k"), "mean", "sd", "integral", "zeros").select("k.q", F.round("k.v", 6).alias("v"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "integral", F.round("zeros", 6).alias("zeros"))
 
 
 def vocabulary(df: DataFrame, entity: str, column: str, k: int = K, sep: str = ";") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import safe
-from plumbline.operators.ranks import average_ranks
+from plumbline.operators.ranks import average_ranks, exact_quantiles
 
 DECILES = [i / 10 for i in range(11)]
 BANDS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -15,8 +15,7 @@ TOP_LEVELS = 20
 
 def inner_edges(source: DataFrame, value: str, at: list[float]) -> Column:
     """Distinct quantiles of the source without the ends, as a literal array: a few numbers, whatever the table's size."""
-    found = source.agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(q) for q in at])).alias("e")).first().e or []
-    return F.array(*[F.lit(float(x)) for x in sorted(set(found))[1:-1]]).cast("array<double>")
+    return F.array(*[F.lit(x) for x in sorted(set(exact_quantiles(source, value, at)))[1:-1]]).cast("array<double>")
 
 
 def bin_of(c: Column, edges: Column) -> Column:
@@ -77,8 +76,7 @@ def ks(source: DataFrame, other: DataFrame, value: str) -> DataFrame:
 
 def marginal_bands(source: DataFrame, other: DataFrame, value: str) -> DataFrame:
     """Shares of both tables in the source's quantile bands."""
-    found = source.agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(q) for q in [*BANDS, 1.0]])).alias("e")).first().e
-    edges = F.array(*[F.lit(float(x)) for x in sorted(set(found))])
+    edges = F.array(*[F.lit(x) for x in sorted(set(exact_quantiles(source, value, [*BANDS, 1.0])))]).cast("array<double>")
     band = lambda d, n: d.where(F.col(value).isNotNull()).groupBy(F.size(F.filter(edges, lambda e: e < F.col(value).cast("double"))).alias("band")).agg(F.count("*").alias(n))
     both = band(source, "n_source").join(band(other, "n_other"), "band", "full")
     total = both.agg(F.sum("n_source").alias("ts"), F.sum("n_other").alias("to"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from math import ceil, floor
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRIPES = 256
@@ -20,7 +23,8 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> Dat
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     edges = counts.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / STRIPES) for i in range(1, STRIPES)]), F.lit(STRIPES * 4)).alias("edges"))
     if by:
-        joined = counts.join(edges, [counts[c].eqNullSafe(edges[c]) for c in by]).select(*[counts[c] for c in by], value, "n", "edges")
+        named = edges.select(*[F.col(c).alias(f"_e_{c}") for c in by], "edges")
+        joined = counts.join(named, _same(by, "_e_")).select(*by, value, "n", "edges")
     else:
         joined = counts.crossJoin(F.broadcast(edges))  # one row of STRIPES numbers
     striped = joined.withColumn("stripe", F.size(F.filter("edges", lambda e: e < F.col(value).cast("double")))).drop("edges")
@@ -30,5 +34,31 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> Dat
     inside = Window.partitionBy(*by, "stripe").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = striped.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     keys = [*by, "stripe"]
-    both = ranked.join(below, [ranked[c].eqNullSafe(below[c]) for c in keys])
-    return both.select(*[ranked[c] for c in by], ranked[value], "n", (F.col("below") + F.col("inside") + (F.col("n") + 1) / 2).alias("rank"))
+    both = ranked.join(below.select(*[F.col(c).alias(f"_b_{c}") for c in keys], "below"), _same(keys, "_b_"))
+    return both.select(*by, value, "n", (F.col("below") + F.col("inside") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in names])
+
+
+def exact_quantiles(df: DataFrame, value: str, at: list[float]) -> list[float]:
+    """Quantiles with linear interpolation, from the ranks of distinct values: no task holds them all.  Empty if there is no value."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null")
+    n = x.count()
+    if not n:
+        return []
+    places = [q * (n - 1) for q in at]
+    wanted = F.array(*[F.lit(p) for p in sorted({f(h) for h in places for f in (floor, ceil)})])
+    ranked = average_ranks(x, "x").select("x", (F.col("rank") - (F.col("n") + 1) / 2).alias("first"), (F.col("rank") + (F.col("n") - 3) / 2).alias("last"))
+    held = ranked.select("x", F.explode(F.filter(wanted, lambda p: p.between(F.col("first"), F.col("last")))).alias("p"))
+    found = {r.p: r.x for r in held.collect()}  # two rows a quantile at most
+    return [(1 - h + floor(h)) * found[floor(h)] + (h - floor(h)) * found[ceil(h)] for h in places]
+
+
+def smallest_by_hash(df: DataFrame, by: str, key: str, seed: int, into: str) -> DataFrame:
+    """Adds each row's place within ``by`` in the order of a hash of its key (52 bits of it)."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), 1, 13), 16, 10).cast("long")
+    marked = df.withColumn("_h", h)
+    places = average_ranks(marked.select(F.col(by).alias("_b"), "_h"), "_h", ["_b"]).select("_b", F.col("_h").alias("_g"), F.col("rank").alias(into))
+    return marked.alias("m").join(places.alias("p"), F.col(f"m.{by}").eqNullSafe(F.col("p._b")) & (F.col("m._h") == F.col("p._g"))).select("m.*", into).drop("_h")

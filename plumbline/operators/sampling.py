@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranks import smallest_by_hash
+
 
 def stratified(df: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:
     """``size`` rows with each stratum at its share, fractions going to the largest remainders (ties by name)."""
@@ -14,8 +16,7 @@ def stratified(df: DataFrame, stratum: str, key: str, size: int, seed: int) -> D
     left = quota.agg((F.lit(size) - F.sum("_base")).alias("_left"))
     places = Window.orderBy(F.desc(F.col("_quota") - F.col("_base")), stratum)  # a row a stratum
     take = quota.withColumn("_place", F.row_number().over(places)).crossJoin(left).select(F.col(stratum).alias("_s"), (F.col("_base") + (F.col("_place") <= F.col("_left")).cast("int")).alias("_take"))
-    w = Window.partitionBy(stratum).orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key)
-    return df.withColumn("_rn", F.row_number().over(w)).join(take, F.col(stratum) == F.col("_s")).where("_rn <= _take").drop("_rn", "_s", "_take")
+    return smallest_by_hash(df, stratum, key, seed, "_rn").join(take, F.col(stratum) == F.col("_s")).where("_rn <= _take").drop("_rn", "_s", "_take")
 
 
 def split(df: DataFrame, entity: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import seeds
+from plumbline.operators.entities import levels as level_table
+from plumbline.operators.entities import safe_bounds
+from plumbline.operators.ranks import exact_quantiles
 
 GRID = [0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
@@ -29,17 +32,15 @@ def fit(df: DataFrame, entity: str, numeric: list[str], levels: list[str], k: in
     The ends of a number's grid are the means of the k smallest minima and k largest
     maxima of entities.
     """
-    from plumbline.operators.entities import levels as level_table
-    from plumbline.operators.entities import safe_bounds
-
     out = {}
     for c in numeric:
         x = F.col(c).cast("double")
-        one = df.agg(F.percentile(x, F.array(*[F.lit(q) for q in GRID])).alias("v"), F.avg(x.isNotNull().cast("double")).alias("p"), F.bool_and(x == F.floor(x)).alias("w")).first()
+        found = exact_quantiles(df, c, GRID)
+        one = df.agg(F.avg(x.isNotNull().cast("double")).alias("p"), F.bool_and(x == F.floor(x)).alias("w")).first()
         ends = safe_bounds(df.withColumn("_x", x), entity, "_x", k).first()
-        if one.v is None or ends.low is None:
+        if not found or ends.low is None:
             continue  # too few entities to publish anything
-        values = [min(max(v, ends.low), ends.high) for v in one.v]
+        values = [min(max(v, ends.low), ends.high) for v in found]
         out[c] = Marginal(one.p, list(zip(GRID, values, strict=True)), bool(one.w))
     for c in levels:
         rows = level_table(df, entity, c, k).orderBy(F.desc("n_rows"), "level").limit(most).collect()
