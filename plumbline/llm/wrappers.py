@@ -311,8 +311,11 @@ def _packed(found: dict[str, list]) -> pa.RecordBatch:
 def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str = "text") -> DataFrame:
     """Adds the main text of each page."""
     wrappers = infer(pages, html, url)
-    host, own, wrapper = free_name(pages, "host"), free_name(pages, "own"), free_name(pages, "wrapper")
-    joined = pages.withColumn(host, host_of(pages[f"`{url}`"])).join(wrappers.select(F.col("host").alias(own), F.col("wrapper").alias(wrapper)), F.col(host) == F.col(own))
+    host, own, wrapper, salt, part = (free_name(pages, n) for n in ("host", "own", "wrapper", "salt", "part"))
+    # every wrapper is there SALTS times, so a host's pages meet it in as many tasks
+    held = wrappers.select(F.col("host").alias(own), F.col("wrapper").alias(wrapper), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(part))
+    dealt = pages.withColumn(host, host_of(pages[f"`{url}`"])).withColumn(salt, F.pmod(F.xxhash64(f"`{url}`", F.octet_length(f"`{html}`")), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(held, (F.col(host) == F.col(own)) & (F.col(salt) == F.col(part)))
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known: dict[str, Extractor] = {}
@@ -327,4 +330,4 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str =
             yield pa.array(out, pa.string())
 
     made = add(joined, {into: arrow(run, "string", several=True)(F.col(f"`{html}`"), F.col(wrapper))})
-    return made.drop(host, own, wrapper)
+    return made.drop(host, own, wrapper, salt, part)
