@@ -5,18 +5,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from plumbline.registry import query, table
+from plumbline.sources.shared import shared_folder
 from plumbline.streaming import events as s
 
 
-def _folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/plumbline"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _update(spark, sf, shape, name):
     """All windows, also those that no watermark has closed yet: each batch's complete table takes the place of the last."""
     schema = table(spark, sf, "events").schema
-    out = _folder(spark, name)
+    out = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     stream = shape(s.source(spark, f"{sf}/events.parquet*", schema))
     done = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     done.awaitTermination()
