@@ -23,20 +23,16 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
 def ordinal_c(df: DataFrame, score: str, level: str) -> DataFrame:
     """Chance that of two rows of different levels the higher has the higher score, from counts of (level, score)."""
     cells = df.where(F.col(score).isNotNull() & F.col(level).isNotNull()).groupBy(F.col(level).alias("l"), F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    sizes = cells.groupBy("l").agg(F.sum("n").alias("t"))
-    classes = [r.l for r in sizes.orderBy("l").limit(65).collect()]
+    classes = [r.l for r in cells.select("l").distinct().orderBy("l").limit(65).collect()]
     if len(classes) > 64:
         raise ValueError("ordinal_c: more than 64 levels")
-    from functools import reduce
-
-    parts = []
-    for i, a in enumerate(classes):
-        for b in classes[i + 1 :]:
-            own = df.where(F.col(level).isin([a, b])).select(F.col(score).alias("s"), (F.col(level) == F.lit(b)).cast("int").alias("y"))
-            one = auroc(own, "s", "y")
-            parts.append(one.select((F.col("positives") * F.col("negatives")).alias("w"), "auroc"))
-    every = reduce(DataFrame.union, parts)
-    return every.agg(F.sum("w").alias("n_pairs"), F.round(F.sum(F.col("w") * F.col("auroc")) / F.sum("w"), 5).alias("ordinal_c"))
+    pair = F.explode(F.array(*[F.lit(c) for c in classes]))
+    each = cells.withColumn("o", pair).where("o <> l").select(F.least("l", "o").alias("low"), F.greatest("l", "o").alias("top"), "s", "n", (F.col("l") > F.col("o")).cast("int").alias("y"))
+    ranked = average_ranks(each, "s", ["low", "top"], "n").select(F.col("low").alias("a"), F.col("top").alias("b"), F.col("s").alias("v"), "rank")
+    both = each.join(ranked, (F.col("low") == F.col("a")) & (F.col("top") == F.col("b")) & (F.col("s") == F.col("v")))
+    per = both.groupBy("low", "top").agg(F.sum(F.col("n") * F.col("y")).cast("double").alias("p"), F.sum(F.col("n") * (1 - F.col("y"))).cast("double").alias("q"), F.sum(F.col("n") * F.col("y") * F.col("rank")).alias("r"))
+    won = F.col("r") - F.col("p") * (F.col("p") + 1) / 2  # pairs of rows in order
+    return per.agg(F.sum(F.col("p") * F.col("q")).cast("long").alias("n_pairs"), F.round(safe(F.sum(won), F.sum(F.col("p") * F.col("q"))), 5).alias("ordinal_c"))
 
 
 def at_threshold(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 STRIPES = 256
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, value, n, rank): each distinct non-null value, its count and the average rank of its rows, within ``by``.
+def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by, value, n, rank): each distinct non-null value, its count and the average rank of its rows, within ``by``; ``weight``: rows that a row stands for.
 
     Values are counted first.  Then they are dealt to stripes by approximate quantiles,
     which only choose the stripes: a stripe's rows are ranked among themselves and
@@ -20,7 +20,7 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> Dat
     ``by``.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     edges = counts.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / STRIPES) for i in range(1, STRIPES)]), F.lit(STRIPES * 4)).alias("edges"))
     if by:
         named = edges.select(*[F.col(c).alias(f"_e_{c}") for c in by], "edges")
