@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 MISSING = ["", "nan", "none", "null", "na", "n/a"]
 DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "yyyyMMdd"]
 
+# What letters count for in a vehicle number (none of I, O, Q), its places' weights, and the remainder that X stands for.
+VIN_VALUES = dict(zip("0123456789ABCDEFGHJKLMNPRSTUVWXYZ", [*range(10), 1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 7, 9, 2, 3, 4, 5, 6, 7, 8, 9], strict=True))
+VIN_WEIGHTS = [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]
+VIN_X = 10
+
 CURRENCY = r"^\s*[-(]?\s*[$€£]\s*[0-9][0-9,]*(\.[0-9]+)?\)?\s*$|^\s*-?[0-9][0-9,]*(\.[0-9]+)?\s*[$€£]\s*$"
 PERCENT = r"^\s*-?[0-9][0-9,]*(\.[0-9]+)?\s*%\s*$"
 CLOCK = r"^\s*([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?\s*$"
@@ -54,3 +59,13 @@ def from_day_number(c: Column, fmt: str) -> Column:
 def tokens(c: Column, sep: str = ";") -> Column:
     """The trimmed, non-empty members of a joined set; null for null."""
     return F.filter(F.transform(F.split(c, f"\\Q{sep}\\E"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def vin_valid(c: Column) -> Column:
+    """Whether a text is a vehicle number whose check digit holds; null for null."""
+    v = F.upper(F.trim(c))
+    values = F.create_map(*[F.lit(x) for kv in VIN_VALUES.items() for x in kv])
+    total = sum((F.element_at(values, F.substring(v, i + 1, 1)) * w for i, w in enumerate(VIN_WEIGHTS)), F.lit(0)) % 11
+    digit = F.substring(v, 9, 1)
+    shape = v.rlike(f"^[{''.join(VIN_VALUES)}]{{{len(VIN_WEIGHTS)}}}$")
+    return F.when(shape, total == F.when(digit == "X", VIN_X).otherwise(F.coalesce(digit.try_cast("int"), F.lit(-1)))).when(v.isNotNull(), F.lit(False))

@@ -88,3 +88,9 @@ def test_a_spec_tells_all_its_problems(spark):
 def test_day_numbers(spark):
     assert one(spark, parse.day_number(F.lit("2024-02-29"), "yyyy-MM-dd")) == (datetime.date(2024, 2, 29) - datetime.date(1970, 1, 1)).days
     assert one(spark, parse.day_number(F.lit("2023-02-29"), "yyyy-MM-dd")) is None
+
+
+def test_vehicle_numbers(spark):
+    texts = ["1M8GDM9AXKP042788", "1m8gdm9axkp042788 ", "1M8GDM9A1KP042788", "11111111111111111", "IM8GDM9AXKP042788", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(parse.vin_valid(F.col("t"))).collect()] == [True, True, False, True, False, False, None]

@@ -4,7 +4,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.operators import dynamics, fidelity, metrics, privacy, ranks, relate
+from plumbline.functions.seeds import uniform
+from plumbline.operators import condnet, dynamics, fidelity, metrics, planting, privacy, ranks, relate
 from plumbline.plans import blueprint, exam
 
 
@@ -57,3 +58,48 @@ def test_nothing_that_few_entities_hold_is_published(spark):
 def test_verdicts(spark, k, n, bar, passed, decisive):
     r = exam.verdict(spark.createDataFrame([(k, n)], "k int, n int"), "k", "n", bar).first()
     assert (r.passed, r.decisive) == (passed, decisive) and (r.n_to_resolve is None) == decisive
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """b follows a four times in five, c is whether a and b differ, n is noise, and one entity alone has a = 9."""
+    e = F.col("e")
+    df = spark.range(3000).withColumnRenamed("id", "e").select(e, F.floor(uniform(1, e, "a") * 3).cast("int").alias("a"), uniform(1, e, "b").alias("u"), F.floor(uniform(1, e, "n") * 4).cast("int").alias("n"))
+    df = df.withColumn("b", F.when(F.col("u") < 0.8, F.col("a")).otherwise(F.lit(0))).withColumn("c", F.when(e % 10 > 0, (F.col("a") != F.col("b")).cast("string")))
+    return df.withColumn("a", F.when(e == 7, 9).otherwise(F.col("a"))).drop("u")
+
+
+def test_network_finds_what_was_planted(spark, planted):
+    assert condnet.search(planted, "e", ["n", "a", "b", "c"]) == {"n": [], "a": [], "b": ["a"], "c": ["b", "a"]}
+    with pytest.raises(ValueError, match="levels"):
+        condnet.search(planted, "e", ["e"])
+    assert condnet.search(planted.where("false"), "e", ["a", "b"]) == {"a": [], "b": []}
+
+
+def test_network_draws_what_it_learned(spark, planted):
+    net = condnet.fit(planted, "e", {"a": [], "b": ["a"], "c": ["b", "a"]})
+    made = condnet.draw(spark.range(4000), "id", net, 3)
+    r = made.agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("same"), F.avg(F.col("c").isNull().cast("int")).alias("blank"), F.count(F.when((F.col("c") == "true") & (F.col("a") == F.col("b")) & (F.col("a") != "9"), 1)).alias("odd")).first()
+    assert abs(r.same - 0.867) < 0.03 and abs(r.blank - 0.1) < 0.02 and r.odd == 0
+    # the setting of one entity is not in the tables, but has a likelihood by what stands in for it
+    assert net.tables["b"][0].where("a = '9'").isEmpty()
+    scored = condnet.log_likelihood(planted, net)
+    assert scored.count() == 3000 and scored.where("log_likelihood is null or log_likelihood >= 0").isEmpty()
+    none = condnet.draw(spark.range(3), "id", condnet.fit(planted.where("false"), "e", {"a": [], "b": ["a"]}), 1)
+    assert [(r.a, r.b) for r in none.collect()] == [(None, None)] * 3
+
+
+def test_a_planted_outcome_has_its_prevalence_and_effects(spark):
+    df = spark.range(8000).withColumn("x", uniform(2, F.col("id"), "x") * 7).withColumn("k", F.lit(3.0))
+    made = planting.plant(df, "id", {"x": 1.0, "k": 2.0}, 0.2, 1)
+    assert abs(made.agg(F.avg("outcome_p")).first()[0] - 0.2) < 0.001
+    got = {r.name: r.recovered for r in planting.recovered(made, {"x": 1.0, "k": 2.0}).collect()}
+    assert abs(got["x"] - 1) < 0.15 and got["k"] == 0
+
+
+def test_copula_keeps_correlation_and_range(spark):
+    df = spark.range(4000).withColumn("x", uniform(2, F.col("id"), "x")).withColumn("y", F.col("x") + uniform(2, F.col("id"), "y")).withColumn("z", F.lit(None).cast("double"))
+    made = planting.copula(df, ["x", "y", "z"], df.select("id"), "id", 4)
+    assert abs(fidelity.spearman(df, "x", "y").first().rho - fidelity.spearman(made, "x", "y").first().rho) < 0.06
+    r = made.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("z").alias("z")).first()
+    assert 0 <= r.a < r.b <= 1 and r.z == 0
