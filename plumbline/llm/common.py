@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import shared_folder
-
 #: White space of the word and line contracts: bytes 0x20 and 0x09-0x0D.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
@@ -49,14 +46,6 @@ def arrow(run: Callable[[Iterator], Iterator[pa.Array]], kind: str, several: boo
     return F.arrow_udf(each, kind).asNondeterministic()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Deletes a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession

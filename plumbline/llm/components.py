@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import forget, written
+from plumbline.llm.common import forget
+from plumbline.sources.shared import written
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow, labelled_sample, logistic, written
+from plumbline.llm.common import arrow, labelled_sample, logistic
+from plumbline.sources.shared import written
 
 DOCS_PER_LABEL = 6_000
 BINS = 12

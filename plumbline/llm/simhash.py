@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow, written
+from plumbline.llm.common import arrow
 from plumbline.llm.components import components
+from plumbline.sources.shared import written
 
 WORDS = 3
 SEED = 42
