@@ -7,6 +7,11 @@ lower quartile seed, so stock phrases go while an item that leaked everywhere ke
 seeds.  In a second scan each rare seed joins the passage around it to its items, and a
 local alignment over words (match 2, mismatch -1, gap -1) scores each such passage by
 its share of the best possible score; edited and shortened copies score in between.
+An edited copy that many documents hold may have no rare seed, so passages around all
+seeds are aligned too, unless no alignment of the passage's words could reach
+``min_score`` (all those of the item matching, all others costing); of equal passages
+one is aligned.  Rarity hence decides only which seeds name a passage, never whether it
+is found.
 
 The test items are the query set.  They are taken in blocks of at most ``BLOCK_WORDS``
 words, so what is broadcast is bounded; more items mean more scans, never a cut.  Texts
@@ -125,6 +130,24 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def reachable(passage: np.ndarray, item: np.ndarray) -> float:
+    """No alignment of the two scores more: every word of the passage that the item has matches, and the others cost."""
+    sums = np.cumsum(np.where(np.isin(passage, item), MATCH, max(MISMATCH, GAP)))
+    best = (sums - np.minimum.accumulate(np.append(0, sums))[:-1]).max(initial=0)
+    return min(1.0, best / (MATCH * max(1, len(item))))
+
+
+def spans(spots: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """First and last word of each run of seeds that are at most ``reach`` words from the next."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spots):
+        if out and a - out[-1][1] <= reach:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def blocks(items: DataFrame, text: str, key: str, most: int = BLOCK_WORDS) -> Iterator[Block]:
     held, size = [], 0
     for r in items.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).toLocalIterator():
@@ -138,7 +161,7 @@ def blocks(items: DataFrame, text: str, key: str, most: int = BLOCK_WORDS) -> It
         yield Block(held)
 
 
-def _rare(df: DataFrame, text: str, block: Block) -> dict[int, dict[int, list[int]]]:
+def _rare(df: DataFrame, text: str, block: Block) -> dict[int, dict[int, frozenset[int]]]:
     """Seed length -> code -> the items for which the seed is rare."""
     shared = df.sparkSession.sparkContext.broadcast(block)
 
@@ -161,7 +184,7 @@ def _rare(df: DataFrame, text: str, block: Block) -> dict[int, dict[int, list[in
             for x in items:
                 by_item[x].append(docs.get((n, code), 0))
     most = {x: max(RARE_DOCS, RARE_TIMES * sorted(v)[len(v) // 4]) for x, v in by_item.items()}
-    return {n: {code: keep for code, items in seeds.items() if (keep := [x for x in items if docs.get((n, code), 0) <= most[x]])} for n, seeds in block.places.items()}
+    return {n: {code: keep for code, items in seeds.items() if (keep := frozenset(x for x in items if docs.get((n, code), 0) <= most[x]))} for n, seeds in block.places.items()}
 
 
 def match(df: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", min_score: float = MIN_SCORE, into: str = "leaks") -> DataFrame:
@@ -181,27 +204,37 @@ def _scan(df: DataFrame, text: str, block: Block, rare: dict, kind: str, min_sco
         for batch in batches:
             ids, starts = one.read(batch.to_pylist())
             ends = np.append(starts[1:], len(ids)) - 1
-            places = defaultdict(list)  # (text, item) -> where its rare seeds are
+            rare, common = defaultdict(list), defaultdict(list)  # (text, item) -> where its seeds are
             for n, at, codes in one.hits(ids):
                 docs = np.searchsorted(starts, at, side="right") - 1
                 for d, p, code in zip(docs.tolist(), at.tolist(), codes.tolist(), strict=True):
-                    for x in seeds[n].get(code, ()):
-                        places[d, x].append((p, p + n - 1))
-            jobs = []
-            for (d, x), spots in places.items():
-                reach, group = 2 * len(one.words[x]), []
-                for a, b in sorted(spots):
-                    if group and a - group[-1][1] > reach:
-                        jobs.append((d, x, group[0][0], max(g[1] for g in group)))
-                        group = []
-                    group.append((a, b))
-                jobs.append((d, x, group[0][0], max(g[1] for g in group)))
-            passages = [ids[max(starts[d], a - 2 * len(one.words[x])) : min(ends[d], b + 1 + 2 * len(one.words[x]))] for d, x, a, b in jobs]
-            scores = align(passages, [one.words[x] for _, x, _, _ in jobs])
+                    few = seeds[n].get(code, ())
+                    for x in one.places[n][code]:
+                        (rare if x in few else common)[d, x].append((p, p + n - 1))
+
+            def passage(d: int, x: int, a: int, b: int) -> np.ndarray:
+                return ids[max(starts[d], a - 2 * len(one.words[x])) : min(ends[d], b + 1 + 2 * len(one.words[x]))]  # noqa: B023
+
+            jobs = [(d, x, 0, a, b) for (d, x), spots in rare.items() for a, b in spans(spots, 2 * len(one.words[x]))]
+            known = {(d, x, a, b) for d, x, _, a, b in jobs}
+            for (d, x), spots in common.items():
+                for a, b in spans(spots + rare.get((d, x), []), 2 * len(one.words[x])):
+                    if (d, x, a, b) not in known and reachable(passage(d, x, a, b), one.words[x]) >= min_score:
+                        jobs.append((d, x, 1, a, b))
+            places: dict[tuple[int, bytes], int] = {}  # equal passages share a place
+            passages, own, spot = [], [], []
+            for d, x, _, a, b in jobs:
+                found = passage(d, x, a, b)
+                k = places.setdefault((x, found.tobytes()), len(places))
+                if k == len(passages):
+                    passages.append(found)
+                    own.append(one.words[x])
+                spot.append(k)
+            scores = align(passages, own)[spot] if jobs else np.zeros(0)
             out = [[] for _ in range(len(batch))]
-            good = sorted((d, x, -s, a, b) for (d, x, a, b), s in zip(jobs, scores.tolist(), strict=True) if s >= min_score)
+            good = sorted((d, x, -s, k, a, b) for (d, x, k, a, b), s in zip(jobs, scores.tolist(), strict=True) if s >= min_score)
             for (d, x), group in groupby(good, key=lambda g: g[:2]):  # an item's best passage
-                _, _, s, a, b = next(group)
+                _, _, s, _, a, b = next(group)
                 out[d].append({"item_id": one.ids[x], "score": -s, "first_word": int(a - starts[d]), "last_word": int(b - starts[d])})
             yield pa.array(out, pa.list_(pa.struct([("item_id", pa.array(one.ids).type), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])))
 

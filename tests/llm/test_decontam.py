@@ -56,3 +56,25 @@ def test_query_finds_every_whole_item(spark):
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op8_decontamination"](spark, sf).collect()}
     assert want and want <= got
+
+
+def test_edited_passage_in_many_copies(spark):
+    rng = random.Random(3)
+    items = [words(rng, 40) for _ in range(3)]
+    edited = [[w if k % 9 else f"other{k}" for k, w in enumerate(x)] for x in items]
+    docs = [(i, " ".join(words(rng, 30) + edited[0] + words(rng, 30))) for i in range(60)]
+    docs += [(100 + i, " ".join(edited[1])) for i in range(60)] + [(200, " ".join(items[1]))]
+    docs += [(300 + i, " ".join(words(rng, 30) + items[2][:6] + words(rng, 30))) for i in range(60)]  # a stock phrase is no leak
+    # where a rare seed stands alone, and the copy elsewhere
+    docs += [(400, " ".join(items[0][-4:] + words(rng, 200) + edited[0]))]
+    got = {(r.doc_id, x.item_id): x for r in decontam.match(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect() for x in r.leaks}
+    assert set(got) == {(i, 0) for i in range(60)} | {(100 + i, 1) for i in range(60)} | {(200, 1), (400, 0)}
+    assert all(0.7 < got[k].score < 0.9 for k in got if k[0] != 200) and got[200, 1].score == 1
+    assert got[400, 0].first_word >= 200
+
+
+def test_bound_is_never_below_the_score():
+    rng = random.Random(6)
+    for _ in range(300):
+        passage, item = (np.array([rng.randrange(12) for _ in range(rng.randrange(1, most))]) for most in (40, 15))
+        assert decontam.reachable(passage, item) >= brute(passage.tolist(), item.tolist())
