@@ -12,7 +12,9 @@ Within a wrapper the main text is what stands in the article (or main) element,
 there is none, in the smallest group that holds most of the variable text that isn't
 links; menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 are left out by element, role or class, and text that never varies over a host's pages
-(five or more) is left out outside an article.
+(five or more) is left out outside an article.  A page
+with none of its host's main text is read by the same rule from its own slots, and if
+those never vary, from them.
 
 Wrappers grow in each task first, then by host and salt, then by host, so a host with a
 third of all pages is spread over tasks; nothing is held but one wrapper for each host.
@@ -209,24 +211,33 @@ def expression(wrapper: list, above: int | None = None) -> str:
     return f"({inner}){mark}" if mark else inner
 
 
+def slots(node: list, inside: bool = False, skipped: bool = False, found: list | None = None) -> list[tuple[list, str, bool, bool]]:
+    """The text slots below a node: with the name of the element that holds it, whether it is in an article, whether it is left out."""
+    found = [] if found is None else found
+    name = re.split(r"[.#]", node[HEAD])[0]
+    inside = inside or name in ("article", "main")
+    skipped = skipped or bool(node[SKIP]) or (name == "header" and not inside)
+    for kid in node[KIDS]:
+        if kid[HEAD] == "#":
+            found.append((kid, name, inside, skipped))
+        else:
+            slots(kid, inside, skipped, found)
+    return found
+
+
 def choose(wrapper: list) -> set[int]:
     """Identities of the wrapper's text slots that are main text."""
+    articles = {id(k) for k, _, inside, skipped in slots(wrapper) if inside and not skipped}
+    return articles or block(wrapper)
 
-    def slots(node: list, inside: bool, skipped: bool, found: list) -> list:
-        name = re.split(r"[.#]", node[HEAD])[0]
-        inside = inside or name in ("article", "main")
-        skipped = skipped or bool(node[SKIP]) or (name == "header" and not inside)
-        for kid in node[KIDS]:
-            if kid[HEAD] == "#":
-                found.append((kid, inside, skipped))
-            else:
-                slots(kid, inside, skipped, found)
-        return found
 
-    every = slots(wrapper, False, False, [])
-    if any(inside for _, inside, _ in every):
-        return {id(k) for k, inside, skipped in every if inside and not skipped}
-    own = {id(k): max(k[VOLUME] - k[LINKED], 0) for k, _, skipped in every if not skipped and not (k[TEXT] and k[PAGES] >= CONSTANT_PAGES)}
+def block(wrapper: list, filled: frozenset[int] | None = None, constant: bool = False) -> set[int]:
+    """The slots of the smallest group with most of the text that isn't links.
+
+    ``filled``: only these slots count; ``constant``: also those whose text never varies.
+    """
+    every = [(k, name) for k, name, _, skipped in slots(wrapper) if not skipped and (filled is None or id(k) in filled) and (constant or not (k[TEXT] and k[PAGES] >= CONSTANT_PAGES))]
+    own = {id(k): max(k[VOLUME] - k[LINKED], 0) for k, _ in every}
 
     def volume(node: list) -> int:
         return own.get(id(node), 0) if node[HEAD] == "#" else sum(map(volume, node[KIDS]))
@@ -238,7 +249,7 @@ def choose(wrapper: list) -> set[int]:
         if not total or not deeper or deeper[0][REPEATED] or not any(k[HEAD] != "#" for k in deeper[0][KIDS]):
             break
         node = deeper[0]
-    return {id(k) for k, _, _ in slots(node, False, False, []) if own.get(id(k))}
+    return {id(k) for k, *_ in slots(node) if own.get(id(k))}
 
 
 class Extractor:
@@ -246,13 +257,25 @@ class Extractor:
 
     def __init__(self, wrapper: list):
         self.wrapper, self.main = wrapper, choose(wrapper)
+        self.others: dict[frozenset[int], set[int]] = {}
 
     def __call__(self, page: str | None) -> str:
-        out: list[str] = []
+        out: list[tuple[int, str]] = []
         self._read(parse(page), self.wrapper, out)
-        return "\n".join(out)
-
-    def _read(self, node: Node, wrapper: list, out: list[str]) -> None:
+        main = self.main
+        if out and not any(k in main for k, _ in out):
+            main = self._other(frozenset(k for k, _ in out))
+        return "\n".join(text for k, text in out if k in main)
+
+    def _other(self, filled: frozenset[int]) -> set[int]:
+        """Main text of pages that have none of the host's: by their own slots, at last also by those that never vary."""
+        if filled not in self.others:
+            if len(self.others) > 1_000:
+                self.others.clear()
+            self.others[filled] = block(self.wrapper, filled) or block(self.wrapper, filled, constant=True)
+        return self.others[filled]
+
+    def _read(self, node: Node, wrapper: list, out: list[tuple[int, str]]) -> None:
         kids, at = wrapper[KIDS], 0
         for child in node.children:
             if isinstance(child, str):
@@ -270,8 +293,7 @@ class Extractor:
                 continue
             at = spot
             if head == "#":
-                if id(kids[spot]) in self.main:
-                    out.append(text)
+                out.append((id(kids[spot]), text))
             else:
                 self._read(child, kids[spot], out)
 

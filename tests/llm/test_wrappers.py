@@ -58,3 +58,20 @@ def test_query(spark, sf):
     rows = queries.QUERIES["op6_html"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) > 0 and "<" not in r.text and "track(" not in r.text for r in rows)
+
+
+def read(spark, pages):
+    df = spark.createDataFrame([(i, "http://three.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in wrappers.extract(df).orderBy("page_id").collect()]
+
+
+def test_articles_that_are_comments_do_not_hide_posts_in_divs(spark):
+    posts = [f"post {i} " + f"w{i} " * 30 for i in range(8)]
+    pages = [f'<body><div class=post><p>{p}</p></div><article class="comment"><p>nice {i}</p></article></body>' for i, p in enumerate(posts)]
+    assert read(spark, pages) == [p.strip() for p in posts]
+
+
+def test_a_host_with_and_without_articles(spark):
+    texts = [f"text {i} " + f"w{i} " * 30 for i in range(12)]
+    pages = [f"<body><nav>menu</nav><{tag}><p>{t}</p></{end}><ul><li><a href=x>more {i}</a></ul></body>" for i, t in enumerate(texts) for tag, end in [("article", "article") if i % 2 else ("div class=plain", "div")]]
+    assert read(spark, pages) == [t.strip() for t in texts]
