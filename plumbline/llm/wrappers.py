@@ -10,11 +10,11 @@ expression without unions, with page counts and text volume for each slot.
 
 Within a wrapper the main text is what stands in the article (or main) element, or, if
 there is none, in the smallest group that holds most of the variable text that isn't
-links; menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are left out by element, role or class, and text that never varies over a host's pages
-(five or more) is left out outside an article.  A page
-with none of its host's main text is read by the same rule from its own slots, and if
-those never vary, from them.
+links, with the headings and lead before it; menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments are left out by element, role or class, and text that
+never varies over a host's pages (five or more of different content, so copies count
+once) is left out outside an article.  A page with none of its host's main text is read
+by the same rule from its own slots, and if those never vary, from them.
 
 Wrappers grow in each task first, then by host and salt, then by host, so a host with a
 third of all pages is spread over tasks; nothing is held but one wrapper for each host.
@@ -45,6 +45,9 @@ CONSTANT_PAGES = 5
 MAIN_SHARE = 0.6
 
 # Elements of HTML by what they mean here.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = HEADINGS | frozenset("p blockquote pre figcaption".split())
+LEADS = frozenset("abstract deck dek excerpt intro lead lede standfirst subtitle summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -141,21 +144,32 @@ def clean(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-# A wrapper is a list: head, repeated, pages that have it, text's hash ("" if it varies or there is none), volume of text, of that in links, left out, children.
-HEAD, REPEATED, PAGES, TEXT, VOLUME, LINKED, SKIP, KIDS = range(8)
+# A wrapper is a list: head, repeated, pages that have it, text's hash ("" if it varies or there is none), volume of text, of that in links, left out, children, and of a text that doesn't vary the smallest hashes (up to CONSTANT_PAGES) of different pages that have it.
+HEAD, REPEATED, PAGES, TEXT, VOLUME, LINKED, SKIP, KIDS, SEEN = range(9)
 
 
 def lift(node: Node) -> list:
+    stream, seen = xxhash.xxh64(), []  # all slots of the page share what is known only at its end
+    one = _lift(node, stream, seen)
+    seen.append(stream.intdigest())
+    return one
+
+
+def _lift(node: Node, stream: xxhash.xxh64, seen: list[int]) -> list:
     kids: list[list] = []
+    stream.update(f"<{node.head}>".encode("utf-8", "surrogatepass"))
     for child in node.children:
         if isinstance(child, str):
             text = clean(child)
             if text:
-                kids.append(["#", 0, 1, xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass")), len(text), min(len(text), node.linked), 0, []])
+                body = text.encode("utf-8", "surrogatepass")
+                stream.update(body)
+                kids.append(["#", 0, 1, xxhash.xxh64_hexdigest(body), len(text), min(len(text), node.linked), 0, [], seen])
         else:
-            kids.append(lift(child))
+            kids.append(_lift(child, stream, seen))
         _fold(kids)
-    return [node.head, 0, 1, "", 0, 0, int(node.skipped), kids]
+    stream.update(b"</>")
+    return [node.head, 0, 1, "", 0, 0, int(node.skipped), kids, []]
 
 
 def _fold(kids: list[list]) -> None:
@@ -174,7 +188,8 @@ def merge(a: list, b: list, again: bool = False) -> list:
     """The wrapper of what two wrappers with the same head match; ``again``: both on one page."""
     same = a[TEXT] if a[TEXT] == b[TEXT] else ""
     pages = max(a[PAGES], b[PAGES]) if again else a[PAGES] + b[PAGES]
-    return [a[HEAD], a[REPEATED] | b[REPEATED], pages, same, a[VOLUME] + b[VOLUME], a[LINKED] + b[LINKED], a[SKIP] & b[SKIP], align(a[KIDS], b[KIDS], again)]
+    seen = [] if not same else a[SEEN] if a[SEEN] is b[SEEN] else sorted({*a[SEEN], *b[SEEN]})[:CONSTANT_PAGES]
+    return [a[HEAD], a[REPEATED] | b[REPEATED], pages, same, a[VOLUME] + b[VOLUME], a[LINKED] + b[LINKED], a[SKIP] & b[SKIP], align(a[KIDS], b[KIDS], again), seen]
 
 
 def align(a: list[list], b: list[list], again: bool = False) -> list[list]:
@@ -232,24 +247,33 @@ def choose(wrapper: list) -> set[int]:
 
 
 def block(wrapper: list, filled: frozenset[int] | None = None, constant: bool = False) -> set[int]:
-    """The slots of the smallest group with most of the text that isn't links.
+    """The slots of the smallest group with most of the text that isn't links, and of the headings and lead before it.
 
     ``filled``: only these slots count; ``constant``: also those whose text never varies.
     """
-    every = [(k, name) for k, name, _, skipped in slots(wrapper) if not skipped and (filled is None or id(k) in filled) and (constant or not (k[TEXT] and k[PAGES] >= CONSTANT_PAGES))]
+    every = [(k, name) for k, name, _, skipped in slots(wrapper) if not skipped and (filled is None or id(k) in filled) and (constant or len(k[SEEN]) < CONSTANT_PAGES)]
     own = {id(k): max(k[VOLUME] - k[LINKED], 0) for k, _ in every}
+    # text that is all links is text in a paragraph or heading, elsewhere a menu
+    texts = {id(k) for k, name in every if own[id(k)] or name in PROSE}
 
     def volume(node: list) -> int:
         return own.get(id(node), 0) if node[HEAD] == "#" else sum(map(volume, node[KIDS]))
 
-    node, total = wrapper, volume(wrapper)
+    def prose(node: list) -> bool:
+        name, *marks = re.split(r"[.#]", node[HEAD])
+        return name in PROSE or bool(LEADS.intersection(marks)) or any(prose(k) for k in node[KIDS] if k[HEAD] != "#")
+
+    node, total, headings, lead = wrapper, volume(wrapper), [], []
     while True:
         deeper = [k for k in node[KIDS] if k[HEAD] != "#" and volume(k) >= MAIN_SHARE * total]
         # a repeated group of blocks is the text itself, and so is a block
         if not total or not deeper or deeper[0][REPEATED] or not any(k[HEAD] != "#" for k in deeper[0][KIDS]):
             break
+        before = [k for k in node[KIDS][: next(i for i, k in enumerate(node[KIDS]) if k is deeper[0])] if k[HEAD] != "#"]
+        headings += [k for k in before if re.split(r"[.#]", k[HEAD])[0] in HEADINGS]
+        lead = [k for k in before if volume(k) and prose(k)] or lead
         node = deeper[0]
-    return {id(k) for k, *_ in slots(node) if own.get(id(k))}
+    return {id(k) for part in (*headings, *lead, node) for k, *_ in slots(part)} & texts
 
 
 class Extractor:

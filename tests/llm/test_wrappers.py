@@ -75,3 +75,22 @@ def test_a_host_with_and_without_articles(spark):
     texts = [f"text {i} " + f"w{i} " * 30 for i in range(12)]
     pages = [f"<body><nav>menu</nav><{tag}><p>{t}</p></{end}><ul><li><a href=x>more {i}</a></ul></body>" for i, t in enumerate(texts) for tag, end in [("article", "article") if i % 2 else ("div class=plain", "div")]]
     assert read(spark, pages) == [t.strip() for t in texts]
+
+
+def test_copies_are_no_boilerplate(spark):
+    one = "<body><div class=box><p>the only page</p><p>has two paragraphs</p></div></body>"
+    for n in (1, 4, 5, 30):
+        assert read(spark, [one] * n) == ["the only page\nhas two paragraphs"] * n
+    # a paragraph that copies alone fill
+    rest = [f"<body><div class=box><p>{f'w{i} ' * 20}</p></div></body>" for i in range(6)]
+    extra = f"<body><div class=box><p>{'v ' * 20}</p><blockquote>said by copies</blockquote></div></body>"
+    assert read(spark, [*rest, *[extra] * 6])[6:] == ["v " * 19 + "v\nsaid by copies"] * 6
+    # different pages whose text is the same: the rule empties none of them
+    same = [f'<body><div class=box><p>same text</p></div><div class="n{i}"></div></body>' for i in range(7)]
+    assert read(spark, same) == ["same text"] * 7
+
+
+def test_heading_lead_and_linked_text_stay(spark):
+    pages = [f"<body><div class=top><span>user {i}</span></div><div class=page><h1><a href=x>Title {i}</a></h1><p class=lead>Lead {i}</p><div class=body><p>{f'w{i} ' * 60}</p><p>{f'v{i} ' * 60}</p><blockquote><a href=y>quoted {i}</a></blockquote></div><ul><li><a href=z>other {i}</a></ul></div></body>" for i in range(7)]
+    want = [f"Title {i}\nLead {i}\n{(f'w{i} ' * 60).strip()}\n{(f'v{i} ' * 60).strip()}\nquoted {i}" for i in range(7)]
+    assert read(spark, pages) == want
