@@ -8,21 +8,34 @@ becomes optional, what comes next to its like becomes repeated, and text that di
 makes its slot variable.  Folding all pages of a host so gives its wrapper: a regular
 expression without unions, with page counts and text volume for each slot.
 
-Within a wrapper the main text is what stands in the article (or main) element, or, if
-there is none, in the smallest group that holds most of the variable text that isn't
-links, with the headings and lead before it; menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are left out by element, role or class, and text that
-never varies over a host's pages (five or more of different content, so copies count
-once) is left out outside an article.  A page with none of its host's main text is read
-by the same rule from its own slots, and if those never vary, from them.
-
-Wrappers grow in each task first, then by host and salt, then by host, so a host with a
-third of all pages is spread over tasks; nothing is held but one wrapper for each host.
-They are joined to pages by host, broadcast only if Spark finds them small.
+Each page is then read against its host's wrapper, which says of each of its texts how
+much the host's pages have in that slot and whether it ever varies.  A text's weight is
+its own length without links and the slot's mean over the host's pages; text that never
+varies over a host's pages (``CONSTANT_PAGES`` or more of different content, so copies
+count once) is template and weighs nothing.  The main text stands in the outermost
+article or main elements if those hold ``ARTICLE_SHARE`` of the page's weight, otherwise
+in the smallest group that holds ``MAIN_SHARE`` of it, with the headings and lead before
+it.  From there go menus, footers, sidebars, notices, adverts, forms and reader comments
+(by element, role, or class names that say nothing else), and template text; inside an
+article only template that isn't a paragraph, heading, list entry or cell.  Of a page
+whose every text is template, the template is the text: no rule empties a page.
+
+A class name marks an element if one of its parts is a mark and the others are layout
+words ("comment-list", but not "social-science").  Inside an article weak marks (such as
+"search" or "social") count only for elements whose text is mostly links.
+
+Wrappers grow in each task first, then by host and salt in steps of ``SALTS``, then by
+host, so a host with a third of all pages is spread over tasks, and each step merges
+one wrapper after another.  Digits are cut from class names, so numbered ones don't make
+wrappers grow with pages.  Pages meet their wrapper as rows of one sorted partition of
+(host, salt), the wrapper first and once: nothing is broadcast, and a task holds one
+wrapper and one batch of pages.
 
 Defined results: null html is empty html and has empty text; a null url or one without a
-host shares the host "".  Repeated pages count each and have equal texts.  Other columns
-pass through; one with a result's name gives way.
+host shares the host "".  Repeated pages have equal texts, and equal pages count once for
+what is template.  Long pages are read whole; elements nested deeper than ``DEPTH`` are
+read as blocks of the one at that depth, as browsers do.  No pages give no rows.  Other
+columns pass through; one with a result's name gives way.
 """
 
 from __future__ import annotations
@@ -30,113 +43,142 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import add, arrow, free_name
+from plumbline.llm.common import free_name, tidy
 
 SALTS = 32
 #: A slot whose text is the same on all pages is the host's own, from this many pages.
 CONSTANT_PAGES = 5
 MAIN_SHARE = 0.6
+ARTICLE_SHARE = 0.2
+DEPTH = 200
+#: Hosts that a task holds before it passes their wrappers on.
+HELD = 500
 
 # Elements of HTML by what they mean here.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PROSE = HEADINGS | frozenset("p blockquote pre figcaption".split())
+ENTRIES = PROSE | frozenset("li dt dd td th caption summary".split())
 LEADS = frozenset("abstract deck dek excerpt intro lead lede standfirst subtitle summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 SKIPPED = frozenset("head title nav footer aside form button select textarea input dialog menu iframe object svg canvas audio video map label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion replies sidebar sponsor sponsored subscribe".split())
+WEAK_MARKS = frozenset("banner discussion header related reply respond search share sharing social toolbar widget widgets".split())
+#: Parts of class names that say where something is, not what.
+LAYOUT = frozenset("area bar block bottom box button buttons container content form group icons inner item items left links list main middle outer page panel post posts right section signup site slot top unit wrap wrapper".split())
+#: An article is left out only as one of these.
+OTHER_ARTICLES = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-#: An article is left out only as one of these.
-OTHER_ARTICLES = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
-#: Classes that say what a page has beside the element, not what the element is.
-_LAYOUT = re.compile(r"\b(?:has|with|without|no|is)[-_][a-z]+")
 _ATTRIBUTE = re.compile(r"(?<![-\w])(class|id|role|hidden|aria-hidden|style)(?![-\w])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"[-_:]+")
+_NUMBERED = re.compile(r"[-_]*[a-z]*[0-9].*", re.S)
+
+NO, WEAK, YES = range(3)
 
 
 class Node:
-    """An element: its head (name, class and so on), whether it is left out, and its children, texts and elements."""
+    """An element: its head (name and class), whether it is left out, and its children: elements and [text, characters of it in links]."""
+
+    __slots__ = ("children", "head", "name", "open", "skipped")
 
-    __slots__ = ("head", "name", "skipped", "children", "linked")
+    def __init__(self, head: str, name: str, skipped: int):
+        self.head, self.name, self.skipped, self.children, self.open = head, name, skipped, [], False
+
+    def say(self, piece: str, linked: bool) -> None:
+        if self.open:
+            self.children[-1][0] += piece
+            self.children[-1][1] += len(piece) * linked
+        else:
+            self.children.append([piece, len(piece) * linked])
+            self.open = True
 
-    def __init__(self, head: str, name: str, skipped: bool):
-        self.head, self.name, self.skipped, self.children, self.linked = head, name, skipped, [], 0
+
+def marked(name: str) -> int:
+    """Whether a class name or id says that its element is no main text: ``NO``, ``WEAK`` or ``YES``."""
+    parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+    if not all(p in MARKS or p in WEAK_MARKS or p in LAYOUT for p in parts):
+        return NO
+    return YES if not MARKS.isdisjoint(parts) else WEAK if not WEAK_MARKS.isdisjoint(parts) else NO
 
 
 def _open(name: str, rest: str) -> Node:
-    marks, skipped, head = set(), name in SKIPPED, name
+    skipped, head = YES if name in SKIPPED else NO, name
     if rest:
         for m in _ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                head += "." + value.split(" ")[0] if key == "class" else ""
-                marks |= set(re.split(r"[^a-z]+", _LAYOUT.sub("", value)))
+                names = value.split()
+                if key == "class" and names:
+                    head += "." + _NUMBERED.sub("", names[0])
+                if name == "article":
+                    skipped = max(skipped, YES if not OTHER_ARTICLES.isdisjoint(names) else NO)
+                elif name not in ("html", "body", "main"):
+                    skipped = max(skipped, *map(marked, names), NO)
             elif key == "role":
-                skipped |= value in ROLES
+                skipped = YES if value in ROLES else skipped
             elif key == "style":
-                skipped |= "display:none" in value.replace(" ", "")
-            else:
-                skipped |= value != "false"
-    left_out = {"html": (), "body": (), "main": (), "article": OTHER_ARTICLES}.get(name, MARKS)
-    return Node(head, name, skipped or not marks.isdisjoint(left_out))
+                skipped = YES if "display:none" in value.replace(" ", "") else skipped
+            elif value != "false":
+                skipped = YES
+    return Node(head, name, skipped)
 
 
 def parse(page: str | None) -> Node:
-    top = Node("", "", False)
-    stack, linked = [top], 0
+    top = Node("", "", NO)
+    stack, linked = [top], False
     for m in _TOKEN.finditer(page or ""):
-        tag = m[2]
+        tag, node = m[2], stack[min(len(stack), DEPTH) - 1]
         if tag is None:
             piece = m[0]
-            if m[1] is None and (piece == "<" or piece[0] != "<"):
-                node = stack[-1]
-                if node.children and isinstance(node.children[-1], str):
-                    node.children[-1] += piece
-                else:
-                    node.children.append(piece)
-                if linked:
-                    node.linked += len(piece)
+            if m[1] is None and (piece == "<" or piece[0] != "<") and not any(n.skipped == YES for n in stack[DEPTH:]):
+                node.say(piece, linked)
             continue
         name = tag.lower()
         if name[0] == "/":
             name = name[1:]
             if name == "a":
-                linked = 0
+                linked = False
             if name in INLINE or name in VOID:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
+                    node.open = False
                     del stack[i:]
+                    stack[min(len(stack), DEPTH) - 1].open = False
                     break
             continue
         if name == "br":
-            node = stack[-1]
-            if node.children and isinstance(node.children[-1], str):
-                node.children[-1] += " "
+            node.say(" ", False)
             continue
         if name in INLINE:
-            linked = 1 if name == "a" else linked
+            linked = True if name == "a" else linked
             continue
         if stack[-1].name in CLOSES and name in CLOSES[stack[-1].name]:
             stack.pop()
         if name in VOID:
             continue
-        node = _open(name, m[3])
-        stack[-1].children.append(node)
-        stack.append(node)
+        above = stack[min(len(stack), DEPTH) - 1]
+        above.open = False
+        made = _open(name, m[3])
+        if len(stack) < DEPTH:
+            above.children.append(made)
+        stack.append(made)
     return top
 
 
@@ -159,17 +201,18 @@ def _lift(node: Node, stream: xxhash.xxh64, seen: list[int]) -> list:
     kids: list[list] = []
     stream.update(f"<{node.head}>".encode("utf-8", "surrogatepass"))
     for child in node.children:
-        if isinstance(child, str):
-            text = clean(child)
-            if text:
-                body = text.encode("utf-8", "surrogatepass")
-                stream.update(body)
-                kids.append(["#", 0, 1, xxhash.xxh64_hexdigest(body), len(text), min(len(text), node.linked), 0, [], seen])
+        if isinstance(child, list):
+            text = clean(child[0])
+            if not text:
+                continue
+            body = text.encode("utf-8", "surrogatepass")
+            stream.update(body)
+            kids.append(["#", 0, 1, xxhash.xxh64_hexdigest(body), len(text), min(len(text), child[1]), 0, [], seen])
         else:
             kids.append(_lift(child, stream, seen))
         _fold(kids)
     stream.update(b"</>")
-    return [node.head, 0, 1, "", 0, 0, int(node.skipped), kids, []]
+    return [node.head, 0, 1, "", 0, 0, node.skipped, kids, []]
 
 
 def _fold(kids: list[list]) -> None:
@@ -189,32 +232,51 @@ def merge(a: list, b: list, again: bool = False) -> list:
     same = a[TEXT] if a[TEXT] == b[TEXT] else ""
     pages = max(a[PAGES], b[PAGES]) if again else a[PAGES] + b[PAGES]
     seen = [] if not same else a[SEEN] if a[SEEN] is b[SEEN] else sorted({*a[SEEN], *b[SEEN]})[:CONSTANT_PAGES]
-    return [a[HEAD], a[REPEATED] | b[REPEATED], pages, same, a[VOLUME] + b[VOLUME], a[LINKED] + b[LINKED], a[SKIP] & b[SKIP], align(a[KIDS], b[KIDS], again), seen]
+    return [a[HEAD], a[REPEATED] | b[REPEATED], pages, same, a[VOLUME] + b[VOLUME], a[LINKED] + b[LINKED], min(a[SKIP], b[SKIP]), align(a[KIDS], b[KIDS], again), seen]
 
 
 def align(a: list[list], b: list[list], again: bool = False) -> list[list]:
+    """One list of siblings from two: what both have in the same order is merged, the rest is optional."""
     if [x[HEAD] for x in a] == [x[HEAD] for x in b]:
         return [merge(x, y, again) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][HEAD] == b[j][HEAD] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][HEAD] == b[j][HEAD]:
-            out.append(merge(a[i], b[j], again))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(a[i])
-            i += 1
-        else:
-            out.append(b[j])
-            j += 1
-        _fold(out)
+    for x, y in [*common([x[HEAD] for x in a], [x[HEAD] for x in b]), (len(a), len(b))]:
+        for one in (*a[i:x], *b[j:y]):
+            out.append(one)
+            _fold(out)
+        if x < len(a):
+            out.append(merge(a[x], b[y], again))
+            _fold(out)
+        i, j = x + 1, y + 1
     return out
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence: the same start and end, and between them the longest in which like meets like by its count.
+
+    Takes n log n steps, also where nothing is alike.
+    """
+    least = min(len(a), len(b))
+    start = next((k for k in range(least) if a[k] != b[k]), least)
+    end = next((k for k in range(least - start) if a[-1 - k] != b[-1 - k]), least - start)
+    spots: dict[str, list[int]] = {}
+    for j in range(len(b) - end - 1, start - 1, -1):
+        spots.setdefault(b[j], []).append(j)
+    tails: list[int] = []  # of the runs of each length so far, the least last place in b
+    last: list[tuple[int, int, tuple | None]] = []
+    for i in range(start, len(a) - end):
+        if spots.get(a[i]):
+            j = spots[a[i]].pop()
+            k = bisect_left(tails, j)
+            tails[k : k + 1] = [j]
+            last[k : k + 1] = [(i, j, last[k - 1] if k else None)]
+    middle, link = [], last[-1] if last else None
+    while link:
+        middle.append(link[:2])
+        link = link[2]
+    return [(k, k) for k in range(start)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+
+
 def expression(wrapper: list, above: int | None = None) -> str:
     """The wrapper as a union-free regular expression."""
     pages = wrapper[PAGES]
@@ -226,100 +288,164 @@ def expression(wrapper: list, above: int | None = None) -> str:
     return f"({inner}){mark}" if mark else inner
 
 
-def slots(node: list, inside: bool = False, skipped: bool = False, found: list | None = None) -> list[tuple[list, str, bool, bool]]:
-    """The text slots below a node: with the name of the element that holds it, whether it is in an article, whether it is left out."""
-    found = [] if found is None else found
-    name = re.split(r"[.#]", node[HEAD])[0]
-    inside = inside or name in ("article", "main")
-    skipped = skipped or bool(node[SKIP]) or (name == "header" and not inside)
-    for kid in node[KIDS]:
-        if kid[HEAD] == "#":
-            found.append((kid, name, inside, skipped))
-        else:
-            slots(kid, inside, skipped, found)
-    return found
+def dump(wrapper: list) -> str:
+    """As JSON: what is below the root as one list of rows, each with its depth before it."""
+    rows: list[list] = []
+    stack = [(1, k) for k in reversed(wrapper[KIDS])]
+    while stack:
+        depth, node = stack.pop()
+        rows.append([depth, *node[:KIDS], node[SEEN]])
+        stack += [(depth + 1, k) for k in reversed(node[KIDS])]
+    return json.dumps([*wrapper[:KIDS], rows, wrapper[SEEN]], separators=(",", ":"))
+
+
+def load(text: str) -> list:
+    top = json.loads(text)
+    rows, top[KIDS] = top[KIDS], []
+    path = [top]
+    for depth, *node, seen in rows:
+        del path[depth:]
+        path[-1][KIDS].append([*node, [], seen])
+        path.append(path[-1][KIDS][-1])
+    return top
 
 
-def choose(wrapper: list) -> set[int]:
-    """Identities of the wrapper's text slots that are main text."""
-    articles = {id(k) for k, _, inside, skipped in slots(wrapper) if inside and not skipped}
-    return articles or block(wrapper)
+class Leaf:
+    """A text of a page: its slot's weight, whether that is template, and what holds it."""
 
+    __slots__ = ("article", "constant", "holder", "linked", "main", "skipped", "text", "weight")
 
-def block(wrapper: list, filled: frozenset[int] | None = None, constant: bool = False) -> set[int]:
-    """The slots of the smallest group with most of the text that isn't links, and of the headings and lead before it.
+    def __init__(self, text: str, linked: int, holder: str, inside: tuple[bool, bool, bool]):
+        self.text, self.linked, self.holder, (self.article, self.main, self.skipped) = text, linked >= len(text), holder, inside
+        self.weight, self.constant = float(max(len(text) - linked, 0)), False
 
-    ``filled``: only these slots count; ``constant``: also those whose text never varies.
-    """
-    every = [(k, name) for k, name, _, skipped in slots(wrapper) if not skipped and (filled is None or id(k) in filled) and (constant or len(k[SEEN]) < CONSTANT_PAGES)]
-    own = {id(k): max(k[VOLUME] - k[LINKED], 0) for k, _ in every}
-    # text that is all links is text in a paragraph or heading, elsewhere a menu
-    texts = {id(k) for k, name in every if own[id(k)] or name in PROSE}
-
-    def volume(node: list) -> int:
-        return own.get(id(node), 0) if node[HEAD] == "#" else sum(map(volume, node[KIDS]))
-
-    def prose(node: list) -> bool:
-        name, *marks = re.split(r"[.#]", node[HEAD])
-        return name in PROSE or bool(LEADS.intersection(marks)) or any(prose(k) for k in node[KIDS] if k[HEAD] != "#")
-
-    node, total, headings, lead = wrapper, volume(wrapper), [], []
-    while True:
-        deeper = [k for k in node[KIDS] if k[HEAD] != "#" and volume(k) >= MAIN_SHARE * total]
-        # a repeated group of blocks is the text itself, and so is a block
-        if not total or not deeper or deeper[0][REPEATED] or not any(k[HEAD] != "#" for k in deeper[0][KIDS]):
-            break
-        before = [k for k in node[KIDS][: next(i for i, k in enumerate(node[KIDS]) if k is deeper[0])] if k[HEAD] != "#"]
-        headings += [k for k in before if re.split(r"[.#]", k[HEAD])[0] in HEADINGS]
-        lead = [k for k in before if volume(k) and prose(k)] or lead
-        node = deeper[0]
-    return {id(k) for part in (*headings, *lead, node) for k, *_ in slots(part)} & texts
+    @property
+    def menu(self) -> bool:
+        """Text that is all links is text in a paragraph or heading, elsewhere a menu."""
+        return self.linked and self.holder not in PROSE
 
 
 class Extractor:
     """Reads pages of one host."""
 
     def __init__(self, wrapper: list):
-        self.wrapper, self.main = wrapper, choose(wrapper)
-        self.others: dict[frozenset[int], set[int]] = {}
+        self.wrapper = wrapper
+        self.places: dict[int, dict[str, list[int]]] = {}
 
     def __call__(self, page: str | None) -> str:
-        out: list[tuple[int, str]] = []
-        self._read(parse(page), self.wrapper, out)
-        main = self.main
-        if out and not any(k in main for k, _ in out):
-            main = self._other(frozenset(k for k, _ in out))
-        return "\n".join(text for k, text in out if k in main)
-
-    def _other(self, filled: frozenset[int]) -> set[int]:
-        """Main text of pages that have none of the host's: by their own slots, at last also by those that never vary."""
-        if filled not in self.others:
-            if len(self.others) > 1_000:
-                self.others.clear()
-            self.others[filled] = block(self.wrapper, filled) or block(self.wrapper, filled, constant=True)
-        return self.others[filled]
-
-    def _read(self, node: Node, wrapper: list, out: list[tuple[int, str]]) -> None:
-        kids, at = wrapper[KIDS], 0
+        top, leaves = parse(page), []
+        tree = self._read(top, self.wrapper, (False, False, False), leaves, set())
+        able = [x for x in leaves if not x.skipped]
+        if all(x.constant for x in able):
+            for x in able:
+                x.constant = False
+        for x in able:
+            x.weight = 0.0 if x.constant else x.weight
+        total = sum(x.weight for x in able)
+        anchored = [x for x in able if x.article or x.main]
+        if anchored and sum(x.weight for x in anchored) >= ARTICLE_SHARE * total:
+            chosen = [x for x in anchored if (x.article and (not x.constant or x.holder in ENTRIES)) or (not x.article and not x.constant and not x.menu)]
+        else:
+            chosen = [x for x in self._block(tree) if not x.constant and not x.menu]
+        # what is left may be nothing but links or template: the page's text all the same
+        chosen = chosen or anchored or able
+        return "\n".join(x.text for x in chosen)
+
+    def _read(self, node: Node, wrapper: list | None, inside: tuple[bool, bool, bool], leaves: list[Leaf], met: set[int]) -> list:
+        """[node, weight, children, leaves]: the page's tree with its texts, each looked up in the wrapper."""
+        article, main, skipped = inside[0] or node.name == "article", inside[1] or node.name == "main", inside[2] or node.skipped == YES
+        within = article or main
+        if node.skipped == WEAK:
+            skipped |= not within or _mostly_links(node)
+        inside = article, main, skipped or (node.name == "header" and not within)
+        known, at = self._places(wrapper) if wrapper else {}, 0
+        tree: list = [node, 0.0, []]
         for child in node.children:
-            if isinstance(child, str):
-                text = clean(child)
-                head = "#"
-                if not text:
-                    continue
-            else:
-                if child.skipped:  # it may be left out where others of its slot aren't
-                    continue
-                head = child.head
-            # the next such token, or an earlier one of a repeated group
-            spot = next((i for i in (*range(at, len(kids)), *range(at - 1, -1, -1)) if kids[i][HEAD] == head), None)
-            if spot is None:
+            plain = isinstance(child, list)
+            text = clean(child[0]) if plain else ""
+            if plain and not text:
                 continue
-            at = spot
-            if head == "#":
-                out.append((id(kids[spot]), text))
+            spots = known.get("#" if plain else child.head)
+            slot = None
+            if spots:  # the next such token, or the last one before it of a repeated group
+                k = bisect_left(spots, at)
+                at = spots[k] if k < len(spots) else spots[-1]
+                slot = wrapper[KIDS][at]
+            if plain:
+                leaf = Leaf(text, child[1], node.name, inside)
+                if slot:
+                    leaf.constant = len(slot[SEEN]) >= CONSTANT_PAGES
+                    if id(slot) not in met:  # the host's mean counts once a page
+                        met.add(id(slot))
+                        leaf.weight += max(slot[VOLUME] - slot[LINKED], 0) / slot[PAGES]
+                leaves.append(leaf)
+                tree[2].append(leaf)
             else:
-                self._read(child, kids[spot], out)
+                tree[2].append(self._read(child, slot, inside, leaves, met))
+        return tree
+
+    def _places(self, wrapper: list) -> dict[str, list[int]]:
+        found = self.places.get(id(wrapper))
+        if found is None:
+            found = self.places[id(wrapper)] = {}
+            for i, k in enumerate(wrapper[KIDS]):
+                found.setdefault(k[HEAD], []).append(i)
+        return found
+
+    def _block(self, tree: list) -> list[Leaf]:
+        """Texts of the smallest group with most of the weight, and of the headings and lead before it."""
+        weigh(tree)
+        total, headings, lead = tree[1], [], []
+        while total:
+            kids = [k for k in tree[2] if isinstance(k, list)]
+            deeper = next((k for k in kids if k[1] >= MAIN_SHARE * total), None)
+            # a block that comes again next to its like is the text itself, and so is one without blocks
+            if deeper is None or not any(isinstance(k, list) for k in deeper[2]) or sum(k[0].head == deeper[0].head for k in kids) > 1:
+                break
+            before = kids[: next(i for i, k in enumerate(kids) if k is deeper)]
+            headings += [k for k in before if k[0].name in HEADINGS]
+            lead = [k for k in before if k[1] and prose(k)] or lead
+            tree = deeper
+        seen: dict[int, Leaf] = {}
+        for part in (*headings, *lead, tree):
+            for x in texts(part):
+                seen.setdefault(id(x), x)
+        return [x for x in seen.values() if not x.skipped]
+
+
+def _mostly_links(node: Node) -> bool:
+    every = linked = 0
+    for n in _nodes(node):
+        for c in n.children:
+            if isinstance(c, list):
+                size = len(clean(c[0]))
+                every, linked = every + size, linked + min(size, c[1])
+    return 2 * linked >= every
+
+
+def _nodes(node: Node) -> Iterator[Node]:
+    yield node
+    for c in node.children:
+        if isinstance(c, Node):
+            yield from _nodes(c)
+
+
+def weigh(tree: list) -> float:
+    tree[1] = sum((0.0 if k.skipped else k.weight) if isinstance(k, Leaf) else weigh(k) for k in tree[2])
+    return tree[1]
+
+
+def texts(tree: list) -> Iterator[Leaf]:
+    for k in tree[2]:
+        if isinstance(k, Leaf):
+            yield k
+        else:
+            yield from texts(k)
+
+
+def prose(tree: list) -> bool:
+    node = tree[0]
+    return node.name in PROSE or bool(LEADS.intersection(node.head.split(".")[1:])) or any(prose(k) for k in tree[2] if isinstance(k, list))
 
 
 def host_of(url: Column) -> Column:
@@ -335,45 +461,53 @@ def infer(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 one = lift(parse(page.as_py()))
                 found[host] = merge(found[host], one) if host in found else one
+                if len(found) > HELD:
+                    yield _packed(found)
+                    found = {}
         yield _packed(found)
 
     def join(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
         whole = None
         for text in sorted(parts.column("wrapper").to_pylist()):  # a fixed order: the same wrapper each time
-            one = json.loads(text)
+            one = load(text)
             whole = merge(whole, one) if whole else one
         return pa.Table.from_batches([_packed({key[0].as_py(): whole})])
 
-    first = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).mapInArrow(grow, "host string, wrapper string")
-    salted = first.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    second = salted.groupBy("host", "salt").applyInArrow(join, "host string, wrapper string")
-    return second.groupBy("host").applyInArrow(join, "host string, wrapper string")
+    found = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).mapInArrow(grow, "host string, wrapper string")
+    for salts in (SALTS * SALTS, SALTS):
+        salted = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
+        found = salted.groupBy("host", "salt").applyInArrow(join, "host string, wrapper string")
+    return found.groupBy("host").applyInArrow(join, "host string, wrapper string")
 
 
 def _packed(found: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([json.dumps(v, separators=(",", ":")) for v in found.values()], pa.string())})
+    return pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([dump(v) for v in found.values()], pa.string())})
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", into: str = "text") -> DataFrame:
     """Adds the main text of each page."""
     wrappers = infer(pages, html, url)
-    host, own, wrapper, salt, part = (free_name(pages, n) for n in ("host", "own", "wrapper", "salt", "part"))
+    host, wrapper, salt = (free_name(pages, n) for n in ("host", "wrapper", "salt"))
     # every wrapper is there SALTS times, so a host's pages meet it in as many tasks
-    held = wrappers.select(F.col("host").alias(own), F.col("wrapper").alias(wrapper), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(part))
+    held = wrappers.select(F.col("host").alias(host), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.col("wrapper").alias(wrapper))
     dealt = pages.withColumn(host, host_of(pages[f"`{url}`"])).withColumn(salt, F.pmod(F.xxhash64(f"`{url}`", F.octet_length(f"`{html}`")), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(held, (F.col(host) == F.col(own)) & (F.col(salt) == F.col(part)))
-
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known: dict[str, Extractor] = {}
-        for bodies, texts in batches:
-            out = []
-            for page, w in zip(bodies, texts.to_pylist(), strict=True):
-                if w not in known:
-                    if len(known) > 1_000:
-                        known.clear()
-                    known[w] = Extractor(json.loads(w))
-                out.append(known[w](page.as_py()))
-            yield pa.array(out, pa.string())
-
-    made = add(joined, {into: arrow(run, "string", several=True)(F.col(f"`{html}`"), F.col(wrapper))})
-    return made.drop(host, own, wrapper, salt, part)
+    together = dealt.unionByName(held, allowMissingColumns=True).repartition(F.col(host), F.col(salt)).sortWithinPartitions(host, salt, F.col(wrapper).isNull())
+    keep = [c for c in pages.columns if c.lower() != into.lower()]
+    kind = T.StructType([T.StructField(c, pages.schema[c].dataType) for c in keep] + [T.StructField(into, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Extractor(lift(parse("")))
+        for batch in batches:
+            rows, out = [], []
+            bodies, found = batch.column(html), batch.column(wrapper)
+            for i in range(batch.num_rows):
+                if found[i].is_valid:
+                    read = Extractor(load(found[i].as_py()))
+                else:
+                    rows.append(i)
+                    out.append(read(bodies[i].as_py()))
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, into])
+        tidy()
+
+    return together.mapInArrow(run, kind)

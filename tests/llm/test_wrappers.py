@@ -1,5 +1,7 @@
 import json
 import random
+import time
+from html.parser import HTMLParser
 
 from plumbline.llm import queries, wrappers
 from pyspark.sql import functions as F
@@ -94,3 +96,100 @@ def test_heading_lead_and_linked_text_stay(spark):
     pages = [f"<body><div class=top><span>user {i}</span></div><div class=page><h1><a href=x>Title {i}</a></h1><p class=lead>Lead {i}</p><div class=body><p>{f'w{i} ' * 60}</p><p>{f'v{i} ' * 60}</p><blockquote><a href=y>quoted {i}</a></blockquote></div><ul><li><a href=z>other {i}</a></ul></div></body>" for i in range(7)]
     want = [f"Title {i}\nLead {i}\n{(f'w{i} ' * 60).strip()}\n{(f'v{i} ' * 60).strip()}\nquoted {i}" for i in range(7)]
     assert read(spark, pages) == want
+
+
+class Truth(HTMLParser):
+    """Blocks of the article, read by the standard library's parser: another way than the module's."""
+
+    BLOCKS = frozenset("article h1 p li blockquote".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.off, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        if tag in ("script", "style", "aside", "form", "nav"):
+            self.off += 1
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.depth -= 1
+        if tag in ("script", "style", "aside", "form", "nav"):
+            self.off -= 1
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.depth and not self.off:
+            self.blocks[-1] += data
+
+
+def truth(html):
+    parser = Truth()
+    parser.feed(html or "")
+    parser.close()
+    return "\n".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t)
+
+
+def test_pages_against_another_parser(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: truth(r.html) for r in rows.collect()}
+    assert all(want.values())
+    assert {r.page_id: r.text for r in wrappers.extract(rows).collect()} == want
+    # the same texts where no tag says what an article is, and where half the pages have none
+    bare = rows.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    assert {r.page_id: r.text for r in wrappers.extract(bare).collect()} == want
+    gone = rows.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "</?article>", "")).otherwise(F.col("html")))
+    assert {r.page_id: r.text for r in wrappers.extract(gone).collect()} == want
+
+
+def test_the_wrapper_decides(spark):
+    # a short post beside a long sidebar without any mark, on a host of long posts
+    long = ["post %d " % i + f"w{i} " * 80 for i in range(9)]
+    pages = [f"<body><div class=top><b>Site</b></div><div class=one><h1>Title {i}</h1><div class=two><p>{p}</p></div></div><div class=three><div><p>{f's{i} ' * 25}</p></div></div></body>" for i, p in enumerate([*long, "tiny post"])]
+    got = read(spark, pages)
+    assert got[:9] == [f"Title {i}\n{p.strip()}" for i, p in enumerate(long)] and got[9] == "Title 9\ntiny post"
+    alone = wrappers.Extractor(wrappers.lift(wrappers.parse("")))(pages[9])
+    assert "s9" in alone
+    # template inside an article: the wrapper alone knows it
+    pages = [f"<body><article><h1>T{i}</h1><div class=x>Read us every day</div><p>{f'v{i} ' * 20}</p><p>The same closing words.</p></article></body>" for i in range(7)]
+    assert read(spark, pages) == [f"T{i}\n{(f'v{i} ' * 20).strip()}\nThe same closing words." for i in range(7)]
+    assert "every day" in wrappers.Extractor(wrappers.lift(wrappers.parse("")))(pages[0])
+
+
+def test_class_names_inside_articles(spark):
+    inside = '<div class="search results"><p>found it</p></div><div class="social-science"><p>a science</p></div><div class="related"><p>told in words</p></div><div class="ad-hoc"><p>hoc</p></div>'
+    outside = '<div class="social"><a href=x>share</a> <a href=y>like</a></div><div class="comment-list"><p>nice</p></div><div class="notice"><p>we moved</p></div><div class="ad-slot-3"><p>buy</p></div>'
+    pages = [f"<body><article><p>text {i}</p>{inside}{outside}</article></body>" for i in range(2)]
+    assert read(spark, pages) == [f"text {i}\nfound it\na science\ntold in words\nhoc" for i in range(2)]
+    assert [wrappers.marked(n) for n in ("ad", "ads-left", "post-comments", "address", "social-science", "share-bar", "main-content")] == [2, 2, 2, 0, 0, 1, 0]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<article>" + "<div>" * 5_000 + "one<p>two</p>" + "<nav>menu</nav>" + "</div>" * 5_000 + "<p>three</p></article>"
+    assert read(spark, [deep, deep.replace("one", "uno")]) == ["one\ntwo\nthree", "uno\ntwo\nthree"]
+    wide = ["<article>" + "".join(f"<p class={chr(97 + k % 26) + chr(97 + k // 26 % 26) + chr(97 + k // 676)}{end}>t{k}</p>" for k in range(3_000)) + "</article>" for end in ("", "x", "y")]
+    began = time.time()
+    assert read(spark, wide) == ["\n".join(f"t{k}" for k in range(3_000))] * 3
+    assert time.time() - began < 60
+
+
+def test_alignment_is_a_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(9))] for _ in range(2))
+        pairs = wrappers.common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert wrappers.common(list("abc"), list("abxc")) == [(0, 0), (1, 1), (2, 3)]
+
+
+def test_wrappers_survive_being_written():
+    one = wrappers.lift(wrappers.parse(page("A", ["b", "c"])))
+    assert wrappers.load(wrappers.dump(one)) == one
