@@ -11,7 +11,7 @@ Documents are dealt to groups of about ``GROUP_BYTES`` by a hash of their key, a
 group is the unit of all exchange:
 
 1. Each group sends the distinct hashes of its rolling windows, with a mark on those
-   that are blocks, packed by hash range.  Where two groups or more hold a hash and one
+   that are blocks, packed by hash range (one for each ``RANGE_BYTES`` of text).  Where two groups or more hold a hash and one
    of them as a block, all of them are told so.
 2. Each group sends the distinct hashes of its full windows that hold such a hit, with
    the smallest key that has them, and is told which of them an earlier document of
@@ -21,11 +21,15 @@ group is the unit of all exchange:
 A passage in a third of all documents is one entry for each group, never one for each
 document, and nothing is paired.  The texts are exchanged once.  Hashes: 31 bits in step
 1 within a hash range, where a chance hit only adds candidates; 64 bits in step 2 within
-a range chosen by a second, independent hash, so the bits grow with the data.
+a range chosen by a second, independent hash, so the bits grow with the data.  Groups and
+ranges grow with the text while partitions stop at ``MOST_PARTITIONS``: a task then takes
+its groups or ranges one after another and holds one of them.  Work is in proportion to
+the words, since only ranges that a group has hashes in are visited or sent.
 
 Defined results: a null, empty or blank text has no words.  Rows of the same key don't
 count as earlier than each other; a null key is later than all others.  The result has
-a row for each row, with the key and the results; other columns take no part.
+a row for each row, with the key and the results; other columns take no part.  A long
+text is read whole and makes its group larger by itself; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ from pyspark.sql import functions as F
 WINDOW = 20
 GROUP_BYTES = 8 << 20
 MIN_GROUPS = 12
+RANGE_BYTES = 32 << 20
+MOST_PARTITIONS = 20_000
 #: Bytes hashed at a time; a longer text is hashed as one piece.
 PIECE = 1 << 19
 LAST = np.int64(2**63 - 1)
@@ -140,10 +146,12 @@ def _place(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(31)) % np.uint64(ranges)) << np.uint64(31) | h & np.uint64(0x7FFFFFFF)
 
 
-def _cut(ranged: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of a sorted array of ranges."""
-    edges = np.searchsorted(ranged, np.arange(ranges + 1, dtype=np.uint64))
-    return [(r, int(edges[r]), int(edges[r + 1])) for r in range(ranges) if edges[r + 1] > edges[r]]
+def _cut(ranged: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, from, to) of a sorted array of ranges: those that are there, whatever their number."""
+    if not len(ranged):
+        return []
+    starts = np.append(0, np.flatnonzero(ranged[1:] != ranged[:-1]) + 1)
+    return list(zip(ranged[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(ranged)], strict=True))
 
 
 def _hits(right: pa.Table) -> np.ndarray:
@@ -152,47 +160,46 @@ def _hits(right: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, most_partitions: int = MOST_PARTITIONS) -> DataFrame:
     """A row for each row of ``df``: ``key``, ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one space."""
     if window < 4 or window % 2:
         raise ValueError("window: an even number of words, 4 or more")
     total = df.agg(F.sum(F.octet_length(f"`{text}`").cast("long"))).first()[0] or 0
-    groups = max(MIN_GROUPS, -(-total // group_bytes))
+    groups, ranges = max(MIN_GROUPS, -(-total // group_bytes)), max(MIN_GROUPS, -(-total // range_bytes))
+    partitions = min(groups, most_partitions)
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(LAST))).alias("key"), F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{text}`").cast("binary").alias("text"))
-    docs = docs.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).repartition(groups, "g")
+    docs = docs.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).repartition(partitions, "g")
 
     def probe(name: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         group = Group(table, window)
         at, h = group.hashes(group.block)
         block = (at - group.first[group.doc[at]]) % group.block == 0 if len(at) else np.zeros(0, bool)
-        places = _place(h, groups) << np.uint64(1) | block.astype(np.uint64)
+        places = _place(h, ranges) << np.uint64(1) | block.astype(np.uint64)
         places = np.unique(places)
         last = np.ones(len(places), bool)
         last[:-1] = places[1:] >> np.uint64(1) != places[:-1] >> np.uint64(1)  # of a hash as a block and as none, the block
         places = places[last]
         small = places.astype(np.uint32)  # range bits fall away
-        cuts = _cut(places >> np.uint64(32), groups)
+        cuts = _cut(places >> np.uint64(32))
         return pa.table({"range": pa.array([r for r, _, _ in cuts], pa.int32()), "g": pa.array([name[0].as_py()] * len(cuts), pa.int32()), "blob": pa.array([small[a:b].tobytes() for _, a, b in cuts], pa.binary())})
 
-    def answer(batches):
-        rows = [(r, g, np.frombuffer(b, np.uint32)) for batch in batches for r, g, b in zip(*(batch.column(c).to_pylist() for c in ("range", "g", "blob")), strict=True)]
-        for r in sorted({x[0] for x in rows}):
-            own = [(g, b) for q, g, b in rows if q == r]
-            each = np.concatenate([b for _, b in own])
-            hashes, marks = each >> 1, each & 1
-            distinct, back = np.unique(hashes, return_inverse=True)
-            good = (np.bincount(back, minlength=len(distinct)) > 1) & (np.bincount(back, marks, minlength=len(distinct)) > 0)
-            told, sent = good[back], np.cumsum([0, *[len(b) for _, b in own]])
-            out = [(g, hashes[a:z][told[a:z]]) for (g, _), a, z in zip(own, sent, sent[1:], strict=False)]
-            out = [(g, x.tobytes()) for g, x in out if len(x)]
-            yield pa.RecordBatch.from_pydict({"g": pa.array([g for g, _ in out], pa.int32()), "range": pa.array([r] * len(out), pa.int32()), "kind": pa.array([0] * len(out), pa.int8()), "blob": pa.array([x for _, x in out], pa.binary())})
+    def answer(name: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        r, groups_of = name[0].as_py(), sent.column("g").to_pylist()
+        blobs = [np.frombuffer(b.as_buffer(), np.uint32) for chunk in sent.column("blob").chunks for b in chunk]
+        each = np.concatenate(blobs)
+        hashes, marks = each >> 1, each & 1
+        distinct, back = np.unique(hashes, return_inverse=True)
+        good = (np.bincount(back, minlength=len(distinct)) > 1) & (np.bincount(back, marks, minlength=len(distinct)) > 0)
+        told, ends = good[back], np.cumsum([0, *map(len, blobs)])
+        out = [(g, hashes[a:z][told[a:z]].tobytes()) for g, a, z in zip(groups_of, ends, ends[1:], strict=False) if told[a:z].any()]
+        return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "range": pa.array([r] * len(out), pa.int32()), "kind": pa.array([0] * len(out), pa.int8()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def offer(name: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         hits = _hits(right)
         if len(hits) and left.num_rows:
-            _, _, _, ranged, h, first = Group(left, window).candidates(hits, groups)
-            for r, a, b in _cut(ranged, groups):
+            _, _, _, ranged, h, first = Group(left, window).candidates(hits, ranges)
+            for r, a, b in _cut(ranged):
                 base = int(first[a:b].min())
                 wide = first[a:b] - base
                 rows.append((r, name[0].as_py(), h[a:b].tobytes(), base, wide.astype(np.uint32).tobytes() if wide.max() < 1 << 32 else wide.tobytes()))
@@ -200,23 +207,21 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int =
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("range", "g", "hashes", "base", "first"), columns, kinds, strict=True)})
 
-    def compare(batches):
-        rows = [x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("range", "g", "hashes", "base", "first")), strict=True)]
-        for r in sorted({x[0] for x in rows}):
-            own = [x for x in rows if x[0] == r]
-            h = [np.frombuffer(x[2], np.uint64) for x in own]
-            first = [np.frombuffer(x[4], np.uint32 if len(x[4]) == 4 * len(a) else np.int64).astype(np.int64) + x[3] for x, a in zip(own, h, strict=True)]
-            _, back = np.unique(np.concatenate(h), return_inverse=True)
-            each = np.concatenate(first)
-            least = np.full(int(back.max()) + 1, LAST)
-            np.minimum.at(least, back, each)
-            late, sent = each > least[back], np.cumsum([0, *map(len, h)])
-            out = [(x[1], np.packbits(late[a:z]).tobytes()) for x, a, z in zip(own, sent, sent[1:], strict=False) if late[a:z].any()]
-            yield pa.RecordBatch.from_pydict({"g": pa.array([g for g, _ in out], pa.int32()), "range": pa.array([r] * len(out), pa.int32()), "kind": pa.array([1] * len(out), pa.int8()), "blob": pa.array([x for _, x in out], pa.binary())})
+    def compare(name: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        r, own = name[0].as_py(), list(zip(*(sent.column(c).to_pylist() for c in ("g", "hashes", "base", "first")), strict=True))
+        h = [np.frombuffer(x[1], np.uint64) for x in own]
+        first = [np.frombuffer(x[3], np.uint32 if len(x[3]) == 4 * len(a) else np.int64).astype(np.int64) + x[2] for x, a in zip(own, h, strict=True)]
+        _, back = np.unique(np.concatenate(h), return_inverse=True)
+        each = np.concatenate(first)
+        least = np.full(int(back.max()) + 1, LAST)
+        np.minimum.at(least, back, each)
+        late, ends = each > least[back], np.cumsum([0, *map(len, h)])
+        out = [(x[0], np.packbits(late[a:z]).tobytes()) for x, a, z in zip(own, ends, ends[1:], strict=False) if late[a:z].any()]
+        return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "range": pa.array([r] * len(out), pa.int32()), "kind": pa.array([1] * len(out), pa.int8()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def drop(name: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, window)
-        at, h, chosen, ranged, sent, _ = group.candidates(_hits(right), groups)
+        at, h, chosen, ranged, sent, _ = group.candidates(_hits(right), ranges)
         doc = group.doc[at] if len(at) else np.zeros(0, np.int64)
         # within the group: later than the smallest key, or later in the same document
         order = np.argsort(h, kind="stable")
@@ -229,7 +234,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int =
         late = np.zeros(len(at), bool)
         late[order] = again | (group.keys[doc[order]] > group.keys[doc[lead]])
         # elsewhere: as told
-        cuts = {r: (a, b) for r, a, b in _cut(ranged, groups)}
+        cuts = {r: (a, b) for r, a, b in _cut(ranged)}
         told = np.zeros(len(sent), bool)
         for r, kind, b in zip(right.column("range").to_pylist(), right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True):
             if kind == 1:
@@ -255,8 +260,8 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int =
         return pa.table({"key": pa.array(group.keys, pa.int64(), mask=none.astype(bool)), "n_words": pa.array(group.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     told = "g int, range int, kind byte, blob binary"
-    hits = docs.groupBy("g").applyInArrow(probe, "range int, g int, blob binary").repartition(groups, "range").mapInArrow(answer, told)
+    hits = docs.groupBy("g").applyInArrow(probe, "range int, g int, blob binary").repartition(partitions, "range").groupBy("range").applyInArrow(answer, told)
     offers = docs.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(offer, "range int, g int, hashes binary, base long, first binary")
-    late = offers.repartition(groups, "range").mapInArrow(compare, told)
+    late = offers.repartition(partitions, "range").groupBy("range").applyInArrow(compare, told)
     out = docs.groupBy("g").cogroup(hits.union(late).groupBy("g")).applyInArrow(drop, "key long, n_words long, n_removed long, kept string")
     return out.select(F.col("key").alias(key), "n_words", "n_removed", "kept")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.llm import queries, substrings
@@ -24,8 +25,8 @@ def brute(rows, n=20):
     return out
 
 
-@pytest.mark.parametrize("window,group_bytes", [(20, 1 << 23), (20, 2_000), (6, 500)])
-def test_against_brute_force(spark, window, group_bytes):
+@pytest.mark.parametrize("window,group_bytes,how", [(20, 1 << 23, {}), (20, 2_000, {}), (6, 500, {}), (20, 2_000, {"range_bytes": 300, "most_partitions": 5})])
+def test_against_brute_force(spark, window, group_bytes, how):
     rng = random.Random(window)
     word = lambda: f"w{rng.randrange(400)}"
     passages = [" ".join(word() for _ in range(rng.randrange(window - 2, window * 3))) for _ in range(6)]
@@ -38,7 +39,7 @@ def test_against_brute_force(spark, window, group_bytes):
         rows.append((i * 3 - 20, rng.choice([" ", "\n", "  \t"]).join(text)))
     rows += [(1_000, "na " * 300), (1_001, "na " * 25), (1_002, None), (1_003, ""), (1_004, "x" * 700_000 + " end"), (None, passages[0] + " tail")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, g int")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup(df, window=window, group_bytes=group_bytes).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup(df, window=window, group_bytes=group_bytes, **how).collect()}
     assert got == brute(rows, window)
 
 
@@ -54,3 +55,8 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in brute(rows).items()}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op7_substrings"](spark, sf).collect()} == want
+
+
+def test_only_ranges_with_hashes_are_visited():
+    assert substrings._cut(np.array([], np.uint64)) == []
+    assert substrings._cut(np.array([3, 3, 10**9, 10**12], np.uint64)) == [(3, 0, 2), (10**9, 2, 3), (10**12, 3, 4)]
