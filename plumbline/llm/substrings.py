@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 WINDOW = 20
 GROUP_BYTES = 8 << 20
 MIN_GROUPS = 12
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 MOST_PARTITIONS = 20_000
 #: Bytes hashed at a time; a longer text is hashed as one piece.
 PIECE = 1 << 19
