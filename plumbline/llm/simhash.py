@@ -14,25 +14,38 @@ itself and its 64 one-bit neighbours, and those that meet at a point, all within
 bits of each other, are linked to the smallest of them.  Two linked fingerprints always
 meet so, hence no link is lost and no group is expanded into pairs.
 
+``keep_similar`` also links texts by the similarity of their shingle sets (Jaccard,
+``SIMILARITY`` or more), for which no number of bits serves: at five words and 0.8, texts
+are 5 to 20 bits apart, and segments of which one surely differs by a bit at most would
+then have six bits and meet everywhere.  So its other candidates come from ``BANDS``
+bands of ``ROWS`` smallest hashes each (a pair at 0.8 shares none once in 10,000), and
+every candidate is verified on the sets themselves.  Equal sets are one node.  Of each
+band value ``HEADS`` nodes are compared with all others, which are all pairs where there
+are no more; in a larger group who is similar to none of them goes on so, again with
+all.  Hence only two that both resemble heads of their own, which no chain of meetings
+joins, could stay apart (tests hold large groups against all pairs).  A node's set moves
+once for each head it is compared with, and nothing is held but one set at a time.
+
 Defined results: a text without words (null, empty or white space) has fingerprint
 zero and is linked as any other; a text of fewer words than a shingle is one shingle.
 Rows of the same doc_id and text get the same result.  A null doc_id gets its group's
 smallest id and takes no part in choosing it; a group of nulls alone has component null.
 Other columns of the input don't matter to ``members`` and pass through ``keep_one``,
-which also keeps one of rows that repeat doc_id and text.
+which also keeps one of rows that repeat doc_id and text; ``keep_similar`` likewise.
+Long texts are read whole.  No rows give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow
+from plumbline.llm.common import arrow, forget, free_name, tidy
 from plumbline.llm.components import components
 from plumbline.sources.shared import written
 
@@ -41,24 +54,39 @@ SEED = 42
 DISTANCE = 2
 #: Distinct fingerprints of one signature that are compared with each other.
 BUSY = 64
+SIMILARITY = 0.8
+BANDS, ROWS, HEADS = 24, 5, 16
+#: Parts into which the nodes compared with one node are dealt if there are over MANY.
+PARTS, MANY = 32, 1_000
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """As a signed 64-bit integer."""
+def _hashes(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, some thousand at a time."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     joined, n = b" ".join(parts), len(parts)
     sizes = np.fromiter(map(len, parts), np.int64, n) + 1
     ends = np.cumsum(sizes)
     starts = ends - sizes
     k = min(words, n)
-    digest, ones, half = xxhash.xxh64_intdigest, np.zeros(64, np.int64), n - k + 1
-    for at in range(0, half, 8192):
-        cuts = zip(starts[at : min(at + 8192, half)].tolist(), (ends[at + k - 1 : at + 8192 + k - 1] - 1).tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in cuts], np.uint64)
+    digest, many = xxhash.xxh64_intdigest, n - k + 1
+    for at in range(0, many, 8192):
+        cuts = zip(starts[at : min(at + 8192, many)].tolist(), (ends[at + k - 1 : at + 8192 + k - 1] - 1).tolist(), strict=True)
+        yield np.array([digest(joined[a:b], seed) for a, b in cuts], np.uint64)
+
+
+def _vote(pieces: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > half, bitorder="little").view(np.int64)[0])
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """As a signed 64-bit integer."""
+    return _vote(_hashes(text, words, seed))
 
 
 def fingerprints(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
@@ -129,3 +157,95 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", **how: int)
     first = members(df, text, key, **how).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_id")).distinct()
     stay = df.join(first, df[f"`{key}`"].eqNullSafe(F.col("kept_id")), "left_semi")
     return stay.dropDuplicates([key, text])
+
+
+_RNG = np.random.default_rng(20_011)
+_TIMES, _PLUS = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_TIMES |= np.uint64(1)
+
+
+def _sketch(text: str | None, words: int, seed: int) -> dict:
+    """Fingerprint, name and set of a text's shingles (32 bits of each hash), and its bands."""
+    pieces = list(_hashes(text, words, seed))
+    own = np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(own), 2048):
+        np.minimum(least, (own[at : at + 2048, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    bands = [xxhash.xxh64_intdigest(b.tobytes()) - (1 << 63) for b in least.reshape(BANDS, ROWS)]
+    return {"fp": _vote(pieces), "node": xxhash.xxh3_128_hexdigest(own.tobytes()), "bands": bands, "shingles": np.unique(own.astype(np.uint32)).tobytes()}
+
+
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the edges (u, v) whose sets are similar: each v's set is read once, then those of its u, in a sorted stream."""
+    sizes = edges.groupBy("v").agg(F.count("*").alias("n"))
+    parted = edges.join(sizes, "v").select("u", "v", F.when(F.col("n") > MANY, F.pmod(F.xxhash64("u"), F.lit(PARTS))).otherwise(0).cast("int").alias("part"))
+    heads = parted.select("v", "part").distinct().select(F.col("v").alias("node"), "v", "part", F.lit(0).alias("at"))
+    rows = heads.union(parted.select(F.col("u").alias("node"), "v", "part", F.lit(1).alias("at"))).join(sets, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint32)
+        for batch in batches:
+            found = []
+            for node, v, at, blob in zip(batch.column("node").to_pylist(), batch.column("v").to_pylist(), batch.column("at").to_pylist(), batch.column("shingles"), strict=True):
+                own = np.frombuffer(blob.as_buffer(), np.uint32) if blob.as_buffer().size else np.zeros(0, np.uint32)
+                if at == 0:
+                    head = own
+                    continue
+                both = np.intersect1d(head, own, assume_unique=True).size
+                if both >= similarity * (len(head) + len(own) - both):
+                    found.append((node, v))
+            yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.string()), "v": pa.array([v for _, v in found], pa.string())})
+        tidy()
+
+    return rows.repartition("v", "part").sortWithinPartitions("v", "part", "at").select("node", "v", "at", "shingles").mapInArrow(compare, "u string, v string")
+
+
+def _similar(points: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+    """Links of similar nodes, from the band values that they share."""
+    held = points.select("node", F.posexplode("bands").alias("band", "value"))
+    shared = held.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    now, links, at = written(held.join(shared, ["band", "value"]).select("*", F.xxhash64("node").alias("h"), F.lit(True).alias("open")), "bands"), [], ["band", "value"]
+    while not now.isEmpty():
+        place = F.row_number().over(Window.partitionBy(*at).orderBy("h", "node"))
+        heads = now.where("open").withColumn("place", place).where(F.col("place") <= HEADS).select(*at, F.col("node").alias("v"), F.col("h").alias("vh"))
+        # of two open ones the later is compared with the earlier
+        met = now.join(heads, at).where((F.col("node") != F.col("v")) & (~F.col("open") | (F.struct("h", "node") > F.struct("vh", "v"))))
+        found = written(_verified(met.select(F.col("node").alias("u"), "v").distinct(), sets, similarity), "similar")
+        links.append(found)
+        similar = met.where("open").join(found.withColumnRenamed("u", "node"), ["node", "v"], "left_semi").select(*at, "node")
+        closed = similar.union(heads.select(*at, F.col("v").alias("node"))).distinct().withColumn("closed", F.lit(True))
+        rest = now.join(closed, [*at, "node"], "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
+        last, now = now, written(rest.join(rest.where("open").select(*at).distinct(), at, "left_semi"), "bands")
+        forget(last)
+    return links
+
+
+def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, seed: int = SEED, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``df`` of smallest ``key`` of each group, where fingerprints within ``distance`` bits and similar shingle sets link."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("fp", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
+        for batch in batches:
+            yield pa.array([_sketch(t.as_py(), words, seed) for t in batch], kind)
+
+    sketch = arrow(run, "struct<fp:long,node:string,bands:array<long>,shingles:binary>")(df[f"`{text}`"])
+    docs = written(df.select(F.col(f"`{key}`").alias("id"), sketch.alias("s")).select("id", "s.*"), "sketches")
+    # equal sets have the same bands, but texts of equal sets may have several fingerprints
+    points = docs.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    sets = docs.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    prints = docs.groupBy("fp").agg(F.min("node").alias("node"))
+    edges = docs.select("node", "fp").distinct().join(prints.withColumnRenamed("node", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    near = links(prints.select("fp"), distance)
+    for a in ("u", "v"):
+        near = near.join(prints.select(F.col("fp").alias(a), F.col("node").alias(f"{a}_node")), a)
+    edges = edges.union(near.select("u_node", "v_node"))
+    for found in _similar(points, sets, similarity):
+        edges = edges.union(found)
+    rooted = points.select("node", "id").join(components(edges).select("node", "root"), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("id").alias("id"), F.min("node").alias("node"))
+    kept, node = free_name(df, "kept"), free_name(df, "node")
+    stay = df.join(groups.where("id is not null").select(F.col("id").alias(kept)), df[f"`{key}`"] == F.col(kept), "left_semi")
+    nameless = groups.where("id is null").select(F.col("node").alias(node))  # of null keys alone: those of the smallest node stay
+    if not nameless.isEmpty():
+        stay = stay.unionByName(df.where(df[f"`{key}`"].isNull()).withColumn(node, sketch["node"]).join(nameless, node, "left_semi").drop(node))
+    return stay.dropDuplicates([key, text])

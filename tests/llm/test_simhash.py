@@ -30,6 +30,31 @@ def brute_groups(prints, distance):
     return root
 
 
+def brute_set(text):
+    parts = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+    return frozenset(b" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))) if parts else frozenset()
+
+
+def brute_kept(texts):
+    """texts: id -> text; ids that are smallest of their group by five-word fingerprints or sets."""
+    ids, root = sorted(texts), {i: i for i in texts}
+    prints, sets = {i: brute_print(t, 5) for i, t in texts.items()}, {i: brute_set(t) for i, t in texts.items()}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            few, many = sorted((len(sets[a]), len(sets[b])))
+            near = few >= 0.8 * many and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if near or bin(prints[a] ^ prints[b]).count("1") <= 2:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {i for i in ids if root[i] == i}
+
+
 def test_fingerprints(spark):
     texts = [None, "", " \t\n", "one", "One TWO", "a b c d e f g", "É é x", "w " * 30_000]
     for t in texts:
@@ -79,3 +104,36 @@ def test_query_against_brute_force(spark, sf):
     want = brute_groups(prints, 2)
     got = queries.QUERIES["op3_simhash"](spark, sf).collect()
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(k, f"{p:016x}", want[k]) for k, p in prints.items()} and len(got) == len(texts)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_similar_texts_against_brute_force(spark, monkeypatch):
+    rng, texts = random.Random(8), {}
+    for i in range(12):
+        words = [f"w{rng.randrange(3_000)}" for _ in range(rng.choice([6, 40, 200, 400]))]
+        texts[i * 50] = " ".join(words)
+        for k in range(1, rng.choice([2, 5, 30])):
+            texts[i * 50 + k] = edited(rng, words, rng.randrange(1 + len(words) // 40))
+    texts |= {900: "", 901: " ", 902: None, 903: "a b", 904: "A  b", 905: "na " * 40, 906: "na " * 80}
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()], "doc_id long, text string, node int, kept int")
+    want = brute_kept(texts)
+    for heads, many in ((16, 1_000), (3, 4)):  # nearly all pairs, and rounds of few heads, dealt to parts
+        monkeypatch.setattr(simhash, "HEADS", heads)
+        monkeypatch.setattr(simhash, "MANY", many)
+        kept = simhash.keep_similar(df)
+        assert kept.columns == df.columns
+        assert {r.doc_id for r in kept.collect()} == want
+    assert simhash.keep_similar(df.limit(0)).count() == 0
+
+
+def test_similar_texts_of_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, base), (None, base.upper()), (None, base.replace("w150 ", "other ")), (4, "quite another text"), (4, "quite another text"), (None, "quite another  text")]
+    got = simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) <= 3 and [r.text for r in got if r.doc_id] == ["quite another text"] and sum(r.doc_id is None for r in got) >= 1
