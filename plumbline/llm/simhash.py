@@ -21,8 +21,8 @@ then have six bits and meet everywhere.  So its other candidates come from ``BAN
 bands of ``ROWS`` smallest hashes each (a pair at 0.8 shares none once in 10,000), and
 every candidate is verified on the sets themselves.  Equal sets are one node.  Of each
 band value ``HEADS`` nodes are compared with all others, which are all pairs where there
-are no more; in a larger group who is similar to none of them goes on so, again with
-all.  Hence only two that both resemble heads of their own, which no chain of meetings
+are no more; in a larger group who is similar to none of them goes on so, again with all
+and with twice as many heads each time, so rounds are few.  Hence only two that both resemble heads of their own, which no chain of meetings
 joins, could stay apart (tests hold large groups against all pairs).  A node's set moves
 once for each head it is compared with, and nothing is held but one set at a time.
 
@@ -204,10 +204,11 @@ def _similar(points: DataFrame, sets: DataFrame, similarity: float) -> list[Data
     """Links of similar nodes, from the band values that they share."""
     held = points.select("node", F.posexplode("bands").alias("band", "value"))
     shared = held.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    heads_of = HEADS
     now, links, at = written(held.join(shared, ["band", "value"]).select("*", F.xxhash64("node").alias("h"), F.lit(True).alias("open")), "bands"), [], ["band", "value"]
     while not now.isEmpty():
         place = F.row_number().over(Window.partitionBy(*at).orderBy("h", "node"))
-        heads = now.where("open").withColumn("place", place).where(F.col("place") <= HEADS).select(*at, F.col("node").alias("v"), F.col("h").alias("vh"))
+        heads = now.where("open").withColumn("place", place).where(F.col("place") <= heads_of).select(*at, F.col("node").alias("v"), F.col("h").alias("vh"))
         # of two open ones the later is compared with the earlier
         met = now.join(heads, at).where((F.col("node") != F.col("v")) & (~F.col("open") | (F.struct("h", "node") > F.struct("vh", "v"))))
         found = written(_verified(met.select(F.col("node").alias("u"), "v").distinct(), sets, similarity), "similar")
@@ -217,6 +218,7 @@ def _similar(points: DataFrame, sets: DataFrame, similarity: float) -> list[Data
         rest = now.join(closed, [*at, "node"], "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
         last, now = now, written(rest.join(rest.where("open").select(*at).distinct(), at, "left_semi"), "bands")
         forget(last)
+        heads_of *= 2
     return links
 
 
