@@ -19,12 +19,14 @@ meet so, hence no link is lost and no group is expanded into pairs.
 are 5 to 20 bits apart, and segments of which one surely differs by a bit at most would
 then have six bits and meet everywhere.  So its other candidates come from ``BANDS``
 bands of ``ROWS`` smallest hashes each (a pair at 0.8 shares none once in 10,000), and
-every candidate is verified on the sets themselves.  Equal sets are one node.  Of each
-band value ``HEADS`` nodes are compared with all others, which are all pairs where there
-are no more; in a larger group who is similar to none of them goes on so, again with all
-and with twice as many heads each time, so rounds are few.  Hence only two that both resemble heads of their own, which no chain of meetings
-joins, could stay apart (tests hold large groups against all pairs).  A node's set moves
-once for each head it is compared with, and nothing is held but one set at a time.
+every candidate is verified on the sets themselves.  Equal sets are one node.  The nodes
+of a band value are compared in pairs if they are ``FEW`` at most.  A larger one has ``HEADS``
+heads, with which all others are compared; who is similar to none of them
+goes on as a head, again against all, with eight times as many each time, so rounds are
+few.  Hence only two that both resemble heads of their own, which no chain of meetings
+joins, could stay apart (tests hold large groups against all pairs).  In a large group a
+set moves once a band and round, however many heads it meets, and what is held is the
+heads' sets of one band value, ``MOST_HEADS`` at most.
 
 Defined results: a text without words (null, empty or white space) has fingerprint
 zero and is linked as any other; a text of fewer words than a shingle is one shingle.
@@ -55,7 +57,7 @@ DISTANCE = 2
 #: Distinct fingerprints of one signature that are compared with each other.
 BUSY = 64
 SIMILARITY = 0.8
-BANDS, ROWS, HEADS = 24, 5, 16
+BANDS, ROWS, FEW, HEADS, MOST_HEADS = 24, 5, 16, 64, 512
 #: Parts into which the nodes compared with one node are dealt if there are over MANY.
 PARTS, MANY = 32, 1_000
 
@@ -200,25 +202,71 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.repartition("v", "part").sortWithinPartitions("v", "part", "at").select("node", "v", "at", "shingles").mapInArrow(compare, "u string, v string")
 
 
+def _led(rows: DataFrame, similarity: float) -> DataFrame:
+    """(band, value, node, v): members of a band value that are similar to one of its heads, v.
+
+    Rows of a band value and part come in order, the heads (``at`` 0) before the members,
+    each with its set: the heads' sets are held as one sorted array, in which a member's
+    hashes are looked up, so a set moves once and is compared with all heads at a time.
+    """
+    kind = "band int, value long, node string, v string"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("band", "value", "part", "at", "node", "h", "open")
+        place, heads, sets = None, [], []
+        hashes = owners = sizes = np.zeros(0, np.int64)
+        for batch in batches:
+            found = []
+            for (band, value, part, at, node, h, free), blob in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), batch.column("shingles"), strict=True):
+                own = np.frombuffer(blob.as_py(), np.uint32)
+                if (band, value, part) != place:
+                    place, heads, sets = (band, value, part), [], []
+                if at == 0:
+                    heads.append((h, node))
+                    sets.append(own)
+                    hashes = None
+                    continue
+                if hashes is None:
+                    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                    hashes, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                    order = np.argsort(hashes, kind="stable")
+                    hashes, owners = hashes[order], owners[order]
+                low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+                n = high - low
+                spots = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owners[spots], minlength=len(heads))
+                for i in np.flatnonzero(both >= similarity * (sizes + len(own) - both)).tolist():
+                    if heads[i][1] != node and (not free or (h, node) > heads[i]):
+                        found.append((band, value, node, heads[i][1]))
+            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["band", "value", "node", "v"])
+        tidy()
+
+    return rows.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "at").select("band", "value", "part", "at", "node", "h", "open", "shingles").mapInArrow(compare, kind)
+
+
 def _similar(points: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
     """Links of similar nodes, from the band values that they share."""
     held = points.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = held.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    heads_of = HEADS
-    now, links, at = written(held.join(shared, ["band", "value"]).select("*", F.xxhash64("node").alias("h"), F.lit(True).alias("open")), "bands"), [], ["band", "value"]
+    sizes = held.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    shared, at = written(held.join(sizes, ["band", "value"]), "bands"), ["band", "value"]
+    few = shared.where(F.col("n") <= FEW).select(*at, "node")
+    pairs = few.alias("a").join(few.alias("b"), at).where("a.node > b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    links = [written(_verified(pairs, sets, similarity), "similar")]
+    now, heads_of = written(shared.where(F.col("n") > FEW).select(*at, "node", "n", F.xxhash64("node").alias("h"), F.lit(True).alias("open")), "busy"), HEADS
     while not now.isEmpty():
         place = F.row_number().over(Window.partitionBy(*at).orderBy("h", "node"))
-        heads = now.where("open").withColumn("place", place).where(F.col("place") <= heads_of).select(*at, F.col("node").alias("v"), F.col("h").alias("vh"))
-        # of two open ones the later is compared with the earlier
-        met = now.join(heads, at).where((F.col("node") != F.col("v")) & (~F.col("open") | (F.struct("h", "node") > F.struct("vh", "v"))))
-        found = written(_verified(met.select(F.col("node").alias("u"), "v").distinct(), sets, similarity), "similar")
-        links.append(found)
-        similar = met.where("open").join(found.withColumnRenamed("u", "node"), ["node", "v"], "left_semi").select(*at, "node")
-        closed = similar.union(heads.select(*at, F.col("v").alias("node"))).distinct().withColumn("closed", F.lit(True))
-        rest = now.join(closed, [*at, "node"], "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
-        last, now = now, written(rest.join(rest.where("open").select(*at).distinct(), at, "left_semi"), "bands")
+        heads = now.where("open").withColumn("place", place).where(F.col("place") <= heads_of).drop("place")
+        parts = F.when(F.col("n") > MANY, PARTS).otherwise(1)
+        first = heads.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("at", F.lit(0))
+        rest = now.withColumn("part", F.pmod(F.col("h"), parts).cast("int")).withColumn("at", F.lit(1))
+        met = written(_led(first.union(rest.select(first.columns)).join(sets, "node"), similarity), "similar")
+        links.append(met.select(F.col("node").alias("u"), "v"))
+        closed = met.select(*at, "node").union(heads.select(*at, "node")).distinct().withColumn("closed", F.lit(True))
+        left = now.join(closed, [*at, "node"], "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
+        last, now = now, written(left.join(left.where("open").select(*at).distinct(), at, "left_semi"), "busy")
         forget(last)
-        heads_of *= 2
+        heads_of = min(8 * heads_of, MOST_HEADS)
     return links
 
 

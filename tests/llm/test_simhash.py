@@ -123,8 +123,10 @@ def test_similar_texts_against_brute_force(spark, monkeypatch):
     texts |= {900: "", 901: " ", 902: None, 903: "a b", 904: "A  b", 905: "na " * 40, 906: "na " * 80}
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()], "doc_id long, text string, node int, kept int")
     want = brute_kept(texts)
-    for heads, many in ((16, 1_000), (3, 4)):  # nearly all pairs, and rounds of few heads, dealt to parts
+    for few, heads, many in ((16, 64, 1_000), (2, 3, 4)):  # nearly all pairs, and rounds of few heads, dealt to parts
+        monkeypatch.setattr(simhash, "FEW", few)
         monkeypatch.setattr(simhash, "HEADS", heads)
+        monkeypatch.setattr(simhash, "MOST_HEADS", 8 * heads)
         monkeypatch.setattr(simhash, "MANY", many)
         kept = simhash.keep_similar(df)
         assert kept.columns == df.columns
