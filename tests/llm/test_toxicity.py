@@ -49,3 +49,5 @@ def test_held_out_accuracy_of_the_query(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     known = [(r.predicted, truth[r.doc_id]) for r in rows if r.doc_id in truth]
     assert sum(a == b for a, b in known) >= 0.9 * len(known)
+    unseen = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    assert len(unseen) > 30 and sum(a == b for a, b in unseen) >= 0.9 * len(unseen)
