@@ -20,8 +20,9 @@ are neither shuffled nor joined, hence no passage, however common, makes a hot t
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower
 case.  Defined results: null, empty and wordless texts or items have no matches; an item
 of fewer words than a seed is one seed by itself.  Equal items each match; repeated rows
-of documents each get their matches.  Other columns pass through; one with the result's
-name gives way.
+of documents each get their matches.  Long texts are read whole, with the memory of their
+words' numbers, and alignments hold ``ROW_CELLS`` cells or one passage.  No documents give
+no rows.  Other columns pass through; one with the result's name gives way.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ RARE_DOCS = 20
 RARE_TIMES = 4
 MIN_SCORE = 0.4
 BLOCK_WORDS = 200_000
+#: Cells of a row of passages that are aligned at a time: a long passage has few beside it.
+ROW_CELLS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 KIND = "array<struct<item_id:{},score:double,first_word:int,last_word:int>>"
 
@@ -109,8 +112,13 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each passage with its item as a share of the item's own, many at a time."""
     out = np.zeros(len(items))
     order = sorted(range(len(items)), key=lambda i: (len(passages[i]), len(items[i])))
-    for at in range(0, len(order), 256):
-        own = order[at : at + 256]
+    at = 0
+    while at < len(order):
+        n = 1
+        while n < 256 and at + n < len(order) and (n + 1) * len(passages[order[at + n]]) <= ROW_CELLS:
+            n += 1
+        own = order[at : at + n]
+        at += n
         wide, tall = max(len(passages[i]) for i in own), max(len(items[i]) for i in own)
         text, item = np.zeros((len(own), wide), np.int64), np.full((len(own), tall), -1, np.int64)
         for r, i in enumerate(own):

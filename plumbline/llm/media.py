@@ -13,7 +13,8 @@ samples are data).
 
 Defined results: null content is like empty content, of type ``application/octet-stream``
 and length 0; a null declared type is corrected like a wrong one.  Null text packs like
-empty text.  Repeated rows give equal results.  Other columns pass through; one with a
+empty text.  Repeated rows give equal results.  Long content is searched whole, in time in
+proportion to its length.  No rows give no rows.  Other columns pass through; one with a
 result's name gives way.
 """
 
@@ -24,6 +25,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -127,19 +129,27 @@ def _bmp(b: bytes, at: int) -> int:
 def _pdf(b: bytes, at: int) -> int:
     if not b[at + 5 : at + 6].isdigit():
         return 0
-    mark, stop = b.find(b"startxref", at), b.find(b"%PDF-", at + 5)
-    end = b.rfind(b"%%EOF", at, stop if stop > 0 else len(b))
+    stop = b.find(b"%PDF-", at + 5)
+    stop = stop if stop > 0 else len(b)  # what comes after the next one's start is searched from there
+    mark, end = b.find(b"startxref", at, stop), b.rfind(b"%%EOF", at, stop)
     return end + 5 - at if 0 < mark < end else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+@lru_cache(1)
+def _archives(b: bytes) -> dict[int, int]:
+    """Where the archives start that end records speak of, and where they end: one search for all local headers of a content."""
+    found: dict[int, int] = {}
+    end = b.find(b"PK\x05\x06")
     while end >= 0 and end + 22 <= len(b):
         size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + size == end and end + 22 + note <= len(b):
-            return end + 22 + note - at
+        if end + 22 + note <= len(b):
+            found.setdefault(end - size - start, end + 22 + note)
         end = b.find(b"PK\x05\x06", end + 1)
-    return 0
+    return found
+
+
+def _zip(b: bytes, at: int) -> int:
+    return _archives(b).get(at, at) - at
 
 
 def _gzip(b: bytes, at: int) -> int:

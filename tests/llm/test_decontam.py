@@ -90,3 +90,12 @@ def test_bound_is_never_below_the_score():
     for _ in range(300):
         passage, item = (np.array([rng.randrange(12) for _ in range(rng.randrange(1, most))]) for most in (40, 15))
         assert decontam.reachable(passage, item) >= brute(passage.tolist(), item.tolist())
+
+
+def test_alignment_does_not_depend_on_how_many_go_together(monkeypatch):
+    rng = random.Random(7)
+    passages = [np.array([rng.randrange(6) for _ in range(rng.randrange(1, 90))]) for _ in range(60)]
+    items = [np.array([rng.randrange(1, 6) for _ in range(rng.randrange(1, 15))]) for _ in range(60)]
+    want = decontam.align(passages, items)
+    monkeypatch.setattr(decontam, "ROW_CELLS", 100)
+    assert np.array_equal(decontam.align(passages, items), want)

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -71,3 +72,12 @@ def test_packing_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 64)], "id long, text string")
     got = {r.id: media._data(bytes(r.content)) for r in media.pack(df).collect()}
     assert got == {1: bytes(64), 2: bytes(64), 3: b"x" * 64}
+
+
+def test_many_magic_numbers_take_time_in_proportion():
+    search = media.automaton()
+    began = time.time()
+    for magic in (b"PK\x03\x04", b"%PDF-1", b"\x89PNG\r\n\x1a\n"):
+        assert media.media_in(magic * 200_000, search) == []
+    assert media.media_in(b"PK\x03\x04" * 50_000 + archive(), search) == [(200_000, len(archive()), "application/zip")]
+    assert time.time() - began < 20
