@@ -59,7 +59,7 @@ def icc1(df: DataFrame, entity: str, value: str) -> DataFrame:
     per = df.where(F.col(value).isNotNull()).groupBy(entity).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("ss"))
     whole = per.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum("ss").alias("ssw"), F.sum(F.col("n") * F.col("n")).cast("double").alias("n2"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nm2"))
     w = whole.select("n", "g", safe(F.col("nm2") - F.col("n") * F.col("mean") * F.col("mean"), F.col("g") - 1).alias("msb"), safe(F.col("ssw"), F.col("n") - F.col("g")).alias("msw"), safe(F.col("n") - safe(F.col("n2"), F.col("n")), F.col("g") - 1).alias("k0"))
-    reason = F.when(F.col("n") < 20, "too_few_rows").when(F.col("g") < 3, "too_few_groups").when(F.col("n") <= F.col("g"), "one_row_each").when(F.col("k0") <= 1, "degenerate_group_size")
+    reason = F.when(F.col("n") < 20, "too_few_rows").when(F.col("g") < 3, "too_few_groups").when(F.col("n") <= F.col("g"), "one_row_each").when(F.col("k0") <= 1, "degenerate_group_size").when((F.col("msw") <= 0) & (F.col("msb") <= 0), "no_variance")  # fixed values: the reasons' names
     icc = F.when(F.col("msw") <= 0, F.when(F.col("msb") > 0, 0.98)).otherwise(clamp(safe(F.col("msb") - F.col("msw"), F.col("msb") + (F.col("k0") - 1) * F.col("msw")), 0.0, 0.98))
     return w.select("n", "g", F.round("k0", 6).alias("k0"), F.round(F.when(reason.isNull(), icc), 6).alias("icc"), reason.alias("reason"))
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.seeds import normal, uniform
-from plumbline.operators.fidelity import spearman
-from plumbline.operators.ranks import exact_quantiles
+from plumbline.operators.ranks import average_ranks, exact_quantiles
+from plumbline.sources.shared import written
 
 CELLS = 4_096
 #: Quantiles that a copula keeps of each column, and the normal scores that stand for its ends.
@@ -59,26 +59,50 @@ def recovered(df: DataFrame, effects: dict[str, float], label: str = "outcome")
     return df.sparkSession.createDataFrame(rows, "name string, requested double, recovered double")
 
 
+def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(pair, n, rho) of all pairs over rows that have every column: each column is ranked once, and all pairs are one aggregate."""
+    known = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]).dropna()
+    ranked = known
+    for i in range(len(columns)):
+        ranks = average_ranks(known.select(f"_c{i}"), f"_c{i}").select(F.col(f"_c{i}").alias(f"_k{i}"), F.col("rank").alias(f"_r{i}"))
+        ranked = ranked.join(ranks, F.col(f"_c{i}") == F.col(f"_k{i}")).drop(f"_k{i}")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    one = ranked.agg(F.count("*").alias("n"), *[F.corr(f"_r{i}", f"_r{j}").alias(f"r{i}_{j}") for i, j in pairs])
+    each = F.array(*[F.struct(F.lit(f"{columns[j]}/{columns[i]}").alias("pair"), F.round(f"r{i}_{j}", 6).alias("rho")) for i, j in pairs])
+    return one.select("n", F.explode(each).alias("r")).select("r.pair", "n", "r.rho")
+
+
+def cholesky(corr: np.ndarray) -> np.ndarray:
+    """The lower root of a correlation matrix, brought back to one first if rounding has left it without a root."""
+    try:
+        return np.linalg.cholesky(corr)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(corr)
+        near = vectors @ np.diag(np.clip(values, 1e-9, None)) @ vectors.T
+        return np.linalg.cholesky(near / np.sqrt(np.outer(np.diag(near), np.diag(near))))
+
+
 def copula(source: DataFrame, columns: list[str], rows: DataFrame, row: str, seed: int) -> DataFrame:
-    """Adds numbers with the source's rank correlations and quantiles; what is learned is a few numbers a column and pair."""
+    """Adds numbers with the source's rank correlations and quantiles; what is learned is a few numbers a column and pair.
+
+    The drawn table is written once, so that what reads it doesn't draw again.
+    """
     n = len(columns)
+    rho = {r.pair: r.rho or 0.0 for r in rank_correlations(source, columns).collect()}
     corr = np.eye(n)
     for i in range(n):
         for j in range(i):
-            rho = spearman(source, columns[i], columns[j]).first().rho or 0.0
-            corr[i, j] = corr[j, i] = 2 * np.sin(np.pi * rho / 6)  # of the normals behind those ranks
-    values, vectors = np.linalg.eigh(corr)
-    root = vectors * np.sqrt(np.clip(values, 1e-9, None))
-    root /= np.sqrt((root**2).sum(axis=1, keepdims=True))
+            corr[i, j] = corr[j, i] = 2 * np.sin(np.pi * rho[f"{columns[j]}/{columns[i]}"] / 6)  # of the normals behind those ranks
+    root = cholesky(corr)
     shocks = rows.withColumns({f"_e{j}": normal(seed, F.col(row), f"copula{j}") for j in range(n)})
-    scores = {f"_z{i}": sum((float(root[i, j]) * F.col(f"_e{j}") for j in range(1, n)), float(root[i, 0]) * F.col("_e0")) for i in range(n)}
-    drawn = shocks.withColumns({k: F.least(F.greatest(z, F.lit(-FAR)), F.lit(FAR)) for k, z in scores.items()})
+    scores = {f"_z{i}": sum((float(root[i, j]) * F.col(f"_e{j}") for j in range(1, i + 1)), float(root[i, 0]) * F.col("_e0")) for i in range(n)}
+    drawn = written(shocks.select(*rows.columns, *[F.least(F.greatest(z, F.lit(-FAR)), F.lit(FAR)).alias(k) for k, z in scores.items()]), "copula")
     places = [-FAR, *[NormalDist().inv_cdf(q) for q in GRID[1:-1]], FAR]
     made = {}
     for i, c in enumerate(columns):
         at = exact_quantiles(source, c, GRID)
         made[c] = _between(F.col(f"_z{i}"), places, at) if at else F.lit(None).cast("double")
-    return drawn.withColumns(made).drop(*shocks.columns[-n:], *scores)
+    return drawn.withColumns(made).drop(*scores)
 
 
 def _between(z: Column, places: list[float], values: list[float]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import safe
+from plumbline.sources.shared import written
 
 # Shapes of identifiers in text.
 SHAPES = {
@@ -19,16 +20,21 @@ SHAPES = {
 }
 
 
+#: What a text must hold for a shape to be looked for at all: most texts are then never searched.
+HINTS = {"email": "@", "url": "://", "ip": ".", "ssn": "-", "phone": "-"}
+
+
 def shapes(df: DataFrame, text: str, by: list[str]) -> DataFrame:
-    """For each group and shape of identifier: texts that hold one, and how many there are."""
+    """For each group and shape of identifier: texts that hold one, and how many there are.  A text is searched once a shape."""
     c = F.coalesce(F.col(text), F.lit(""))
-    cells = [F.struct(F.lit(k).alias("kind"), F.count(F.when(c.rlike(p), 1)).alias("texts"), F.sum(F.regexp_count(c, F.lit(p))).cast("long").alias("matches")) for k, p in SHAPES.items()]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.array(*cells).alias("x")).select(*by, "n", F.explode("x").alias("x")).select(*by, "x.kind", "n", "x.texts", "x.matches")
+    found = df.select(*by, *[F.when(F.contains(c, F.lit(HINTS[k])), F.regexp_count(c, F.lit(p))).otherwise(0).alias(f"_{k}") for k, p in SHAPES.items()])
+    cells = [F.struct(F.lit(k).alias("kind"), F.count_if(F.col(f"_{k}") > 0).alias("texts"), F.sum(f"_{k}").cast("long").alias("matches")) for k in SHAPES]
+    return found.groupBy(*by).agg(F.count("*").alias("n"), F.array(*cells).alias("x")).select(*by, "n", F.explode("x").alias("x")).select(*by, "x.kind", "n", "x.texts", "x.matches")
 
 
 def redact(c: Column) -> Column:
     """The text with identifiers named by their kind instead."""
-    return reduce(lambda t, kv: F.regexp_replace(t, kv[1], f"[{kv[0]}]"), SHAPES.items(), c)
+    return reduce(lambda t, kv: F.when(F.contains(t, F.lit(HINTS[kv[0]])), F.regexp_replace(t, kv[1], f"[{kv[0]}]")).otherwise(t), SHAPES.items(), c)
 
 
 def generalise(df: DataFrame, date: str | None = None, age: str | None = None, zip_code: str | None = None) -> DataFrame:
@@ -49,31 +55,37 @@ def linkage(members: DataFrame, others: DataFrame, released: DataFrame, quasi: l
     return errors.groupBy("arm").agg(F.count("*").alias("scored"), F.round(F.avg(safe(F.abs(F.col("_mean") - F.col(sensitive)), F.col("_sd"))), 6).alias("error"))
 
 
-def nearest(queries: DataFrame, key: str, targets: DataFrame, numeric: dict[str, float], block: int = 512) -> DataFrame:
-    """For each query row the distance to the nearest target over scaled columns.
+def nearest(queries: DataFrame, key: str, targets: DataFrame, numeric: dict[str, float]) -> DataFrame:
+    """For each key the distance to the nearest target over scaled columns; null where a column is null or there is no target.
 
-    The queries are the stated set: they are dealt in blocks of ``block`` rows, each a
-    packed array that goes over the targets with partial minima before any shuffle, so
-    what moves is a row for each query and task, never a pair.
+    Both sides are put on a grid, and a query meets the targets of its own cell and those
+    around it, by equality.  A target found within a cell's width is the nearest; queries
+    without one go on with cells four times as wide, until a cell spans everything.
     """
-    n = queries.count()
-    rows = queries.select(F.col(key).alias("_k"), F.array(*[F.col(c).cast("double") / s for c, s in numeric.items()]).alias("_q"))
-    spread = F.array(*[F.col(c).cast("double") / s for c, s in numeric.items()])
-    out = []
-    ordered = rows.orderBy("_k").toLocalIterator() if n else iter(())
-    held = []
-
-    def scan(held):
-        packed = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(float(x)) for x in q]).alias("q")) for k, q in held])
-        pairs = targets.select(spread.alias("_t"), F.explode(packed).alias("_p"))
-        d = F.sqrt(F.aggregate(F.zip_with("_t", "_p.q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-        return pairs.groupBy(F.col("_p.k").alias(key)).agg(F.min(d).alias("distance"))
-
-    for r in ordered:
-        held.append((r["_k"], r["_q"]))
-        if len(held) == block:
-            out.append(scan(held))
-            held = []
-    if held:
-        out.append(scan(held))
-    return reduce(DataFrame.union, out)
+    names = [f"_x{i}" for i in range(len(numeric))]
+    scaled = [(F.col(c).cast("double") / s).alias(n) for n, (c, s) in zip(names, numeric.items(), strict=True)]
+    points = targets.select(*scaled).dropna().distinct()
+    rows = queries.select(F.col(key).alias("_k"), *scaled)
+    ends = points.select(*names).union(rows.select(*names)).agg(*[f(n) for n in names for f in (F.min, F.max)]).first()
+    n = points.count()
+    spans = [ends[2 * i + 1] - ends[2 * i] for i in range(len(names)) if ends[2 * i] is not None]
+    widest = max(spans, default=0.0) or 1.0
+    wide = widest / max(1.0, n ** (1 / len(names)))
+    out = [rows.select("_k", F.lit(None).cast("double").alias("distance"))]
+    pending = written(rows.dropna(subset=names), "pending")
+    while n and not pending.isEmpty():
+        cells = points.select(*[F.col(x).alias(f"_t{x}") for x in names], *[F.floor(F.col(x) / wide).alias(f"_c{i}") for i, x in enumerate(names)])
+        around = pending
+        for i, x in enumerate(names):
+            around = around.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(F.col(x) / wide) - 1, F.floor(F.col(x) / wide) + 1)))
+        apart = F.sqrt(sum(((F.col(x) - F.col(f"_t{x}")) * (F.col(x) - F.col(f"_t{x}")) for x in names[1:]), (F.col(names[0]) - F.col(f"_t{names[0]}")) * (F.col(names[0]) - F.col(f"_t{names[0]}"))))
+        found = around.join(cells, [f"_c{i}" for i in range(len(names))]).groupBy("_k", *names).agg(F.min(apart).alias("distance"))
+        last = wide > widest
+        done = found if last else found.where(F.col("distance") <= wide)
+        kept = written(done, "nearest")
+        out.append(kept.select("_k", "distance"))
+        pending = written(pending.join(kept, ["_k", *names], "left_anti"), "pending")
+        wide *= 4
+        if last:
+            break
+    return reduce(DataFrame.union, out).groupBy(F.col("_k").alias(key)).agg(F.min("distance").alias("distance"))

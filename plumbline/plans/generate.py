@@ -6,6 +6,7 @@ and a larger table starts with the smaller one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +14,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import seeds
 
-TYPES = {
-    "int": {"uniform", "normal", "lognormal", "quantiles", "mixture"},
-    "float": {"uniform", "normal", "lognormal", "quantiles", "mixture"},
-    "category": {"categorical"},
-    "str_id": {"sequence"},
-    "date": {"date_range"},
-    "bool": {"bernoulli"},
-}
+#: Distributions that a column type can have; each sampler below enters the types that it serves.
+TYPES: dict[str, set[str]] = {}
+SAMPLERS: dict[str, Callable[[Col, Column, int], Column]] = {}
 # Texts that stand for a missing cell.
 MISSING_TOKENS = ["", "NULL", "N/A", "?"]
 OPS = ["missing", "wrong", "outlier", "format", "case", "space", "typo"]
@@ -75,39 +71,105 @@ class Spec:
             p = c.params
             if c.dist == "uniform" and not p.get("low", 0) <= p.get("high", 1):
                 found.append(f"{c.name}: low is above high")
+            if c.dist == "beta" and not all(isinstance(p.get(k), int) and p[k] > 0 for k in "ab"):
+                found.append(f"{c.name}: a and b have to be whole and positive")
             if c.dist == "categorical" and (len(p.get("levels", [])) != len(p.get("weights", [])) or not p.get("levels") or min(p["weights"]) < 0 or sum(p["weights"]) <= 0):
                 found.append(f"{c.name}: levels and weights don't fit")
         return found
 
 
+def sampler(dist: str, *types: str) -> Callable:
+    """Enters a function of (column, row, seed) as the sampler of a distribution for some types."""
+
+    def keep(f: Callable[[Col, Column, int], Column]) -> Callable:
+        SAMPLERS[dist] = f
+        for t in types:
+            TYPES.setdefault(t, set()).add(dist)
+        return f
+
+    return keep
+
+
+def _u(c: Col, row: Column, seed: int, what: str = "value") -> Column:
+    return seeds.uniform(seed, row, c.name, what)
+
+
+@sampler("sequence", "str_id")
+def _sequence(c: Col, row: Column, seed: int) -> Column:
+    return F.concat(F.lit(c.params.get("prefix", "")), (row + c.params.get("start", 1)).cast("string"))
+
+
+@sampler("categorical", "category")
+def _categorical(c: Col, row: Column, seed: int) -> Column:
+    return seeds.pick(c.params["levels"], c.params["weights"], _u(c, row, seed))
+
+
+@sampler("bernoulli", "bool")
+def _bernoulli(c: Col, row: Column, seed: int) -> Column:
+    return _u(c, row, seed) < c.params["p"]
+
+
+@sampler("date_range", "date")
+def _date_range(c: Col, row: Column, seed: int) -> Column:
+    return F.date_add(F.lit(c.params["start"]).cast("date"), F.floor(_u(c, row, seed) * (c.params["days"] + 1)).cast("int"))
+
+
+@sampler("full_name", "person_name")
+def _full_name(c: Col, row: Column, seed: int) -> Column:
+    """A given and a family name, each as likely."""
+    picked = [F.element_at(F.array(*[F.lit(n) for n in c.params[part]]), F.floor(_u(c, row, seed, part) * len(c.params[part])).cast("int") + 1) for part in ("given", "family")]
+    return F.concat_ws(" ", *picked)
+
+
+@sampler("uniform", "int", "float")
+def _uniform(c: Col, row: Column, seed: int) -> Column:
+    return c.params["low"] + (c.params["high"] - c.params["low"]) * _u(c, row, seed)
+
+
+@sampler("quantiles", "int", "float")
+def _quantiles(c: Col, row: Column, seed: int) -> Column:
+    return seeds.quantile_draw(_u(c, row, seed), c.params["knots"])
+
+
+def _bounded(c: Col, x: Column) -> Column:
+    x = F.greatest(x, F.lit(float(c.params["min"]))) if "min" in c.params else x
+    return F.least(x, F.lit(float(c.params["max"]))) if "max" in c.params else x
+
+
+def _gauss(c: Col, row: Column, seed: int) -> Column:
+    return c.params["mean"] + c.params["sd"] * seeds.normal(seed, row, c.name, "value")
+
+
+@sampler("normal", "int", "float")
+def _normal(c: Col, row: Column, seed: int) -> Column:
+    return _bounded(c, _gauss(c, row, seed))
+
+
+@sampler("lognormal", "int", "float")
+def _lognormal(c: Col, row: Column, seed: int) -> Column:
+    return _bounded(c, F.exp(_gauss(c, row, seed)))
+
+
+@sampler("mixture", "int", "float")
+def _mixture(c: Col, row: Column, seed: int) -> Column:
+    """Of parts (weight, mean, sd)."""
+    parts, z = c.params["parts"], seeds.normal(seed, row, c.name, "value")
+    choice = seeds.pick([str(i) for i in range(len(parts))], [w for w, _, _ in parts], _u(c, row, seed, "part"))
+    return _bounded(c, F.coalesce(*[F.when(choice == str(i), m + s * z) for i, (_, m, s) in enumerate(parts)]))
+
+
+@sampler("beta", "int", "float")
+def _beta(c: Col, row: Column, seed: int) -> Column:
+    """For whole a and b, times ``scale``: of a + b - 1 uniform draws the one of rank a is distributed so."""
+    a, b = c.params["a"], c.params["b"]
+    draws = F.array_sort(F.array(*[_u(c, row, seed, f"draw{i}") for i in range(a + b - 1)]))
+    return F.element_at(draws, a) * c.params.get("scale", 1.0)
+
+
 def value(c: Col, row: Column, seed: int) -> Column:
     """One clean, typed cell."""
-    u, p = seeds.uniform(seed, row, c.name, "value"), c.params
-    if c.dist == "sequence":
-        return F.concat(F.lit(p.get("prefix", "")), (row + p.get("start", 1)).cast("string"))
-    if c.dist == "categorical":
-        return seeds.pick(p["levels"], p["weights"], u)
-    if c.dist == "bernoulli":
-        return u < p["p"]
-    if c.dist == "date_range":
-        return F.date_add(F.lit(p["start"]).cast("date"), F.floor(u * (p["days"] + 1)).cast("int"))
-    if c.dist == "uniform":
-        x = p["low"] + (p["high"] - p["low"]) * u
-    elif c.dist == "quantiles":
-        x = seeds.quantile_draw(u, p["knots"])
-    else:
-        z = seeds.normal(seed, row, c.name, "value")
-        if c.dist == "mixture":
-            parts = p["parts"]  # (weight, mean, sd)
-            which = seeds.uniform(seed, row, c.name, "part")
-            choice = seeds.pick([str(i) for i in range(len(parts))], [w for w, _, _ in parts], which)
-            x = F.coalesce(*[F.when(choice == str(i), m + s * z) for i, (_, m, s) in enumerate(parts)])
-        else:
-            x = p["mean"] + p["sd"] * z
-            x = F.exp(x) if c.dist == "lognormal" else x
-        x = F.greatest(x, F.lit(float(p["min"]))) if "min" in p else x
-        x = F.least(x, F.lit(float(p["max"]))) if "max" in p else x
-    return F.bround(x).cast("long") if c.ctype == "int" else F.round(x, 4)
+    x = SAMPLERS[c.dist](c, row, seed)
+    return F.bround(x).cast("long") if c.ctype == "int" else F.round(x, 4) if c.ctype == "float" else x
 
 
 def text(c: Col, clean: Column) -> Column:
@@ -160,3 +222,24 @@ def plan_table(spark: SparkSession, spec: Spec) -> tuple[DataFrame, DataFrame, D
     dirty = both.select("row_id", *[F.col(c.name)["dirty"].alias(c.name) for c in spec.columns], F.lit(None).cast("long").alias("duplicate_of"))
     again = dirty.where(seeds.uniform(spec.seed, F.col("row_id"), "row", "duplicate") < spec.duplicate_rate)
     return shown, dirty.union(again.withColumn("duplicate_of", F.col("row_id")).withColumn("row_id", F.col("row_id") + spec.rows)), ledger
+
+
+def date_after(df: DataFrame, row: str, earlier: str, later: str, seed: int, least: int = 0, most: int = 0, days_from: str | None = None) -> DataFrame:
+    """``later`` put ``least`` to ``most`` days after ``earlier``, or as many as another column says (none if that is negative)."""
+    gap = F.greatest(F.bround(F.col(days_from)), F.lit(0)) if days_from else least + F.floor(seeds.uniform(seed, F.col(row), later, "rule") * (most - least + 1))
+    return df.withColumn(later, F.date_add(F.to_date(earlier), gap.cast("int")))
+
+
+def derived(df: DataFrame, row: str, source: str, target: str, factor: float, seed: int, sigma: float = 0.0, whole: bool = False) -> DataFrame:
+    """``target`` as a multiple of ``source``, with lognormal noise."""
+    x = F.col(source).cast("double") * factor
+    x = x * F.exp(sigma * seeds.normal(seed, F.col(row), target, "rule")) if sigma else x
+    return df.withColumn(target, F.bround(x).cast("long") if whole else F.round(x, 4))
+
+
+def feature(df: DataFrame, key: str) -> Column:
+    """What a coefficient's key stands for: ``column=level`` is 1 where it holds, a flag 1 where it is true, a number itself."""
+    name, _, level = key.partition("=")
+    if level:
+        return (F.col(name).cast("string") == level).cast("double")
+    return F.col(name).cast("double")

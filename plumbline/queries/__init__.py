@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.registry import ORACLES, QUERIES
 
-for _name in ("blueprints", "discovery", "dynamics", "fidelity", "flagship", "generation", "networks", "privacy", "relations", "streams", "typing"):
+for _name in ("blueprints", "decorated", "discovery", "dynamics", "fidelity", "flagship", "floors", "generation", "networks", "noise", "privacy", "profiles", "related", "relations", "streams", "tails", "typing"):
     import_module(f"plumbline.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -17,53 +17,109 @@ def gen_uniform(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.round(seeds.uniform(7, F.col("o_orderkey"), "price", "value"), 9).alias("u"))
 
 
-SPEC = g.Spec(
-    "billing",
-    [
-        g.Col("patient_id", "str_id", "sequence", {"prefix": "P", "start": 100}, g.Mess(missing=0.02)),
-        g.Col("age", "int", "uniform", {"low": 18, "high": 90}, g.Mess(missing=0.15, outlier=0.02)),
-        g.Col("department", "category", "categorical", {"levels": ["Cardiology", "Oncology", "Surgery"], "weights": [0.5, 0.3, 0.2]}, g.Mess(typo=0.1, case=0.1, space=0.05)),
-        g.Col("total_cost", "float", "quantiles", {"knots": [(0.0, 10.0), (0.5, 250.0), (1.0, 9000.0)]}, g.Mess(wrong=0.05)),
-        g.Col("visit_date", "date", "date_range", {"start": "2024-01-01", "days": 365}, g.Mess(format=0.3)),
-        g.Col("active", "bool", "bernoulli", {"p": 0.7}, g.Mess(case=0.2)),
-    ],
-    rows=5_000,
-    duplicate_rate=0.1,
-)
+#: Parcels of the driver's orders: as many rows as there are orders.
+COLUMNS = [
+    g.Col("parcel", "str_id", "sequence", {"prefix": "L", "start": 1000}, g.Mess(missing=0.03)),
+    g.Col("quantity", "int", "uniform", {"low": 1, "high": 50}, g.Mess(missing=0.1, outlier=0.04)),
+    g.Col("ship_mode", "category", "categorical", {"levels": ["Rail", "Truck", "Air Freight"], "weights": [0.6, 0.25, 0.15]}, g.Mess(typo=0.08, case=0.12, space=0.06)),
+    g.Col("price", "float", "quantiles", {"knots": [(0.0, 900.0), (0.5, 36000.0), (1.0, 105000.0)]}, g.Mess(wrong=0.07)),
+    g.Col("ship_date", "date", "date_range", {"start": "1995-03-01", "days": 700}, g.Mess(format=0.2)),
+    g.Col("returned", "bool", "bernoulli", {"p": 0.25}, g.Mess(case=0.3)),
+]
+DUPLICATES = 0.08
 
 
-def _cell(column, op="value"):
-    return _u(f"'7:' || i::VARCHAR || ':{column}:{op}'")
+def spec(spark, sf):
+    return g.Spec("parcels", COLUMNS, rows=table(spark, sf, "orders").count(), duplicate_rate=DUPLICATES)
 
 
-CLEAN = f"""(SELECT i AS row_id, 'P' || (i + 100) AS patient_id, round_even(18 + 72 * {_cell('age')}, 0)::BIGINT::VARCHAR AS age,
-  CASE WHEN {_cell('department')} < 0.5 THEN 'Cardiology' WHEN {_cell('department')} < 0.8 THEN 'Oncology' ELSE 'Surgery' END AS department,
-  printf('%.4f', round(CASE WHEN {_cell('total_cost')} <= 0.5 THEN 10 + 240 * {_cell('total_cost')} / 0.5 ELSE 250 + 8750 * ({_cell('total_cost')} - 0.5) / 0.5 END, 4)) AS total_cost,
-  strftime(DATE '2024-01-01' + floor({_cell('visit_date')} * 366)::INT, '%Y-%m-%d') AS visit_date,
-  CASE WHEN {_cell('active')} < 0.7 THEN 'True' ELSE 'False' END AS active FROM (SELECT unnest(range(5000)) AS i))"""
+def _cell(column, op="value", row="i"):
+    return _u(f"'7:' || {row}::VARCHAR || ':{column}:{op}'")
+
+
+CLEAN = f"""(SELECT i AS row_id, 'L' || (i + 1000) AS parcel, round_even(1 + 49 * {_cell('quantity')}, 0)::BIGINT::VARCHAR AS quantity,
+  CASE WHEN {_cell('ship_mode')} < 0.6 THEN 'Rail' WHEN {_cell('ship_mode')} < 0.85 THEN 'Truck' ELSE 'Air Freight' END AS ship_mode,
+  printf('%.4f', round(CASE WHEN {_cell('price')} <= 0.5 THEN 900 + 35100 * {_cell('price')} / 0.5 ELSE 36000 + 69000 * ({_cell('price')} - 0.5) / 0.5 END, 4)) AS price,
+  strftime(DATE '1995-03-01' + floor({_cell('ship_date')} * 701)::INT, '%Y-%m-%d') AS ship_date,
+  CASE WHEN {_cell('returned')} < 0.25 THEN 'True' ELSE 'False' END AS returned FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS i))"""
 
 
 @query("gen_clean_table", f"SELECT * FROM {CLEAN}")
 def gen_clean_table(spark, sf):
-    return g.plan_table(spark, SPEC)[0]
+    return g.plan_table(spark, spec(spark, sf))[0]
+
+
+def _ledger():
+    """One SELECT for each column: the first operation that fires and changes the text."""
+    parts = []
+    for c in COLUMNS:
+        x, how = c.name, lambda op, n=c.name: _cell(n, op + ".how", "row_id")
+        made = {
+            "missing": f"CASE WHEN {how('missing')} < 0.25 THEN '' WHEN {how('missing')} < 0.5 THEN 'NULL' WHEN {how('missing')} < 0.75 THEN 'N/A' ELSE '?' END", "wrong": f"reverse({x})", "outlier": f"(try_cast({x} AS DOUBLE) * 10)::VARCHAR" if c.ctype in ("int", "float") else x,
+            "format": f"substr({x}, 6, 2) || '/' || substr({x}, 9, 2) || '/' || substr({x}, 1, 4)" if c.ctype == "date" else x, "case": f"CASE WHEN {how('case')} < 0.5 THEN upper({x}) ELSE lower({x}) END", "space": f"' ' || {x} || '  '", "typo": f"substr({x}, 2) || substr({x}, 1, 1)",
+        }
+        fired = [(op, f"{_cell(c.name, op, 'row_id')} < {rate}" + ("" if op == "missing" else f" AND {made[op]} <> {x}")) for op in g.OPS if (rate := getattr(c.mess, op))]
+        named, spoiled = (" ".join(f"WHEN {test} THEN " + (f"'{op}'" if k == 0 else made[op]) for op, test in fired) for k in (0, 1))
+        parts.append(f"SELECT row_id, '{c.name}' AS column_name, CASE {named} END AS op, {x} AS clean, CASE {spoiled} END AS dirty FROM {CLEAN}")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE op IS NOT NULL"
+
 
+LEDGER = _ledger()
 
-@query("mess_ledger_format", f"SELECT row_id, 'visit_date' AS column_name, 'format' AS op, visit_date AS clean, substr(visit_date, 6, 2) || '/' || substr(visit_date, 9, 2) || '/' || substr(visit_date, 1, 4) AS dirty FROM {CLEAN} WHERE {_u(chr(39) + '7:' + chr(39) + ' || row_id::VARCHAR || ' + chr(39) + ':visit_date:format' + chr(39))} < 0.3")
+
+@query("mess_ledger", LEDGER)
+def mess_ledger(spark, sf):
+    return g.plan_table(spark, spec(spark, sf))[2]
+
+
+@query("mess_ledger_format", f"SELECT * FROM ({LEDGER}) WHERE op = 'format'")
 def mess_ledger_format(spark, sf):
-    return g.plan_table(spark, SPEC)[2].where("column_name = 'visit_date'")
+    return g.plan_table(spark, spec(spark, sf))[2].where("op = 'format'")
+
 
+ASKED = [(c.name, op, r) for c in COLUMNS for op in g.OPS if (r := getattr(c.mess, op))]
 
-@query("requested_vs_achieved")
+
+@query("requested_vs_achieved", f"WITH a AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {chr(39)}{op}{chr(39)}, {r}::DOUBLE)' for c, op, r in ASKED)}) AS v(column_name, op, requested)), l AS ({LEDGER}) SELECT column_name, op, requested, round(count(l.row_id) / (SELECT count(*) FROM orders)::DOUBLE, 6) AS achieved FROM a LEFT JOIN l USING (column_name, op) GROUP BY 1, 2, 3")
 def requested_vs_achieved(spark, sf):
     """Share of cells each operation really corrupted, beside the rate asked for."""
-    ledger = g.plan_table(spark, SPEC)[2].groupBy("column_name", "op").agg(F.count("*").alias("n"))
-    asked = [(c.name, op, r) for c in SPEC.columns for op in g.OPS if (r := getattr(c.mess, op))]
-    return spark.createDataFrame(asked, "column_name string, op string, requested double").join(ledger, ["column_name", "op"], "left").select("column_name", "op", "requested", F.round(F.coalesce("n", F.lit(0)) / SPEC.rows, 6).alias("achieved"))
+    made = spec(spark, sf)
+    ledger = g.plan_table(spark, made)[2].groupBy("column_name", "op").agg(F.count("*").alias("n"))
+    return spark.createDataFrame(ASKED, "column_name string, op string, requested double").join(ledger, ["column_name", "op"], "left").select("column_name", "op", "requested", F.round(F.coalesce("n", F.lit(0)) / made.rows, 6).alias("achieved"))
 
 
-@query("duplicate_rows", f"SELECT row_id + 5000 AS row_id, row_id AS duplicate_of FROM {CLEAN} WHERE {_u(chr(39) + '7:' + chr(39) + ' || row_id::VARCHAR || ' + chr(39) + ':row:duplicate' + chr(39))} < 0.1")
+@query("duplicate_rows", f"SELECT row_id + (SELECT count(*) FROM orders) AS row_id, row_id AS duplicate_of FROM {CLEAN} WHERE {_cell('row', 'duplicate', 'row_id')} < {DUPLICATES}")
 def duplicate_rows(spark, sf):
-    return g.plan_table(spark, SPEC)[1].where("duplicate_of is not null").select("row_id", "duplicate_of")
+    return g.plan_table(spark, spec(spark, sf))[1].where("duplicate_of is not null").select("row_id", "duplicate_of")
+
+
+NAMES = {"given": ["Ada", "Bo", "Chen", "Dina", "Eino"], "family": ["Okafor", "Lund", "Sato", "Reyes"]}
+
+
+def _z(column, op):
+    return f"(sqrt(-2.0::DOUBLE * ln({_cell(column, op + ':a')})) * cos(2 * pi() * {_cell(column, op + ':b')}))"
+
+
+@query("gen_more_kinds", f"""
+SELECT o_orderkey AS i, [{', '.join(repr(n) for n in NAMES['given'])}][floor({_cell('who', 'given', 'o_orderkey')} * 5)::INT + 1] || ' ' || [{', '.join(repr(n) for n in NAMES['family'])}][floor({_cell('who', 'family', 'o_orderkey')} * 4)::INT + 1] AS who,
+  round(list_sort([{', '.join(_cell('load', f'draw{k}', 'o_orderkey') for k in range(4))}])[2] * 100, 4) AS load, round(5 + 2 * z1, 4) AS weight, round(exp(greatest(least(1 + 0.5 * z2, 700), -700)), 4) AS size, round(CASE WHEN {_cell('mix', 'part', 'o_orderkey')} < 0.7 THEN 0 + 1 * z3 ELSE 20 + 3 * z3 END, 4) AS mix
+FROM (SELECT *, {_z('weight', 'value').replace('i::VARCHAR', 'o_orderkey::VARCHAR')} AS z1, {_z('size', 'value').replace('i::VARCHAR', 'o_orderkey::VARCHAR')} AS z2, {_z('mix', 'value').replace('i::VARCHAR', 'o_orderkey::VARCHAR')} AS z3 FROM orders)""")
+def gen_more_kinds(spark, sf):
+    """Names, and the other distributions of numbers, by order."""
+    columns = [g.Col("who", "person_name", "full_name", NAMES), g.Col("load", "float", "beta", {"a": 2, "b": 3, "scale": 100.0}), g.Col("weight", "float", "normal", {"mean": 5.0, "sd": 2.0}), g.Col("size", "float", "lognormal", {"mean": 1.0, "sd": 0.5}), g.Col("mix", "float", "mixture", {"parts": [(0.7, 0.0, 1.0), (0.3, 20.0, 3.0)]})]
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), *[g.value(c, F.col("o_orderkey"), 7).alias(c.name) for c in columns])
+
+
+@query("generation_rules", f"""
+SELECT o_orderkey, strftime(o_orderdate::DATE + (3 + floor({_u("'31:' || o_orderkey::VARCHAR || ':due:rule'")} * 8)::INT), '%Y-%m-%d') AS due, strftime(o_orderdate::DATE + (o_custkey % 10)::INT, '%Y-%m-%d') AS sent,
+  round(o_totalprice * 0.1::DOUBLE * exp(0.2::DOUBLE * sqrt(-2.0::DOUBLE * ln({_u("'31:' || o_orderkey::VARCHAR || ':fee:rule:a'")})) * cos(2 * pi() * {_u("'31:' || o_orderkey::VARCHAR || ':fee:rule:b'")})), 4) AS fee, (o_orderstatus = 'F')::INT::DOUBLE AS f_done, o_totalprice AS f_price FROM orders""")
+def generation_rules(spark, sf):
+    """Dates so many days later, by draw and by another column, a noisy multiple, and the values of coefficients' keys."""
+    orders = table(spark, sf, "orders").withColumn("wait", F.col("o_custkey") % 10)
+    made = g.date_after(orders, "o_orderkey", "o_orderdate", "due", 31, 3, 10)
+    made = g.date_after(made, "o_orderkey", "o_orderdate", "sent", 31, days_from="wait")
+    made = g.derived(made, "o_orderkey", "o_totalprice", "fee", 0.1, 31, 0.2)
+    return made.select("o_orderkey", F.col("due").cast("string").alias("due"), F.col("sent").cast("string").alias("sent"), "fee", g.feature(made, "o_orderstatus=F").alias("f_done"), g.feature(made, "o_totalprice").alias("f_price"))
 
 
 def clean_orders(spark, sf):

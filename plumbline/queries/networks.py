@@ -1,11 +1,13 @@
 """Networks of level columns, planted outcomes, a copula, and intervals of proportions."""
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.parse import vin_valid
 from plumbline.functions.stats import safe, wilson
 from plumbline.operators import condnet as c
-from plumbline.operators import fidelity, planting
+from plumbline.operators import planting
 from plumbline.registry import query, table
 
 STRUCTURE = {"band": [], "status": ["band"], "priority": ["band", "status"]}
@@ -93,18 +95,35 @@ def plant_recovered(spark, sf):
     return planting.recovered(planting.plant(rows, "row", effects, 0.1, 6), effects)
 
 
-@query("copula_generate")
+COPULA = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _copula():
+    def u(j, half):
+        return f"((('0x' || substr(sha256('12:' || row || ':copula{j}:{half}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)"
+
+    ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS r{i}" for i, c in enumerate(COPULA))
+    shocks = ", ".join(f"sqrt(-2.0::DOUBLE * ln({u(j, 'a')})) * cos(2.0::DOUBLE * pi() * {u(j, 'b')}) AS e{j}" for j in range(3))
+    places = [-planting.FAR, *[NormalDist().inv_cdf(q) for q in planting.GRID[1:-1]], planting.FAR]
+    listed = "[" + ", ".join(f"{x!r}::DOUBLE" for x in places) + "]"
+    knots = ", ".join(f"(SELECT quantile_cont({c}, [{', '.join(f'{q}::DOUBLE' for q in planting.GRID)}]) FROM lineitem) AS v{i}" for i, c in enumerate(COPULA))
+    spot = "least(len(list_filter(p, lambda x: x <= z{i})), len(p) - 1)"
+    drawn = ", ".join(f"v{i}[{spot.format(i=i)}] + (z{i} - p[{spot.format(i=i)}]) / (p[{spot.format(i=i)} + 1] - p[{spot.format(i=i)}]) * (v{i}[{spot.format(i=i)} + 1] - v{i}[{spot.format(i=i)}]) AS {c}" for i, c in enumerate(COPULA))
+    pairs = [(i, j) for i in range(3) for j in range(i)]
+    return f"""WITH s AS (SELECT {ranks} FROM lineitem), c AS (SELECT {", ".join(f"round(corr(r{i}, r{j}), 6) AS s{i}{j}" for i, j in pairs)} FROM s),
+n AS (SELECT {", ".join(f"2 * sin(pi() * s{i}{j} / 6) AS c{i}{j}" for i, j in pairs)} FROM c), l AS (SELECT c10 AS l10, sqrt(1 - c10 * c10) AS l11, c20 AS l20, (c21 - c20 * c10) / sqrt(1 - c10 * c10) AS l21, sqrt(1 - c20 * c20 - power((c21 - c20 * c10) / sqrt(1 - c10 * c10), 2)) AS l22 FROM n),
+e AS (SELECT {shocks} FROM (SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS row FROM lineitem)), z AS (SELECT greatest(least(e0, 3.5::DOUBLE), -3.5::DOUBLE) AS z0, greatest(least(l10 * e0 + l11 * e1, 3.5::DOUBLE), -3.5::DOUBLE) AS z1, greatest(least(l20 * e0 + l21 * e1 + l22 * e2, 3.5::DOUBLE), -3.5::DOUBLE) AS z2 FROM e, l),
+k AS (SELECT {listed} AS p, {knots}), m AS MATERIALIZED (SELECT {drawn} FROM z, k), t AS (SELECT {ranks} FROM m), d AS (SELECT {", ".join(f"round(corr(r{i}, r{j}), 6) AS m{i}{j}" for i, j in pairs)} FROM t)
+""" + " UNION ALL ".join(f"SELECT '{COPULA[j]}/{COPULA[i]}' AS pair, s{i}{j} AS source, m{i}{j} AS made FROM c, d" for i, j in pairs)
+
+
+@query("copula_generate", _copula())
 def copula_generate(spark, sf):
     """Rank correlations of lines and of lines drawn from their copula."""
-    names = ["l_quantity", "l_extendedprice", "l_discount"]
-    source = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"), *names)
-    made = planting.copula(source, names, source.select("row"), "row", 12)
-    out = None
-    for i, x in enumerate(names):
-        for y in names[:i]:
-            one = fidelity.spearman(source, x, y).select(F.lit(f"{y}/{x}").alias("pair"), F.col("rho").alias("source")).crossJoin(fidelity.spearman(made, x, y).select(F.col("rho").alias("made")))  # a row each
-            out = one if out is None else out.union(one)
-    return out
+    source = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"), *COPULA)
+    made = planting.copula(source, COPULA, source.select("row"), "row", 12)
+    one, two = (planting.rank_correlations(df, COPULA).select("pair", F.col("rho").alias(name)) for df, name in ((source, "source"), (made, "made")))
+    return one.join(two, "pair")
 
 
 @query("wilson_interval", """

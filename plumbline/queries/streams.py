@@ -32,3 +32,26 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n F
 def stream_session(spark, sf):
     out = _update(spark, sf, s.sessions, "sessions")
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def _closed(spark, sf, shape, name):
+    """Windows that the watermark has closed, each written once: state is dropped as time goes on."""
+    out = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    stream = shape(s.source(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema))
+    s.drain(stream, out, f"{out}-state")
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("stream_tumbling_closed", "SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 7 DAY FROM events)")
+def stream_tumbling_closed(spark, sf):
+    out = _closed(spark, sf, s.tumbling, "tumbling-closed")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_session_closed", """
+WITH m AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 7 DAY FROM events)""")
+def stream_session_closed(spark, sf):
+    out = _closed(spark, sf, s.sessions, "sessions-closed")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
