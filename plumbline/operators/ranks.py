@@ -53,7 +53,7 @@ def exact_quantiles(df: DataFrame, value: str, at: list[float]) -> list[float]:
     ranked = average_ranks(x, "x").select("x", (F.col("rank") - (F.col("n") + 1) / 2).alias("first"), (F.col("rank") + (F.col("n") - 3) / 2).alias("last"))
     held = ranked.select("x", F.explode(F.filter(wanted, lambda p: p.between(F.col("first"), F.col("last")))).alias("p"))
     found = {r.p: r.x for r in held.collect()}  # two rows a quantile at most
-    return [(1 - h + floor(h)) * found[floor(h)] + (h - floor(h)) * found[ceil(h)] for h in places]
+    return [found[floor(h)] + (h - floor(h)) * (found[ceil(h)] - found[floor(h)]) for h in places]  # exact where both are equal
 
 
 def smallest_by_hash(df: DataFrame, by: str, key: str, seed: int, into: str) -> DataFrame:
