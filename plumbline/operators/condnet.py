@@ -8,15 +8,17 @@ Tables have a row for each setting, bounded by the columns' levels, not by the r
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.seeds import uniform
 from plumbline.operators.metrics import auroc
 from plumbline.sources.shared import written
+from plumbline.sources.sinks import load_run, write_run
 
 #: A missing value's level.
 MISSING = "(missing)"
@@ -152,3 +154,46 @@ def membership(net: Net, members: DataFrame, others: DataFrame) -> DataFrame:
     both = members.withColumn("_y", F.lit(1)).unionByName(others.withColumn("_y", F.lit(0)))
     one = auroc(log_likelihood(both, net, "_s"), "_s", "_y")
     return one.withColumn("verdict", F.when(F.col("auroc") < 0.6, "PASS").when(F.col("auroc") < 0.7, "MARGINAL").otherwise("FAIL"))
+
+
+def _retold(t: DataFrame, by: list[str], weight: Column) -> DataFrame:
+    """A table whose chances are weighed anew; ``weight`` is a column of _x and _p (and _p0, the chance under no parent, if it is there)."""
+    at = by or ["_all"]
+    cells = t if by else t.withColumn("_all", F.lit(0))
+    return _dist(cells.withColumn("_w", weight), at, F.col("_w") / F.sum("_w").over(Window.partitionBy(*at))).select(*by, "dist")
+
+
+def _cells(t: DataFrame) -> tuple[DataFrame, list[str]]:
+    by = [c for c in t.columns if c != "dist"]
+    return t.select(*by, F.explode("dist").alias("_d")).select(*by, F.col("_d.x").alias("_x"), F.col("_d.p").alias("_p")), by
+
+
+def amplify(net: Net, child: str, gain: float) -> Net:
+    """The same network with a child that follows its parents more (gain above 1) or less: chances move from those under no parent by that power."""
+    alone = _cells(net.tables[child][-1])[0].select("_x", F.col("_p").alias("_p0"))
+    tables = []
+    for t in net.tables[child]:
+        cells, by = _cells(t)
+        tables.append(_retold(cells.join(alone, "_x"), by, F.col("_p0") * F.pow(F.col("_p") / F.col("_p0"), gain)) if by else t)
+    return Net(net.parents, {**net.tables, child: tables})
+
+
+def set_marginal(net: Net, child: str, wanted: dict[str, float]) -> Net:
+    """The same network with levels of a child as likely as wanted where it has no parents, and by the same factors under each setting."""
+    alone = {r["_x"]: r["_p"] for r in _cells(net.tables[child][-1])[0].collect()}  # a row a level
+    factor = F.coalesce(*[F.when(F.col("_x") == x, F.lit(float(w / alone[x]))) for x, w in wanted.items() if alone.get(x)], F.lit(1.0))
+    return Net(net.parents, {**net.tables, child: [_retold(*_cells(t), F.col("_p") * factor) for t in net.tables[child]]})
+
+
+def save(net: Net, folder: str) -> None:
+    """The tables as a run with its manifest, the structure beside it as JSON."""
+    write_run({f"{c}-{i}": t for c, ts in net.tables.items() for i, t in enumerate(ts)}, f"{folder}/tables")
+    spark = next(iter(net.tables.values()))[0].sparkSession
+    spark.createDataFrame([(json.dumps(list(net.parents.items())),)], "value string").coalesce(1).write.text(f"{folder}/net")
+
+
+def load(spark: SparkSession, folder: str) -> Net:
+    """What ``save`` wrote; refused if a table isn't what was written."""
+    parents = dict(json.loads(spark.read.text(f"{folder}/net").first().value))
+    tables = load_run(spark, f"{folder}/tables")
+    return Net(parents, {c: [tables[f"{c}-{i}"] for i in range(len(own) + 1)] for c, own in parents.items()})

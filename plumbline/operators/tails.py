@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ranks import average_ranks, exact_quantiles
+from plumbline.sources.shared import written
 
 K = 10
 BANDS = 4
@@ -48,7 +49,7 @@ def k_knots(df: DataFrame, entity: str, value: str, row: list[str], at: list[flo
         return known.sparkSession.createDataFrame([], "q double, v double, raw boolean")
     ranks = average_ranks(known, "v").select(F.col("v").alias("x"), (F.col("rank") - (F.col("n") + 1) / 2).cast("long").alias("below"))
     inside = F.row_number().over(Window.partitionBy("v").orderBy(*[f"_r{i}" for i in range(len(row))]))
-    placed = known.withColumn("i", inside).join(ranks, F.col("v") == F.col("x")).select("v", "e", (F.col("below") + F.col("i") - 1).alias("p"))
+    placed = written(known.withColumn("i", inside).join(ranks, F.col("v") == F.col("x")).select("v", "e", (F.col("below") + F.col("i") - 1).alias("p")), "placed")
     return reduce(DataFrame.union, [_k_knot(placed, total, q, k) for q in at])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import seeds
 from plumbline.operators.entities import levels as level_table
 from plumbline.operators.entities import safe_bounds
-from plumbline.operators.ranks import exact_quantiles
+from plumbline.operators.tails import k_knots
 
 GRID = [0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
@@ -30,17 +30,18 @@ def fit(df: DataFrame, entity: str, numeric: list[str], levels: list[str], k: in
     """Marginals with nothing that fewer than k entities hold; a few numbers for each column.
 
     The ends of a number's grid are the means of the k smallest minima and k largest
-    maxima of entities.
+    maxima of entities; each knot between them is a value that k entities hold, or the
+    mean of the rows around its place that k entities are among.
     """
     out = {}
     for c in numeric:
         x = F.col(c).cast("double")
-        found = exact_quantiles(df, c, GRID)
         one = df.agg(F.avg(x.isNotNull().cast("double")).alias("p"), F.bool_and(x == F.floor(x)).alias("w")).first()
         ends = safe_bounds(df.withColumn("_x", x), entity, "_x", k).first()
-        if not found or ends.low is None:
+        if ends.low is None:
             continue  # too few entities to publish anything
-        values = [min(max(v, ends.low), ends.high) for v in found]
+        inner = {r.q: r.v for r in k_knots(df, entity, c, [entity], GRID[1:-1], k).collect()}
+        values = [ends.low, *[min(max(inner[q], ends.low), ends.high) for q in GRID[1:-1]], ends.high]
         out[c] = Marginal(one.p, list(zip(GRID, values, strict=True)), bool(one.w))
     for c in levels:
         rows = level_table(df, entity, c, k).orderBy(F.desc("n_rows"), "level").limit(most).collect()

@@ -1,5 +1,6 @@
 """Networks of level columns, planted outcomes, a copula, and intervals of proportions."""
 
+import uuid
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from plumbline.functions.parse import vin_valid
 from plumbline.functions.stats import safe, wilson
 from plumbline.operators import condnet as c
 from plumbline.operators import planting
-from plumbline.registry import query, table
+from plumbline.registry import ORACLES, query, table
+from plumbline.sources.shared import shared_folder
 
 STRUCTURE = {"band": [], "status": ["band"], "priority": ["band", "status"]}
 
@@ -51,6 +53,36 @@ def condnet_likelihood(spark, sf):
     return c.log_likelihood(cells, c.fit(orders, "o_custkey", STRUCTURE)).select("band", "status", "priority", "n", F.round("log_likelihood", 6).alias("log_likelihood"))
 
 
+@query("condnet_reloaded", ORACLES["condnet_likelihood"])
+def condnet_reloaded(spark, sf):
+    """The same likelihoods by a network that was saved and read again."""
+    orders, folder = rows(spark, sf), f"{shared_folder(spark)}/net-{uuid.uuid4().hex}"
+    c.save(c.fit(orders, "o_custkey", STRUCTURE), folder)
+    cells = orders.groupBy("band", "status", "priority").agg(F.count("*").alias("n"))
+    return c.log_likelihood(cells, c.load(spark, folder)).select("band", "status", "priority", "n", F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
+P0 = "p0 AS (SELECT p, count(*)::DOUBLE / sum(count(*)) OVER () AS x FROM r GROUP BY p)"
+
+
+@query("condnet_amplified", f"""
+WITH {R}, {K2}, {P2}, {P0}, w AS (SELECT b, s, p, p0.x * power(p2.x / p0.x, 2) AS w FROM p2 JOIN p0 USING (p))
+SELECT b AS band, s AS status, p AS level, round(w / sum(w) OVER (PARTITION BY b, s), 6) AS p FROM w""")
+def condnet_amplified(spark, sf):
+    """Priorities that follow band and status twice as much."""
+    told = c.amplify(c.fit(rows(spark, sf), "o_custkey", STRUCTURE), "priority", 2.0).tables["priority"][0]
+    return told.select("band", "status", F.explode("dist").alias("d")).select("band", "status", F.col("d.x").alias("level"), F.round("d.p", 6).alias("p"))
+
+
+@query("condnet_marginal_set", f"""
+WITH {R}, {K2}, {P2}, {P0}, w AS (SELECT b, s, p, p2.x * CASE WHEN p = '1-URGENT' THEN 0.5 / p0.x ELSE 1 END AS w FROM p2 JOIN p0 USING (p))
+SELECT b AS band, s AS status, p AS level, round(w / sum(w) OVER (PARTITION BY b, s), 6) AS p FROM w""")
+def condnet_marginal_set(spark, sf):
+    """Priorities where urgent ones are to weigh a half."""
+    told = c.set_marginal(c.fit(rows(spark, sf), "o_custkey", STRUCTURE), "priority", {"1-URGENT": 0.5}).tables["priority"][0]
+    return told.select("band", "status", F.explode("dist").alias("d")).select("band", "status", F.col("d.x").alias("level"), F.round("d.p", 6).alias("p"))
+
+
 def lines(spark, sf):
     return table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"), "l_orderkey", F.floor(F.col("l_quantity") / 10).cast("int").alias("quantity"), F.floor(F.col("l_extendedprice") / 10_000).cast("int").alias("price"), F.round(F.col("l_discount") * 100).cast("int").alias("discount"), F.col("l_returnflag").alias("flag"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ class IntakeError(ValueError):
     """A file that can't be read, and why."""
 
 
+def _by_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line is a record by itself, so that each is; otherwise the file is one document, as a list."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    try:
+        return first is None or isinstance(json.loads(first.value), dict)
+    except ValueError:
+        return False
+
+
 def read_table(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, str]:
     """The table and a note of how it was read."""
     kind = (kind or path.rstrip("/").rsplit(".", 1)[-1]).lower()
@@ -21,7 +32,7 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None) -> tuple
         df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in df.columns])
         note = f"{kind}, separated by {'tabs' if sep == chr(9) else 'commas'}"
     elif kind in ("jsonl", "ndjson", "json"):
-        df = spark.read.json(path, primitivesAsString=True, multiLine=kind == "json")
+        df = spark.read.json(path, primitivesAsString=True, multiLine=kind == "json" and not _by_line(spark, path))
         if "_corrupt_record" in df.columns and kind == "json":
             df = spark.read.json(path, primitivesAsString=True)
         df, note = as_strings(df), "JSON records"

@@ -17,6 +17,10 @@ def test_formats_read_as_text(spark, tmp_path):
         rows = sorted(tuple(r[c] for c in ("i", "w", "s", "n")) for r in got.collect())
         assert rows == want if kind == "parquet" else [r[0] for r in rows] == ["1", "2"]
     assert readers.read_table(spark, str(tmp_path / "t.jsonl"))[0].count() == 2
+    (tmp_path / "list.json").write_text('[\n {"i": 1, "s": "x"},\n {"i": 2}\n]')
+    (tmp_path / "lines.json").write_text('{"i": 1, "s": "x"}\n{"i": 2}\n')
+    for name in ("list", "lines"):
+        assert sorted((r.i, r.s) for r in readers.read_table(spark, str(tmp_path / f"{name}.json"))[0].collect()) == [("1", "x"), ("2", "")]
     with pytest.raises(readers.IntakeError):
         readers.read_table(spark, "x.docx")
 
