@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.seeds import normal, uniform
+from plumbline.operators.fidelity import spearman
 from plumbline.operators.ranks import average_ranks, exact_quantiles
 from plumbline.sources.shared import written
 
@@ -60,13 +61,31 @@ def recovered(df: DataFrame, effects: dict[str, float], label: str = "outcome")
 
 
 def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(pair, n, rho) of all pairs over rows that have every column: each column is ranked once, and all pairs are one aggregate."""
-    known = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]).dropna()
-    ranked = known
+    """(pair, n, rho) of all pairs, each over the rows that have both columns.
+
+    Columns without nulls share their rows, so each is ranked once and their pairs are one
+    aggregate; a pair with a column that has gaps is ranked within its own rows; a pair
+    with a column of nulls alone has no rows and no correlation.
+    """
+    one = df.agg(F.count("*").alias("rows"), *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    whole = [i for i in range(len(columns)) if one[f"n{i}"] == one.rows]
+    out = df.sparkSession.createDataFrame([(f"{columns[j]}/{columns[i]}", 0, None) for i in range(len(columns)) for j in range(i) if not (one[f"n{i}"] and one[f"n{j}"])], "pair string, n long, rho double")
+    if len(whole) > 1 and one.rows:
+        out = out.union(_complete(df.select(*[F.col(columns[i]).cast("double").alias(f"_c{i}") for i in whole]), whole, columns))
     for i in range(len(columns)):
+        for j in range(i):
+            if one[f"n{i}"] and one[f"n{j}"] and not (i in whole and j in whole):
+                pair = df.select(F.col(columns[j]).cast("double").alias("_a"), F.col(columns[i]).cast("double").alias("_b"))
+                out = out.union(spearman(pair, "_a", "_b").select(F.lit(f"{columns[j]}/{columns[i]}"), "n", "rho"))
+    return out
+
+
+def _complete(known: DataFrame, at: list[int], columns: list[str]) -> DataFrame:
+    ranked = known
+    for i in at:
         ranks = average_ranks(known.select(f"_c{i}"), f"_c{i}").select(F.col(f"_c{i}").alias(f"_k{i}"), F.col("rank").alias(f"_r{i}"))
         ranked = ranked.join(ranks, F.col(f"_c{i}") == F.col(f"_k{i}")).drop(f"_k{i}")
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    pairs = [(i, j) for i in at for j in at if j < i]
     one = ranked.agg(F.count("*").alias("n"), *[F.corr(f"_r{i}", f"_r{j}").alias(f"r{i}_{j}") for i, j in pairs])
     each = F.array(*[F.struct(F.lit(f"{columns[j]}/{columns[i]}").alias("pair"), F.round(f"r{i}_{j}", 6).alias("rho")) for i, j in pairs])
     return one.select("n", F.explode(each).alias("r")).select("r.pair", "n", "r.rho")

@@ -103,3 +103,12 @@ def test_copula_keeps_correlation_and_range(spark):
     assert abs(fidelity.spearman(df, "x", "y").first().rho - fidelity.spearman(made, "x", "y").first().rho) < 0.06
     r = made.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("z").alias("z")).first()
     assert 0 <= r.a < r.b <= 1 and r.z == 0
+
+
+def test_rank_correlations_are_pairwise_complete(spark):
+    df = spark.range(3000).withColumn("x", uniform(2, F.col("id"), "x")).withColumn("y", F.col("x") + uniform(2, F.col("id"), "y"))
+    df = df.withColumn("half", F.when(F.col("id") % 2 == 0, -F.col("x"))).withColumn("none", F.lit(None).cast("double"))
+    got = {r.pair: (r.n, r.rho) for r in planting.rank_correlations(df, ["x", "y", "half", "none"]).collect()}
+    assert got["x/half"] == (1500, -1.0) and got["x/none"] == got["y/none"] == got["half/none"] == (0, None)
+    assert got["x/y"] == (3000, fidelity.spearman(df, "x", "y").first().rho)
+    assert got["y/half"] == (1500, fidelity.spearman(df, "y", "half").first().rho)
