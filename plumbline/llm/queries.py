@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, langid, linededup, media, quality, simhash, substrings, toxicity, wrappers
+from plumbline.llm import bpe, decontam, interactions, langid, linededup, media, quality, resample, simhash, substrings, toxicity, wrappers
 from plumbline.llm.common import table
 
 
@@ -73,6 +73,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, classifier)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.run(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -84,8 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE,
+    "op12_filter_audit": interactions.ORACLE,
+    "op13_resample": resample.ORACLE,
 }
