@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, interactions, langid, linededup, media, quality, resample, simhash, substrings, toxicity, wrappers
+from plumbline.llm import bpe, decontam, interactions, langid, linededup, maxent, media, quality, resample, simhash, substrings, toxicity, wrappers
 from plumbline.llm.common import table
 
 
@@ -73,6 +73,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, classifier)
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = maxent.score(docs, langid.remainder(7) != 2)
+    held = F.coalesce(langid.remainder(7) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.run(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
 
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "op11_lm_score": op11_lm_score,
     "op12_filter_audit": op12_filter_audit,
     "op13_resample": op13_resample,
 }
