@@ -14,9 +14,9 @@ VIN_VALUES = dict(zip("0123456789ABCDEFGHJKLMNPRSTUVWXYZ", [*range(10), 1, 2, 3,
 VIN_WEIGHTS = [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]
 VIN_X = 10
 
-CURRENCY = r"^\s*[-(]?\s*[$€£]\s*[0-9][0-9,]*(\.[0-9]+)?\)?\s*$|^\s*-?[0-9][0-9,]*(\.[0-9]+)?\s*[$€£]\s*$"
-PERCENT = r"^\s*-?[0-9][0-9,]*(\.[0-9]+)?\s*%\s*$"
-CLOCK = r"^\s*([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?\s*$"
+# Signs of money.
+SYMBOLS = "$€£¥"
+DIGITS = "0123456789"
 
 
 def blank(c: Column) -> Column:
@@ -39,12 +39,54 @@ def number(c: Column) -> Column:
     return F.regexp_replace(c, "[,$]", "").try_cast("double")
 
 
+def _all_digits(c: Column) -> Column:
+    return (F.length(c) > 0) & (F.translate(c, DIGITS, "") == "")
+
+
+def unsigned(c: Column) -> Column:
+    """Digits, in threes between commas if there are any, with or without a fraction; null for anything else."""
+    parts, groups = F.split(c, "\\."), F.split(F.split(c, "\\.")[0], ",")
+    threes = F.forall(F.slice(groups, 2, F.greatest(F.size(groups) - 1, F.lit(0))), lambda g: _all_digits(g) & (F.length(g) == 3))
+    whole = _all_digits(groups[0]) & threes & ((F.size(groups) == 1) | (F.length(groups[0]) <= 3))
+    fraction = (F.size(parts) == 1) | (F.size(parts) == 2) & _all_digits(F.get(parts, F.lit(1)))
+    return F.when(whole & fraction, F.replace(c, F.lit(","), F.lit("")).try_cast("double"))
+
+
+def signed(c: Column) -> Column:
+    """``unsigned`` after a minus, or without."""
+    minus = F.startswith(c, F.lit("-"))
+    x = unsigned(F.when(minus, F.ltrim(F.substr(c, F.lit(2)))).otherwise(c))
+    return F.when(minus, -x).otherwise(x)
+
+
+def money(c: Column) -> Column:
+    """An amount before or after its one sign, a minus before or after that; brackets are a minus as well."""
+    t = F.trim(c)
+    bracketed = F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")"))
+    sides = F.split(F.translate(F.when(bracketed, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t), SYMBOLS, "$" * len(SYMBOLS)), "\\$")
+    before, after = F.trim(F.get(sides, F.lit(0))), F.trim(F.get(sides, F.lit(1)))
+    plain = F.when(before == "", signed(after)).when(before == "-", -unsigned(after)).when(after == "", signed(before))
+    x = F.when(bracketed, -F.when(before == "", unsigned(after)).when(after == "", unsigned(before))).otherwise(plain)
+    return F.when(F.size(sides) == 2, x)
+
+
+def percent(c: Column) -> Column:
+    t = F.trim(c)
+    return F.when(F.endswith(t, F.lit("%")), signed(F.rtrim(F.substr(t, F.lit(1), F.length(t) - 1))))
+
+
+def clock(c: Column) -> Column:
+    """A time of day as minutes since midnight."""
+    parts = F.split(F.trim(c), ":")
+    field = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    two = lambda i: _all_digits(F.get(parts, F.lit(i))) & (F.length(F.get(parts, F.lit(i))) == 2) & (field(i) < 60)
+    hour = _all_digits(parts[0]) & (F.length(parts[0]) <= 2) & (field(0) < 24)
+    return F.when(hour & two(1) & ((F.size(parts) == 2) | (F.size(parts) == 3) & two(2)), field(0) * 60 + field(1) + F.coalesce(field(2), F.lit(0.0)) / 60)
+
+
 def quantity(c: Column) -> Column:
     """Currency and percent as their number, a clock as minutes since midnight; null for anything else."""
-    digits = F.regexp_replace(c, r"[^0-9.]", "").try_cast("double")
-    sign = F.when(c.rlike(r"^\s*[-(]"), -1.0).otherwise(1.0)
-    h, m, s = (F.regexp_extract(c, r"^\s*(\d{1,2}):(\d{2})(?::(\d{2}))?", i).try_cast("double") for i in (1, 2, 3))
-    return F.when(c.rlike(CLOCK), h * 60 + m + F.coalesce(s, F.lit(0.0)) / 60).when(c.rlike(CURRENCY) | c.rlike(PERCENT), sign * digits)
+    return F.coalesce(clock(c), money(c), percent(c))
 
 
 def day_number(c: Column, fmt: str) -> Column:

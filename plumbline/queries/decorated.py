@@ -69,12 +69,12 @@ def declared_properties(spark, sf):
     return d.declared(table(spark, sf, "lineitem"), "l_orderkey", ["l_returnflag", "l_orderkey"], ["l_extendedprice", "l_linenumber"], {"l_quantity": (2.0, 45.0), "l_linenumber": (0.0, 100.0)})
 
 
-TEXTS = ["orders.mean >= 0.5", "recall < 2", "x == 0.25", "no condition", "a.b.c > .5"]
+TEXTS = {"orders.mean >= 0.5": (">=", 0.5), "recall < 2": ("<", 2.0), "x == 0.25": ("==", 0.25), "no condition": None, "a.b.c > .5": (">", 0.5), "margin > -0.5": (">", -0.5), "recall > 1.2.3": None, "two words <= 1": None}
 
 
-@query("conditions", """
-WITH t AS (SELECT unnest(['orders.mean >= 0.5', 'recall < 2', 'x == 0.25', 'no condition', 'a.b.c > .5']) AS text), p AS (SELECT text, regexp_extract(text, '^\\s*([\\w.]+)\\s*(>=|<=|==|>|<)\\s*([\\d.]+)\\s*$', ['metric', 'op', 'threshold']) AS r FROM t)
-SELECT o_orderpriority, text, CASE r.op WHEN '>=' THEN m >= x WHEN '<' THEN m < x WHEN '>' THEN m > x WHEN '==' THEN abs(m - x) < 1e-9 END AS holds FROM (SELECT *, try_cast(nullif(r.threshold, '') AS DOUBLE) AS x FROM p), (SELECT o_orderpriority, round(avg((o_orderstatus = 'F')::INT), 2) AS m FROM orders GROUP BY 1)""")
+@query("conditions", f"""
+WITH t(text, op, x) AS (VALUES {", ".join(f"('{t}', {repr(c[0]) if c else 'NULL'}, {c[1] if c else 'NULL'}::DOUBLE)" for t, c in TEXTS.items())})
+SELECT o_orderpriority, text, CASE op WHEN '>=' THEN m >= x WHEN '<' THEN m < x WHEN '>' THEN m > x WHEN '==' THEN abs(m - x) < 1e-9 END AS holds FROM t, (SELECT o_orderpriority, round(avg((o_orderstatus = 'F')::INT), 2) AS m FROM orders GROUP BY 1)""")
 def conditions(spark, sf):
     """Conditions held against the share of finished orders of each priority; no condition, no verdict."""
     shares = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 2).alias("m"))

@@ -21,6 +21,21 @@ def test_quantity(spark, text, value):
     assert one(spark, parse.quantity(F.col("t")), t=text) == value if text is not None else one(spark, parse.quantity(F.lit(None).cast("string"))) is None
 
 
+@pytest.mark.parametrize("text,value", [("1,234 €", 1234.0), ("- $ 5", -5.0), ("$-5.25", -5.25), ("($1,000.5)", -1000.5), ("¥12", 12.0), ("$1,23", None), ("$1,2345", None), ("$12345", 12345.0), ("$.5", None), ("$5.", None), ("$", None), ("$5 $", None), ("$5%", None), ("-($5)", None), ("(-$5)", None), ("$1.2.3", None), ("5 $ 5", None)])
+def test_money(spark, text, value):
+    assert one(spark, parse.money(F.col("t")), t=text) == value
+
+
+@pytest.mark.parametrize("text,value", [("-1,000.5 %", -1000.5), ("%5", None), ("5%%", None), (" 7% ", 7.0), ("1 2%", None)])
+def test_percent(spark, text, value):
+    assert one(spark, parse.percent(F.col("t")), t=text) == value
+
+
+@pytest.mark.parametrize("text,value", [("7:05", 425.0), (" 23:59:59 ", 1439 + 59 / 60), ("23:60", None), ("7:5", None), ("12:00:00:00", None), ("-1:00", None), ("1:00:7", None), ("12:", None)])
+def test_clock(spark, text, value):
+    assert one(spark, parse.clock(F.col("t")), t=text) == value
+
+
 @pytest.mark.parametrize("text,key", [("007", "7"), ("'012'", "12"), ("000", "0"), ("nan", None), (" ", None), ("A0", "A0")])
 def test_norm_key(spark, text, key):
     assert one(spark, parse.norm_key(F.lit(text))) == key
