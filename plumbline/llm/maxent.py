@@ -14,8 +14,9 @@ Good and Turing's, words seen once against twice the words seen twice.  ``WIDTH`
 make a class, so both softmax layers have ``WIDTH`` outcomes whatever the vocabulary.
 
 **Features** of a history are its n-grams and skips of leaves: the last one, the one before
-it, the third last, and the last two together; each, joined with the layer's node, is
-hashed to one of ``ROWS`` rows of WIDTH weights.  Unigram shares are the layers' offsets.
+it and the third last for the class, the last one, the one before it and the last two
+together for the leaf; each, joined with the layer's node, is hashed to one of ``ROWS`` rows of WIDTH weights.
+Unigram shares are the layers' offsets.
 
 **Training** is by distributed gradient updates.  Learned texts are dealt to shards, shards to
 ``ROUNDS`` rounds.  In a round, every shard starts from the weights so far and takes Adagrad
@@ -57,7 +58,7 @@ LEAVES = WIDTH * WIDTH
 HEAD = 512
 ROWS = 1 << 16
 ROUNDS = 4
-RATE = 0.3
+RATE = 1.0
 BUNDLE_BYTES = 16 << 20
 RANGE_BYTES = 64 << 20
 MIN_RANGES = 12
@@ -67,7 +68,12 @@ BATCH = 1 << 14
 BLOCK = 1 << 10
 #: The key of a text's end among the words: white space, so no word has it.
 END = b"\n"
+#: Stands for it between the words of a text: no UTF-8 text has this byte.
+STOP = b"\xff"
 RARE, ENDING, TAIL = 0, 1, 2 + HEAD
+#: Features (last, second last, third last, last two) of the classes and of the leaves.
+TOP, LOW = [0, 1, 2], [0, 1, 3]
+MOST_WEIGHT = 20.0
 #: Stands before a text's first token.
 START = LEAVES
 
@@ -148,18 +154,15 @@ def bundles(df: DataFrame, learn: Column, text: str, key: str, ranges: int, shar
     def made(held: list[pa.RecordBatch], part: int, n: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         flags = table.column("learn").to_numpy().astype(np.uint8)
-        arrays, sizes, words = [], [], []
+        sizes, parts = [], []
         for t in table.column("text"):
             own = (t.as_py() or b"").lower().split()
             sizes.append(len(own) + 1)
-            words += own
-            words.append(END)
-            if len(words) > 1 << 18:
-                arrays.append(pa.array(words, pa.binary()))
-                words = []
-        arrays.append(pa.array(words, pa.binary()))
-        coded = pa.chunked_array(arrays).combine_chunks().dictionary_encode()
-        codes, names = coded.indices.to_numpy().astype(np.uint32), coded.dictionary.to_pylist()
+            own.append(STOP)
+            parts.append(b" ".join(own))
+        coded = _spaced(b" ".join(parts) + b" ").dictionary_encode()
+        del parts
+        codes, names = coded.indices.to_numpy().astype(np.uint32), [w[:-1] if w != STOP + b" " else END for w in coded.dictionary.to_pylist()]
         counts = np.bincount(codes[np.repeat(flags, sizes) > 0], minlength=len(names))
         home = np.fromiter((xxhash.xxh64_intdigest(w) % ranges for w in names), np.int64, len(names))
         order = np.argsort(home, kind="stable")
@@ -175,6 +178,12 @@ def bundles(df: DataFrame, learn: Column, text: str, key: str, ranges: int, shar
     return docs.mapInArrow(run, f"bundle string, shard int, range int, keys array<{kind}>, learn binary, sizes binary, codes binary, spots binary, words binary, n binary")
 
 
+def _spaced(data: bytes) -> pa.BinaryArray:
+    """Words that each end in a space, as an array over the bytes as they are."""
+    ends = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+
+
 def _totals(sent: pa.Table) -> tuple[list[list[bytes]], pa.DictionaryArray, np.ndarray]:
     """The words of each row, all of them as codes, and the count of each distinct one."""
     words = [b.split(b" ") for b in sent.column("words").to_pylist()]
@@ -286,38 +295,43 @@ def _softmax(weights: np.ndarray, rows: np.ndarray, offset: np.ndarray) -> np.nd
     z = offset + weights.take(rows[0], 0)
     for r in rows[1:]:
         z += weights.take(r, 0)
-    z -= z.max(1, keepdims=True)
-    np.exp(z, z)
+    np.exp(z, z)  # offsets are 0 at most and weights bounded, so nothing overflows
     z /= z.sum(1, keepdims=True)
     return z
 
 
-def chances(weights: np.ndarray, offsets: tuple[np.ndarray, np.ndarray], features: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chances of all classes and of all leaves of each token's class, and the rows of both layers (8, tokens)."""
+def chances(weights: np.ndarray, offsets: tuple[np.ndarray, np.ndarray], features: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chances of all classes and of all leaves of each token's class, and the rows of both layers."""
     classes = leaves // WIDTH
-    top, low = rows_of(features, 0), rows_of(features, classes.astype(np.uint64) + np.uint64(1))
-    return _softmax(weights, top, offsets[0]), _softmax(weights, low, offsets[1].take(classes, 0)), np.concatenate([top, low])
+    top, low = rows_of(features[TOP], 0), rows_of(features[LOW], classes.astype(np.uint64) + np.uint64(1))
+    return _softmax(weights, top, offsets[0]), _softmax(weights, low, offsets[1].take(classes, 0)), top, low
 
 
 def fit_shard(weights: np.ndarray, squares: np.ndarray, offsets: tuple[np.ndarray, np.ndarray], leaves: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Adagrad steps over a shard's tokens, in place; which rows were touched."""
     touched, place = np.zeros(len(weights), bool), places(sizes)
+    spot = np.zeros(len(weights), np.intp)
     for a in range(0, len(leaves), BATCH):
         own = leaves[a : a + BATCH].astype(np.int64)
         n = len(own)
-        top, low, rows = chances(weights, offsets, histories(leaves, place, a, a + n), own)
+        top, low, high_rows, low_rows = chances(weights, offsets, histories(leaves, place, a, a + n), own)
         top[np.arange(n), own // WIDTH] -= 1
         low[np.arange(n), own % WIDTH] -= 1
-        errors = np.concatenate([top, low])
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        sorted_ = flat[order]
-        starts = np.append(0, np.flatnonzero(np.diff(sorted_)) + 1)
-        source = order % n + np.where(order >= 4 * n, n, 0)
-        slope = np.add.reduceat(errors.take(source, 0), starts, 0)
-        at = sorted_[starts]
-        squares[at] += np.einsum("ij,ij->i", slope, slope)
-        weights[at] -= RATE * slope / np.sqrt(1 + squares[at])[:, None]
+        seen = np.zeros(len(weights), bool)
+        seen[high_rows.ravel()] = seen[low_rows.ravel()] = True
+        at = np.flatnonzero(seen)
+        spot[at] = np.arange(len(at))
+        slope = np.zeros((WIDTH, len(at)))
+        for errors, rows in ((top, high_rows), (low, low_rows)):
+            columns, rows = errors.T.astype(np.float64), spot[rows]
+            for c in range(WIDTH):
+                for r in rows:
+                    slope[c] += np.bincount(r, columns[c], len(at))
+        slope = np.ascontiguousarray(slope.T, np.float32)
+        square = squares[at] + np.einsum("ij,ij->i", slope, slope)
+        squares[at] = square
+        slope *= (RATE / np.sqrt(1 + square))[:, None]
+        weights[at] = np.clip(weights[at] - slope, -MOST_WEIGHT, MOST_WEIGHT)
         touched[at] = True
     return touched
 
@@ -375,7 +389,7 @@ def scores(weights: np.ndarray, offsets: tuple[np.ndarray, np.ndarray], leaves:
     for a in range(0, len(leaves), BATCH):
         own = leaves[a : a + BATCH].astype(np.int64)
         n = np.arange(len(own))
-        top, low, _ = chances(weights, offsets, histories(leaves, place, a, a + len(own)), own)
+        top, low, _, _ = chances(weights, offsets, histories(leaves, place, a, a + len(own)), own)
         p = np.maximum(top[n, own // WIDTH].astype(np.float64) * low[n, own % WIDTH], 1e-300)
         at = doc[a : a + len(own)]
         total[at[0] : at[-1] + 1] += np.bincount(at - at[0], np.log10(p))
