@@ -4,8 +4,8 @@ A repeat is a run of ``WINDOW`` words or more that also stands earlier.  Every s
 holds a whole block of ``BLOCK`` = WINDOW // 2 words that starts at a multiple of BLOCK
 in the earlier document, wherever it starts in the later one.  So the blocks at those
 places are the index, and every rolling window of BLOCK words probes it.  Around the
-hits all windows of WINDOW words are compared by hash, each later one covers its words,
-and windows that overlap join into maximal repeats.
+hits all windows of WINDOW words are compared by a 128-bit digest of their words, each
+later one covers its words, and windows that overlap join into maximal repeats.
 
 Documents are dealt to groups of about ``GROUP_BYTES`` by a hash of their key, and a
 group is the unit of all exchange:
@@ -13,15 +13,18 @@ group is the unit of all exchange:
 1. Each group sends the distinct hashes of its rolling windows, with a mark on those
    that are blocks, packed by hash range (one for each ``RANGE_BYTES`` of text).  Where two groups or more hold a hash and one
    of them as a block, all of them are told so.
-2. Each group sends the distinct hashes of its full windows that hold such a hit, with
+2. Each group sends the distinct digests of its full windows that hold such a hit, with
    the smallest key that has them, and is told which of them an earlier document of
    another group has.
-3. Each group drops covered words; repeats within a group or a document it sees itself.
+3. Each group drops covered words; repeats within a group or a document it sees itself,
+   by the digests of those windows whose rolling hash another one shares.
 
 A passage in a third of all documents is one entry for each group, never one for each
-document, and nothing is paired.  The texts are exchanged once.  Hashes: 31 bits in step
-1 within a hash range, where a chance hit only adds candidates; 64 bits in step 2 within
-a range chosen by a second, independent hash, so the bits grow with the data.  Groups and
+document, and nothing is paired.  The texts are exchanged once.  Rolling hashes only
+propose: 31 bits in step 1 within a hash range, where a chance hit adds candidates, and 64
+bits in step 3.  What removes words is XXH3 with 128 bits over a window's words as they
+stand, which rolling hashes' own collisions (such as those of a Thue-Morse word and its
+complement, for any polynomial modulo 2**64) don't touch.  Groups and
 ranges grow with the text while partitions stop at ``MOST_PARTITIONS``: a task then takes
 its groups or ranges one after another and holds one of them.  Work is in proportion to
 the words, since only ranges that a group has hashes in are visited or sent.
@@ -38,6 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,16 +55,15 @@ PIECE = 1 << 19
 LAST = np.int64(2**63 - 1)
 
 _RNG = np.random.default_rng(7_919)
-_TABLES = _RNG.integers(0, 1 << 64, (2, 256), np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_TABLE = _RNG.integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 @lru_cache(4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
-    base = _BASES[which]
     out = []
-    for b in (base, pow(base, -1, 1 << 64)):
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.full(size, b, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
@@ -87,7 +90,7 @@ class Group:
         self.first = np.cumsum(self.counts) - self.counts
         self.window, self.block = window, window // 2
 
-    def hashes(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of k words within one document, and the windows' hashes."""
         at, found, word, i, n = [], [], 0, 0, len(self.joined)
         while i < n:
@@ -99,9 +102,9 @@ class Group:
             if words >= k:
                 raw = np.frombuffer(b" ".join(x for x in self.joined[i:j] if x), np.uint8)
                 size = max(PIECE, len(raw) + 1)
-                up, down = _powers(which, size if size == PIECE else 1 << size.bit_length())
+                up, down = _powers(size if size == PIECE else 1 << size.bit_length())
                 total = np.zeros(len(raw) + 1, np.uint64)
-                np.cumsum(_TABLES[which][raw] * up[: len(raw)], out=total[1:])
+                np.cumsum(_TABLE[raw] * up[: len(raw)], out=total[1:])
                 gaps = np.flatnonzero(raw == 32)
                 starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(raw))
                 good = np.flatnonzero(self.doc[word : word + words - k + 1] == self.doc[word + k - 1 : word + words])
@@ -114,12 +117,18 @@ class Group:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(at), np.concatenate(found)
 
-    def candidates(self, hits: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Full windows around hits.
-
-        Gives all windows' first words and hashes, which of them are candidates, and of the
-        distinct candidate hashes, in the order in which they are sent: range, hash, smallest key.
-        """
+    def digests(self, at: np.ndarray) -> np.ndarray:
+        """128 bits (as two numbers) of the words of each full window, given by first words in ascending order."""
+        out, digest = [], xxhash.xxh3_128_digest
+        for one in np.split(at, np.flatnonzero(np.diff(self.doc[at])) + 1) if len(at) else []:
+            text, first = self.joined[self.doc[one[0]]], one - self.first[self.doc[one[0]]]
+            gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            begin, end = np.append(0, gaps + 1)[first], np.append(gaps, len(text))[first + self.window - 1]
+            out += [digest(text[i:j]) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+
+    def candidates(self, hits: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the full windows around hits, their digests, and of the distinct digests, in the order in which they are sent: range, digest, smallest key."""
         at, h = self.hashes(self.block)
         hit = np.zeros(len(self.doc) + 1, np.int64)
         if len(hits):
@@ -128,17 +137,27 @@ class Group:
             spot[spot == len(hits)] = 0
             hit[at[hits[spot] == keys] + 1] = 1
         hit = np.cumsum(hit)
-        at, h = self.hashes(self.window)
+        at = np.flatnonzero(self.doc[: len(self.doc) - self.window + 1] == self.doc[self.window - 1 :]) if len(self.doc) >= self.window else np.zeros(0, np.int64)
         # a hit starts within the window early enough to end within it
-        chosen = np.flatnonzero(hit[np.minimum(at + self.window - self.block + 1, len(self.doc))] - hit[at] > 0)
-        _, other = self.hashes(self.window, 1)
-        order = chosen[np.argsort(h[chosen], kind="stable")]  # keys ascend among equal hashes
-        new = np.ones(len(order), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
+        at = at[hit[np.minimum(at + self.window - self.block + 1, len(self.doc))] - hit[at] > 0]
+        h = self.digests(at)
+        order, new = _sorted(h)  # keys ascend among equal digests
         order = order[new]
-        ranged = (other[order] >> np.uint64(20)) % np.uint64(ranges)
+        ranged = _range(h[order], ranges)
         order = order[np.argsort(ranged, kind="stable")]
-        return at, h, chosen, (other[order] >> np.uint64(20)) % np.uint64(ranges), h[order], self.keys[self.doc[at[order]]]
+        return at, h, _range(h[order], ranges), h[order], self.keys[self.doc[at[order]]]
+
+
+def _sorted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of digests in their order, equal ones in theirs, and which of them are the first of their kind."""
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]).any(1)
+    return order, new
+
+
+def _range(h: np.ndarray, ranges: int) -> np.ndarray:
+    return h[:, 1] % np.uint64(ranges)
 
 
 def _place(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -198,7 +217,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int =
         rows = []
         hits = _hits(right)
         if len(hits) and left.num_rows:
-            _, _, _, ranged, h, first = Group(left, window).candidates(hits, ranges)
+            _, _, ranged, h, first = Group(left, window).candidates(hits, ranges)
             for r, a, b in _cut(ranged):
                 base = int(first[a:b].min())
                 wide = first[a:b] - base
@@ -209,9 +228,11 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int =
 
     def compare(name: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
         r, own = name[0].as_py(), list(zip(*(sent.column(c).to_pylist() for c in ("g", "hashes", "base", "first")), strict=True))
-        h = [np.frombuffer(x[1], np.uint64) for x in own]
+        h = [np.frombuffer(x[1], np.uint64).reshape(-1, 2) for x in own]
         first = [np.frombuffer(x[3], np.uint32 if len(x[3]) == 4 * len(a) else np.int64).astype(np.int64) + x[2] for x, a in zip(own, h, strict=True)]
-        _, back = np.unique(np.concatenate(h), return_inverse=True)
+        order, new = _sorted(np.concatenate(h))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
         each = np.concatenate(first)
         least = np.full(int(back.max()) + 1, LAST)
         np.minimum.at(least, back, each)
@@ -221,18 +242,20 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int =
 
     def drop(name: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, window)
-        at, h, chosen, ranged, sent, _ = group.candidates(_hits(right), ranges)
-        doc = group.doc[at] if len(at) else np.zeros(0, np.int64)
+        chosen, digest, ranged, sent, _ = group.candidates(_hits(right), ranges)
+        at, h = group.hashes(window)
         # within the group: later than the smallest key, or later in the same document
         order = np.argsort(h, kind="stable")
-        new = np.ones(len(order), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        head = np.flatnonzero(new)
-        lead = order[np.repeat(head, np.diff(np.append(head, len(order))))] if len(order) else order
+        same = np.zeros(len(order), bool)
+        same[1:] = h[order][1:] == h[order][:-1]
+        same[:-1] |= same[1:]
+        at = np.sort(at[order[same]])
+        h, doc = group.digests(at), group.doc[at] if len(at) else np.zeros(0, np.int64)
+        order, new = _sorted(h)
+        lead = order[new][np.cumsum(new) - 1]
         again = np.zeros(len(order), bool)
         again[1:] = ~new[1:] & (doc[order][1:] == doc[order][:-1])
-        late = np.zeros(len(at), bool)
-        late[order] = again | (group.keys[doc[order]] > group.keys[doc[lead]])
+        late = [at[order[again | (group.keys[doc[order]] > group.keys[doc[lead]])]]]
         # elsewhere: as told
         cuts = {r: (a, b) for r, a, b in _cut(ranged)}
         told = np.zeros(len(sent), bool)
@@ -240,14 +263,16 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int =
             if kind == 1:
                 a, z = cuts[r]
                 told[a:z] = np.unpackbits(np.frombuffer(b, np.uint8), count=z - a).astype(bool)
-        gone = np.sort(sent[told])
-        if len(gone):
-            spot = np.searchsorted(gone, h[chosen])
-            spot[spot == len(gone)] = 0
-            late[chosen] |= gone[spot] == h[chosen]
+        if told.any():
+            both = np.concatenate([sent[told], digest])
+            order, new = _sorted(both)
+            gone = np.zeros(len(both), bool)
+            gone[order] = np.maximum.reduceat(order < told.sum(), np.flatnonzero(new))[np.cumsum(new) - 1]
+            late.append(chosen[gone[told.sum() :]])
+        late = np.unique(np.concatenate(late))
         covered = np.zeros(len(group.doc) + 1, np.int64)
-        np.add.at(covered, at[late], 1)
-        np.add.at(covered, at[late] + window, -1)
+        covered[late] += 1
+        covered[late + window] -= 1
         covered = np.cumsum(covered)[: len(group.doc)] > 0
         removed = np.bincount(group.doc[covered], minlength=len(group.keys)) if len(group.keys) else np.zeros(0, np.int64)
         kept = []

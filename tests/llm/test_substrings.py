@@ -60,3 +60,17 @@ def test_query(spark, sf):
 def test_only_ranges_with_hashes_are_visited():
     assert substrings._cut(np.array([], np.uint64)) == []
     assert substrings._cut(np.array([3, 3, 10**9, 10**12], np.uint64)) == [(3, 0, 2), (10**9, 2, 3), (10**12, 3, 4)]
+
+
+def test_words_that_collide_in_rolling_hashes_stay(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64, whatever the odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2_048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    same = [f"w{i}" for i in range(19)]
+    texts = [" ".join([*same, word]), " ".join([*same, other]), " ".join([*same, word])]
+    one = substrings.Group(substrings.pa.table({"key": [1, 2], "text": [t.encode() for t in texts[:2]]}), 20)
+    _, h = one.hashes(20)
+    assert h[0] == h[1] and (one.digests(np.array([0, 20]))[0] != one.digests(np.array([0, 20]))[1]).any()
+    for group_bytes in (1 << 23, 100):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substrings.dedup(df, group_bytes=group_bytes).collect()} == {0: 0, 1: 0, 2: 20}
