@@ -80,11 +80,17 @@ LAYOUT = frozenset("area bar block bottom box button buttons container content f
 #: An article is left out only as one of these.
 OTHER_ARTICLES = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"(?<![-\w])(class|id|role|hidden|aria-hidden|style)(?![-\w])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What may stand in a head; anything else ends it, as text does.
+HEAD_CONTENT = frozenset("head base link meta title".split())
+#: Elements whose content is no markup and no text of the page.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
+#: A form with this share of a page's text is the page's frame.
+FORM_SHARE = 0.5
+
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: Where an open tag ends, or a quoted value begins.
+_EDGE = re.compile(r">|=\s*[\"']")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[-_:]+")
 _NUMBERED = re.compile(r"[-_]*[a-z]*[0-9].*", re.S)
@@ -117,71 +123,170 @@ def marked(name: str) -> int:
     return YES if not MARKS.isdisjoint(parts) else WEAK if not WEAK_MARKS.isdisjoint(parts) else NO
 
 
-def _open(name: str, rest: str) -> Node:
+def _open(name: str, rest: str, within: bool) -> Node:
+    """``within``: inside an article, where an id is a link's target and says nothing."""
     skipped, head = YES if name in SKIPPED else NO, name
-    if rest:
-        for m in _ATTRIBUTE.finditer(rest):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id"):
-                names = value.split()
-                if key == "class" and names:
-                    head += "." + _NUMBERED.sub("", names[0])
-                if name == "article":
-                    skipped = max(skipped, YES if not OTHER_ARTICLES.isdisjoint(names) else NO)
-                elif name not in ("html", "body", "main"):
-                    skipped = max(skipped, *map(marked, names), NO)
-            elif key == "role":
-                skipped = YES if value in ROLES else skipped
-            elif key == "style":
-                skipped = YES if "display:none" in value.replace(" ", "") else skipped
-            elif value != "false":
-                skipped = YES
+    for m in _ATTRIBUTE.finditer(rest) if rest else ():
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id"):
+            names = value.split()
+            if key == "class" and names:
+                head += "." + _NUMBERED.sub("", names[0])
+            if name == "article":
+                skipped = max(skipped, YES if not OTHER_ARTICLES.isdisjoint(names) else NO)
+            elif name not in ("html", "body", "main") and (key == "class" or not within and name not in ENTRIES):
+                skipped = max(skipped, *map(marked, names), NO)
+        elif key == "role":
+            skipped = YES if value in ROLES else skipped
+        elif key == "style":
+            skipped = YES if "display:none" in value.replace(" ", "") else skipped
+        elif key in ("hidden", "aria-hidden") and value != "false":
+            skipped = YES
     return Node(head, name, skipped)
 
 
+def tokens(page: str) -> Iterator[tuple[str | None, str]]:
+    """(None, text) and (name, attributes) in page order, end tags with a slash before their name; each character is looked at a few times at most.
+
+    A quote that isn't closed ends with its tag, at the next ``>``; a tag without any ends where the next one begins.
+    """
+    at, size, last = 0, len(page), page.rfind(">")
+    closed = {"'": True, '"': True}
+    while at < size:
+        start = page.find("<", at)
+        if start != at:
+            yield None, page[at:] if start < 0 else page[at:start]
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            continue
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = size if start > last else page.find(">", start) + 1
+            else:
+                yield None, "<"
+                at = start + 1
+            continue
+        end, here = -1, m.end()
+        while here <= last and end < 0 and (edge := _EDGE.search(page, here)):
+            quote = edge[0][-1]
+            if quote == ">":
+                end = edge.start()
+                break
+            close = page.find(quote, edge.end()) if closed[quote] else -1
+            if close < 0:
+                closed[quote] = False
+                end = page.find(">", edge.end())
+                break
+            here = close + 1
+        if end < 0:
+            end = page.find("<", m.end())
+            end = size if end < 0 else end
+            at = end
+        else:
+            at = end + 1
+        name = m[0].lower()
+        if name in RAW:
+            stop = RAW[name].search(page, at)
+            at = stop.end() if stop else size
+            continue
+        yield name, page[m.end() : end]
+
+
+class _Stack:
+    """Open elements.  Below ``DEPTH`` they don't become nodes of their own; what is asked of them is kept in counts."""
+
+    def __init__(self, top: Node):
+        self.nodes, self.names, self.deep_skipped, self.articles = [top], {}, 0, 0
+
+    @property
+    def node(self) -> Node:
+        return self.nodes[min(len(self.nodes), DEPTH) - 1]
+
+    def push(self, node: Node) -> None:
+        above = self.node
+        above.open = False
+        if len(self.nodes) < DEPTH:
+            above.children.append(node)
+        else:
+            self.deep_skipped += node.skipped == YES
+        self.nodes.append(node)
+        self.names[node.name] = self.names.get(node.name, 0) + 1
+        self.articles += node.name == "article"
+
+    def pop(self) -> str:
+        node = self.nodes.pop()
+        if len(self.nodes) >= DEPTH:
+            self.deep_skipped -= node.skipped == YES
+        self.names[node.name] -= 1
+        self.articles -= node.name == "article"
+        return node.name
+
+    def close(self, name: str) -> None:
+        """Up to the last open element of a name, if there is one."""
+        if self.names.get(name):
+            self.node.open = False
+            while self.pop() != name:
+                pass
+            self.node.open = False
+
+
 def parse(page: str | None) -> Node:
     top = Node("", "", NO)
-    stack, linked = [top], False
-    for m in _TOKEN.finditer(page or ""):
-        tag, node = m[2], stack[min(len(stack), DEPTH) - 1]
-        if tag is None:
-            piece = m[0]
-            if m[1] is None and (piece == "<" or piece[0] != "<") and not any(n.skipped == YES for n in stack[DEPTH:]):
-                node.say(piece, linked)
+    stack, linked, forms = _Stack(top), False, []
+    for name, rest in tokens(page or ""):
+        if name is None:
+            if stack.nodes[-1].name == "head" and not rest.isspace():
+                stack.close("head")
+            if not stack.deep_skipped:
+                stack.node.say(rest, linked)
             continue
-        name = tag.lower()
         if name[0] == "/":
             name = name[1:]
             if name == "a":
                 linked = False
-            if name in INLINE or name in VOID:
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    node.open = False
-                    del stack[i:]
-                    stack[min(len(stack), DEPTH) - 1].open = False
-                    break
+            if name not in INLINE and name not in VOID:
+                stack.close(name)
             continue
+        if name not in HEAD_CONTENT and stack.names.get("head"):
+            stack.close("head")
         if name == "br":
-            node.say(" ", False)
+            stack.node.say(" ", False)
             continue
         if name in INLINE:
             linked = True if name == "a" else linked
             continue
-        if stack[-1].name in CLOSES and name in CLOSES[stack[-1].name]:
+        if stack.nodes[-1].name in CLOSES and name in CLOSES[stack.nodes[-1].name]:
             stack.pop()
         if name in VOID:
             continue
-        above = stack[min(len(stack), DEPTH) - 1]
-        above.open = False
-        made = _open(name, m[3])
-        if len(stack) < DEPTH:
-            above.children.append(made)
-        stack.append(made)
+        node = _open(name, rest, stack.articles > 0)
+        if name == "form" and len(stack.nodes) < DEPTH:
+            forms.append(node)
+        stack.push(node)
+    if forms:
+        whole = _letters(top)
+        for form in forms:
+            if _letters(form) >= FORM_SHARE * whole:
+                form.skipped = NO
     return top
 
 
+def _letters(node: Node) -> int:
+    """Characters of text in an element, those of the head apart."""
+    total, todo = 0, [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, list):
+                total += len(child[0]) - child[0].count(" ") - child[0].count("\n")
+            elif child.name != "head":
+                todo.append(child)
+    return total
+
+
 def clean(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 

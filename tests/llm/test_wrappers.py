@@ -193,3 +193,53 @@ def test_alignment_is_a_common_subsequence():
 def test_wrappers_survive_being_written():
     one = wrappers.lift(wrappers.parse(page("A", ["b", "c"])))
     assert wrappers.load(wrappers.dump(one)) == one
+
+
+def text_of(html):
+    return wrappers.Extractor(wrappers.lift(wrappers.parse(html)))(html)
+
+
+def test_attribute_values_are_no_attributes():
+    assert text_of('<article title="the hidden valley"><p>words</p></article>') == "words"
+    assert text_of('<article><div data-note="a hidden gem"><p>kept</p></div><p hidden>gone</p><p aria-hidden=true>gone</p><p aria-hidden="false">stays</p></article>') == "kept\nstays"
+    assert text_of("<article><p title='class=\"comments\"'>one</p><p data-class=ad>two</p><div class='ad'>gone</div></article>") == "one\ntwo"
+
+
+def test_a_head_without_an_end():
+    assert text_of("<html><head><title>t</title><meta charset=utf-8><body><article><p>words</p></article>") == "words"
+    assert text_of("<head><title>t</title><script>x</script><div><p>first words of it</p><p>second words</p></div>") == "first words of it\nsecond words"
+    assert text_of("<head><title>t</title>bare text") == "bare text"
+
+
+def test_a_page_within_one_form():
+    frame = "<body><form id=main method=post><input type=hidden><div><h1>Head</h1><p>many words of the page</p><p>and more of them</p></div><select><option>a<option>b</select></form>"
+    assert text_of(frame) == "Head\nmany words of the page\nand more of them"
+    assert text_of("<article><p>an article with more words than that</p><form><p>your name</p><button>send</button></form></article>") == "an article with more words than that"
+
+
+def test_ids_inside_articles_are_targets():
+    assert text_of('<article><h2 id="cookies">Cookies</h2><p>about cookies</p><section id="comments"><h2 id="comments">Remarks</h2><p>of the author</p></section></article>') == "Cookies\nabout cookies\nRemarks\nof the author"
+    assert text_of('<div id="comments"><p>nice post, thank you all</p></div><div><p>the text of the page, which is longer</p><p>than its comments</p></div>') == "the text of the page, which is longer\nthan its comments"
+    assert text_of('<article><p>text</p><div class="comments"><p>nice</p></div></article>') == "text"
+
+
+def test_unclosed_quotes_and_tags():
+    assert text_of('<p title="abc>first words</p>') == "first words"
+    assert text_of("<article><p class='x>one</p><p>two</p></article>") == "one\ntwo"
+    assert text_of("<article><p>one</p><p class=x") == "one"
+    assert text_of("<article><p>a < b and c > d</p></article>") == "a < b and c > d"
+    assert text_of('<article><p title="x > y">kept</p></article>') == "kept"
+
+
+def test_time_is_in_proportion():
+    inputs = ["<a ", "<div>x", "<p title=", '<p title="', "<!-- ", "<script>", "<div class='ad'>x", "</p>", "<", "<a b=   ", "<form>x", "&amp"]
+    for one in inputs:
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            wrappers.parse(one * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5 and took[1] < 5, one
+    began = time.process_time()
+    wrappers.parse("<div>" * 20_000 + "</p>" * 20_000)
+    assert time.process_time() - began < 5
