@@ -8,8 +8,10 @@ declared one; media found elsewhere are carved, the first and longest before tho
 overlap them.  Media inside a medium are looked for only in what it leaves (its own
 samples are data).
 
-``pack`` stores text as the 8-bit samples of a WAV file, padded to a multiple of 64;
-``features`` reads them back and describes them.
+``pack`` stores text, padded to a multiple of 64, as the 8-bit samples of a WAV file or the
+grey pixels of a BMP or PNG, which of them is chosen by a hash of the text; ``features``
+reads them back and describes them.  A PDF's attachments are part of it: ends are paired
+with starts like brackets, and further ends belong to what they follow.
 
 Defined results: null content is like empty content, of type ``application/octet-stream``
 and length 0; a null declared type is corrected like a wrong one.  Null text packs like
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,6 +33,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,14 @@ from plumbline.llm.common import add, arrow, free_name
 UNKNOWN = "application/octet-stream"
 BLOCK = 64
 RATE = 8_000
+#: A PDF's cross reference is named within so many bytes before its end mark (fixed by the format).
+XREF_WITHIN = 1_024
+_PDF = re.compile(rb"%PDF-[0-9]\.[0-9]|%%EOF")
+#: What texts are stored as.
+KINDS = ("audio/wav", "image/bmp", "image/png")
+#: One text in so many has a picture of one dot behind its medium.
+THUMBNAILS = 4
+THUMBNAIL = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
 
 
 def _riff(b: bytes, at: int, kind: bytes) -> int:
@@ -126,13 +138,23 @@ def _bmp(b: bytes, at: int) -> int:
     return size if fits and struct.unpack_from("<H", b, at + (26 if header > 12 else 22))[0] == 1 else 0
 
 
+@lru_cache(1)
+def _documents(b: bytes) -> dict[int, int]:
+    """Where PDFs start, and the ends that belong to them, each with its cross reference before it."""
+    found: dict[int, int] = {}
+    open_, last = [], -1
+    for m in _PDF.finditer(b):
+        if m[0] != b"%%EOF":
+            open_.append(m.start())
+        elif open_ or last >= 0:
+            last = open_.pop() if open_ else last
+            if b.rfind(b"startxref", max(last, m.start() - XREF_WITHIN), m.start()) >= 0:
+                found[last] = m.end()
+    return found
+
+
 def _pdf(b: bytes, at: int) -> int:
-    if not b[at + 5 : at + 6].isdigit():
-        return 0
-    stop = b.find(b"%PDF-", at + 5)
-    stop = stop if stop > 0 else len(b)  # what comes after the next one's start is searched from there
-    mark, end = b.find(b"startxref", at, stop), b.rfind(b"%%EOF", at, stop)
-    return end + 5 - at if 0 < mark < end else 0
+    return _documents(b).get(at, at) - at
 
 
 @lru_cache(1)
@@ -163,18 +185,25 @@ def _gzip(b: bytes, at: int) -> int:
     return len(b) - at - len(one.unused_data) if one.eof else 0
 
 
+@lru_cache(1)
+def _streams(b: bytes) -> dict[int, int]:
+    """Where OGG pages start, and the end of the last page of their stream: one pass over all headers, from the last."""
+    found: dict[int, int] = {}
+    p = b.rfind(b"OggS\x00")
+    while p >= 0:
+        if p + 27 <= len(b):
+            n = b[p + 26]
+            end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+            if end <= len(b):
+                stop = end if b[p + 5] & 4 else found.get(end, 0)
+                if stop:
+                    found[p] = stop
+        p = b.rfind(b"OggS\x00", 0, p + 4)
+    return found
+
+
 def _ogg(b: bytes, at: int) -> int:
-    p = at
-    while b[p : p + 5] == b"OggS\x00" and p + 27 <= len(b):
-        n = b[p + 26]
-        size = 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p + size > len(b):
-            return 0
-        last = b[p + 5] & 4
-        p += size
-        if last:
-            return p - at
-    return 0
+    return _streams(b).get(at, at) - at
 
 
 #: Fixed values of the formats: magic bytes, media type, validator.
@@ -246,7 +275,25 @@ def _wave(payload: bytes) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n) + payload
 
 
+def _bitmap(payload: bytes) -> bytes:
+    """Rows of BLOCK grey pixels, from the top."""
+    grey = b"".join(bytes((g, g, g, 0)) for g in range(256))
+    start = 54 + len(grey)
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", start + len(payload), 0, start, 40, BLOCK, -(len(payload) // BLOCK), 1, 8, 0, len(payload), 2_835, 2_835, 256, 0) + grey + payload
+
+
+def _picture(payload: bytes) -> bytes:
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    rows = np.zeros((len(payload) // BLOCK, BLOCK + 1), np.uint8)
+    rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)
+    head = struct.pack(">IIBBBBB", BLOCK, len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
 def _data(content: bytes) -> bytes:
+    """The samples of a WAV."""
     p = 12
     while p + 8 <= len(content):
         name, size = struct.unpack_from("<4sI", content, p)
@@ -256,31 +303,65 @@ def _data(content: bytes) -> bytes:
     return b""
 
 
-def pack(df: DataFrame, text: str = "text", into: str = "content") -> DataFrame:
-    """Adds a WAV file whose samples are the text's UTF-8 bytes, then zeros up to a positive multiple of 64."""
+def _pixels(content: bytes) -> bytes:
+    """The grey pixels of a BMP without padding."""
+    start, width, height = struct.unpack_from("<I4xii", content, 10)
+    rows = np.frombuffer(content, np.uint8, width * abs(height), start).reshape(-1, width)
+    return rows[:: -1 if height > 0 else 1].tobytes()
+
+
+def _unfiltered(content: bytes) -> bytes:
+    """The grey pixels of a PNG whose rows aren't filtered."""
+    p, packed, width = 8, [], 0
+    while p + 12 <= len(content):
+        size, name = struct.unpack_from(">I4s", content, p)
+        if name == b"IHDR":
+            width = struct.unpack_from(">I", content, p + 8)[0]
+        elif name == b"IDAT":
+            packed.append(content[p + 8 : p + 8 + size])
+        elif name == b"IEND":
+            break
+        p += 12 + size
+    return np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(-1, width + 1)[:, 1:].tobytes()
+
+
+#: How a payload is stored as each kind and read back, and the name of its features.
+STORES: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes], str]] = {"audio/wav": (_wave, _data, f"wav;rate={RATE}"), "image/bmp": (_bitmap, _pixels, f"bmp;width={BLOCK}"), "image/png": (_picture, _unfiltered, f"png;width={BLOCK}")}
+
+
+def pack(df: DataFrame, text: str = "text", into: str = "content", kinds: tuple[str, ...] = KINDS[:1], thumbnails: int = 0) -> DataFrame:
+    """Adds a medium that holds the text's UTF-8 bytes, then zeros up to a positive multiple of 64; its kind, and whether a picture follows it (one text in ``thumbnails``; 0: never), are chosen by the text's hash."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
             for t in batch.cast(pa.binary()):
                 b = t.as_py() or b""
-                out.append(_wave(b + bytes(-len(b) % BLOCK if b else BLOCK)))
+                h = xxhash.xxh64_intdigest(b)
+                made = STORES[kinds[h % len(kinds)]][0](b + bytes(-len(b) % BLOCK if b else BLOCK))
+                out.append(made + THUMBNAIL if thumbnails and h // len(kinds) % thumbnails == 0 else made)
             yield pa.array(out, pa.binary())
 
     return add(df, {into: arrow(run, "binary")(df[f"`{text}`"])})
 
 
+def declared(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """A type as a careless source would state it: one of ``kinds`` by a hash of the text that knows nothing of what is stored."""
+    return F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(len(kinds))) + 1).cast("int"))
+
+
 def features(content: Column, kind: Column) -> Column:
-    """Of a WAV of 8-bit samples: its payload's length, digest and tail checksum, and a line of features; nulls for other media."""
+    """Of a medium that ``pack`` could have made: its payload's length, digest and tail checksum, and a line of features; nulls for other media."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for contents, kinds in batches:
             rows = []
             for c, k in zip(contents, kinds.to_pylist(), strict=True):
-                if k != "audio/wav":
+                if k not in STORES:
                     rows.append(None)
                     continue
-                payload = _data(c.as_py())
+                _, read, name = STORES[k]
+                payload = read(c.as_py())
                 x = np.frombuffer(payload, np.uint8)
                 share = np.bincount(x, minlength=256)
                 share = share[share > 0] / max(1, len(x))
@@ -289,7 +370,7 @@ def features(content: Column, kind: Column) -> Column:
                         "payload_bytes": len(payload),
                         "payload_sha256": hashlib.sha256(payload).hexdigest(),
                         "tail_crc32": zlib.crc32(payload[-BLOCK:]),
-                        "feature": f"wav;rate={RATE};samples={len(x)};mean={x.mean() if len(x) else 0:.4f};deviation={x.std() if len(x) else 0:.4f};entropy={-(share * np.log2(share)).sum() + 0.0:.4f};crossings={np.count_nonzero(np.diff(x >= 128))}",
+                        "feature": f"{name};samples={len(x)};mean={x.mean() if len(x) else 0:.4f};deviation={x.std() if len(x) else 0:.4f};entropy={-(share * np.log2(share)).sum() + 0.0:.4f};crossings={np.count_nonzero(np.diff(x >= 128))}",
                     }
                 )
             yield pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]))

@@ -59,10 +59,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), "text")
-    found = media.sniff(media.pack(docs).drop("text").withColumn("declared", F.lit("text/plain")))
+    """Texts as sounds and pictures, some with another picture behind them, and types declared without a look."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), "text", media.declared(F.col("text")).alias("declared"))
+    found = media.sniff(media.pack(docs, kinds=media.KINDS, thumbnails=media.THUMBNAILS).drop("text"))
     return found.withColumn("read", media.features(F.col("content"), F.col("media_type"))).select(
-        "doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", F.octet_length("content").cast("long").alias("media_bytes"), F.sha2("content", 256).alias("media_sha256"), "read.feature", "media_type", "corrected", F.size("embedded").alias("n_embedded")
+        "doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", F.octet_length("content").cast("long").alias("media_bytes"), F.sha2("content", 256).alias("media_sha256"), "read.feature", "media_type", "media_length", "declared", "corrected", F.size("embedded").alias("n_embedded")
     )
 
 
