@@ -39,3 +39,15 @@ def required_n(p: Column, gap: Column, z: float = Z95) -> Column:
 
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function, to 1e-7: a polynomial in 1 / (1 + p |z|) times the density."""
+    # The approximation's published coefficients.
+    p, coefficients = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+    t = 1 / (1 + p * F.abs(z))
+    power = F.lit(0.0)
+    for c in reversed(coefficients):
+        power = (power + c) * t
+    beyond = F.exp(-z * z / 2) * 0.3989422804014327 * power
+    return F.when(z > 0, 1 - beyond).otherwise(beyond)

@@ -62,3 +62,22 @@ def smallest_by_hash(df: DataFrame, by: str, key: str, seed: int, into: str) ->
     marked = df.withColumn("_h", h)
     places = average_ranks(marked.select(F.col(by).alias("_b"), "_h"), "_h", ["_b"]).select("_b", F.col("_h").alias("_g"), F.col("rank").alias(into))
     return marked.alias("m").join(places.alias("p"), F.col(f"m.{by}").eqNullSafe(F.col("p._b")) & (F.col("m._h") == F.col("p._g"))).select("m.*", into).drop("_h")
+
+
+def row_places(df: DataFrame, value: str, row: str, into: str) -> DataFrame:
+    """Adds each row's place in the order of a value, from 1, equal values in the order of ``row``; no two rows share one.
+
+    Rows with one value are numbered in one task, so a value that many rows have wants
+    something small and of its own added to each.
+    """
+    ranks = average_ranks(df.select(F.col(value).alias("_v")), "_v").select("_v", (F.col("rank") - (F.col("n") - 1) / 2).cast("long").alias("_first"))
+    within = F.row_number().over(Window.partitionBy("_v").orderBy(row))
+    return df.join(ranks, F.col(value) == F.col("_v")).withColumn(into, F.col("_first") + within - 1).drop("_v", "_first")
+
+
+def standard_ranks(df: DataFrame, value: str, into: str) -> DataFrame:
+    """Adds the average rank of each row's value, less the mean rank, over its deviation; 0 where there is no value or only one."""
+    ranks = average_ranks(df.select(F.col(value).alias("_v")), "_v").select("_v", "n", "rank")
+    one = ranks.agg((F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("_m"), F.sqrt(F.sum(F.col("n") * F.col("rank") * F.col("rank")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("rank")) / F.sum("n"), F.lit(2))).alias("_s"))
+    z = F.when(F.col("_s") > 0, (F.col("rank") - F.col("_m")) / F.col("_s"))
+    return df.join(ranks.crossJoin(F.broadcast(one)).select("_v", z.alias("_z")), F.col(value) == F.col("_v"), "left").withColumn(into, F.coalesce("_z", F.lit(0.0))).drop("_v", "_z")  # one: a row

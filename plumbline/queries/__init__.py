@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.registry import ORACLES, QUERIES
 
-for _name in ("audit", "blueprints", "decorated", "discovery", "dynamics", "fidelity", "flagship", "floors", "generation", "networks", "noise", "privacy", "profiles", "related", "relations", "sources", "streams", "tails", "typing"):
+for _name in ("audit", "blueprints", "coupling", "decorated", "discovery", "dynamics", "fidelity", "flagship", "floors", "generation", "networks", "noise", "privacy", "profiles", "related", "relations", "shaped", "sources", "streams", "tails", "typing"):
     import_module(f"plumbline.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
