@@ -23,10 +23,15 @@ every candidate is verified on the sets themselves.  Equal sets are one node.  T
 of a band value are compared in pairs if they are ``FEW`` at most.  A larger one has ``HEADS``
 heads, with which all others are compared; who is similar to none of them
 goes on as a head, again against all, with eight times as many each time, so rounds are
-few.  Hence only two that both resemble heads of their own, which no chain of meetings
-joins, could stay apart (tests hold large groups against all pairs).  In a large group a
-set moves once a band and round, however many heads it meets, and what is held is the
-heads' sets of one band value, ``MOST_HEADS`` at most.
+few.  A set moves once a band and round then, however many heads it meets, and what is
+held is the heads' sets of one band value, ``MOST_HEADS`` at most.
+
+Two that both resemble heads of their own haven't met so.  Where a large band value's nodes
+are still of several groups after that, they do: each node that isn't of the value's
+largest group is compared with every node of another group whose set could be similar by
+its size.  Such nodes are held in blocks of ``BLOCK`` sets, past which the others stream, and
+only pairs of different groups are told.  So every two sets that share a band value have
+been compared or are in one group already, and no link between groups is lost.
 
 Defined results: a text without words (null, empty or white space) has fingerprint
 zero and is linked as any other; a text of fewer words than a shingle is one shingle.
@@ -60,6 +65,8 @@ SIMILARITY = 0.8
 BANDS, ROWS, FEW, HEADS, MOST_HEADS = 24, 5, 16, 64, 512
 #: Parts into which the nodes compared with one node are dealt if there are over MANY.
 PARTS, MANY = 32, 1_000
+#: Sets that are held at a time where groups of a band value are compared with each other.
+BLOCK = 256
 
 
 def _hashes(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
@@ -203,7 +210,7 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _led(rows: DataFrame, similarity: float) -> DataFrame:
-    """(band, value, node, v): members of a band value that are similar to one of its heads, v.
+    """(band, value, node, v): members of a band value that are similar to one of its heads, v, and not of the same ``root`` (null: of none).
 
     Rows of a band value and part come in order, the heads (``at`` 0) before the members,
     each with its set: the heads' sets are held as one sorted array, in which a member's
@@ -212,20 +219,22 @@ def _led(rows: DataFrame, similarity: float) -> DataFrame:
     kind = "band int, value long, node string, v string"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("band", "value", "part", "at", "node", "h", "open")
+        names = ("band", "value", "part", "at", "node", "h", "open", "root")
         place, heads, sets = None, [], []
         hashes = owners = sizes = np.zeros(0, np.int64)
         for batch in batches:
             found = []
-            for (band, value, part, at, node, h, free), blob in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), batch.column("shingles"), strict=True):
+            for (band, value, part, at, node, h, free, root), blob in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), batch.column("shingles"), strict=True):
                 own = np.frombuffer(blob.as_py(), np.uint32)
                 if (band, value, part) != place:
                     place, heads, sets = (band, value, part), [], []
                 if at == 0:
-                    heads.append((h, node))
+                    heads.append((h, node, root))
                     sets.append(own)
                     hashes = None
                     continue
+                if not heads:  # a block that no head fell into
+                    continue
                 if hashes is None:
                     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                     hashes, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -236,40 +245,66 @@ def _led(rows: DataFrame, similarity: float) -> DataFrame:
                 spots = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
                 both = np.bincount(owners[spots], minlength=len(heads))
                 for i in np.flatnonzero(both >= similarity * (sizes + len(own) - both)).tolist():
-                    if heads[i][1] != node and (not free or (h, node) > heads[i]):
+                    if heads[i][1] != node and (not free or (h, node) > heads[i][:2]) and (root is None or root != heads[i][2]):
                         found.append((band, value, node, heads[i][1]))
             columns = list(zip(*found, strict=True)) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["band", "value", "node", "v"])
         tidy()
 
-    return rows.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "at").select("band", "value", "part", "at", "node", "h", "open", "shingles").mapInArrow(compare, kind)
+    return rows.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "at").select("band", "value", "part", "at", "node", "h", "open", "root", "shingles").mapInArrow(compare, kind)
 
 
-def _similar(points: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
-    """Links of similar nodes, from the band values that they share."""
-    held = points.select("node", F.posexplode("bands").alias("band", "value"))
-    sizes = held.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared, at = written(held.join(sizes, ["band", "value"]), "bands"), ["band", "value"]
+def _similar(shared: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+    """Links of similar nodes, from the band values that they share: all of small ones, of large ones those with their heads."""
+    at = ["band", "value"]
     few = shared.where(F.col("n") <= FEW).select(*at, "node")
     pairs = few.alias("a").join(few.alias("b"), at).where("a.node > b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     links = [written(_verified(pairs, sets, similarity), "similar")]
-    now, heads_of = written(shared.where(F.col("n") > FEW).select(*at, "node", "n", F.xxhash64("node").alias("h"), F.lit(True).alias("open")), "busy"), HEADS
+    now, heads_of = written(shared.where(F.col("n") > FEW).select(*at, "node", "n", F.xxhash64("node").alias("h"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("root")), "busy"), HEADS
     while not now.isEmpty():
-        place = F.row_number().over(Window.partitionBy(*at).orderBy("h", "node"))
-        heads = now.where("open").withColumn("place", place).where(F.col("place") <= heads_of).drop("place")
+        # the first of each value by hash: of each part of it, then of all parts
+        order, salt = ["h", "node"], F.pmod(F.col("h"), F.lit(PARTS))
+        for by in ([*at, salt], at):
+            place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+            heads = (now.where("open") if by is not at else heads).withColumn("place", place).where(F.col("place") <= heads_of).drop("place")
         parts = F.when(F.col("n") > MANY, PARTS).otherwise(1)
-        first = heads.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("at", F.lit(0))
-        rest = now.withColumn("part", F.pmod(F.col("h"), parts).cast("int")).withColumn("at", F.lit(1))
+        first = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).withColumn("at", F.lit(0))
+        rest = now.withColumn("part", F.pmod(F.col("h"), parts).cast("long")).withColumn("at", F.lit(1))
         met = written(_led(first.union(rest.select(first.columns)).join(sets, "node"), similarity), "similar")
         links.append(met.select(F.col("node").alias("u"), "v"))
         closed = met.select(*at, "node").union(heads.select(*at, "node")).distinct().withColumn("closed", F.lit(True))
         left = now.join(closed, [*at, "node"], "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
-        last, now = now, written(left.join(left.where("open").select(*at).distinct(), at, "left_semi"), "busy")
+        last, now = now, written(left.join(left.where("open").select(*at).distinct(), at, "left_semi").select(now.columns), "busy")
         forget(last)
         heads_of = min(8 * heads_of, MOST_HEADS)
+    forget(now)
     return links
 
 
+def _between(shared: DataFrame, sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame | None:
+    """Links of similar nodes of different groups that share a large band value; None where each such value has one group."""
+    at = ["band", "value"]
+    named = shared.where(F.col("n") > FEW).select(*at, "node").join(rooted.select("node", "root"), "node")
+    sizes = named.groupBy(*at, "root").agg(F.count("*").alias("m"))
+    several = sizes.groupBy(*at).agg(F.count("*").alias("groups"), F.max_by("root", F.struct("m", "root")).alias("largest")).where("groups > 1").drop("groups")
+    # sets that are similar differ in size by a factor of 1 / similarity at most, so by one bucket
+    bucket = F.floor(F.log(F.greatest(F.octet_length("shingles") / 4, F.lit(1.0))) / (-np.log(similarity) + 1e-9)).cast("int")
+    rows = written(named.join(several, at).join(sets.select("node", bucket.alias("bucket")), "node").withColumns({"h": F.xxhash64("node"), "open": F.lit(False)}), "between")
+    if rows.isEmpty():
+        forget(rows)
+        return None
+    heads = rows.where("root <> largest")
+    cells = heads.groupBy(*at, "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    part = F.xxhash64("bucket", "chunk")
+    columns = [*at, "node", "h", "open", "root"]
+    first = heads.join(cells, [*at, "bucket"]).withColumn("chunk", F.pmod("h", F.col("chunks")).cast("int")).select(*columns, part.alias("part"), F.lit(0).alias("at"))
+    near = rows.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)]))).join(cells, [*at, "bucket"])
+    rest = near.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns, part.alias("part"), F.lit(1).alias("at"))
+    found = written(_led(first.union(rest).join(sets, "node"), similarity).select(F.col("node").alias("u"), "v").distinct(), "similar")
+    forget(rows)
+    return found
+
+
 def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, seed: int = SEED, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` of smallest ``key`` of each group, where fingerprints within ``distance`` bits and similar shingle sets link."""
 
@@ -289,9 +324,23 @@ def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words:
     for a in ("u", "v"):
         near = near.join(prints.select(F.col("fp").alias(a), F.col("node").alias(f"{a}_node")), a)
     edges = edges.union(near.select("u_node", "v_node"))
-    for found in _similar(points, sets, similarity):
-        edges = edges.union(found)
-    rooted = points.select("node", "id").join(components(edges).select("node", "root"), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    held = points.select("node", F.posexplode("bands").alias("band", "value"))
+    met = held.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(held.join(met, ["band", "value"]), "bands")
+    found = _similar(shared, sets, similarity)
+    for one in found:
+        edges = edges.union(one)
+
+    def named(links: DataFrame) -> DataFrame:
+        return written(points.select("node", "id").join(components(links).select("node", "root"), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
+
+    rooted = named(edges)
+    if (more := _between(shared, sets, rooted, similarity)) is not None:
+        last, rooted = rooted, named(rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+        forget(last)
+        found.append(more)
+    for one in (*found, shared):
+        forget(one)
     groups = rooted.groupBy("root").agg(F.min("id").alias("id"), F.min("node").alias("node"))
     kept, node = free_name(df, "kept"), free_name(df, "node")
     stay = df.join(groups.where("id is not null").select(F.col("id").alias(kept)), df[f"`{key}`"] == F.col(kept), "left_semi")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -139,3 +140,42 @@ def test_similar_texts_of_null_ids(spark):
     rows = [(None, base), (None, base.upper()), (None, base.replace("w150 ", "other ")), (4, "quite another text"), (4, "quite another text"), (None, "quite another  text")]
     got = simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) <= 3 and [r.text for r in got if r.doc_id] == ["quite another text"] and sum(r.doc_id is None for r in got) >= 1
+
+
+def test_groups_of_a_large_band_value_are_compared(spark, monkeypatch):
+    """Links between groups, in blocks of a few sets, against all pairs of them."""
+    monkeypatch.setattr(simhash, "FEW", 2)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    rng, sets = random.Random(3), {}
+    for family in range(8):
+        base = rng.sample(range(100_000), rng.choice([5, 30, 90]))
+        for k in range(6):
+            own = set(base)
+            for x in rng.sample(base, rng.randrange(1 + len(base) // 8)):
+                own.discard(x)
+                own.add(rng.randrange(100_000))
+            sets[f"n{family}-{k}"] = np.sort(np.array(list(own), np.uint32))
+    roots = {n: rng.choice(["r1", "r1", "r2", "r3"]) for n in sets}
+    spots = [(0, 7, n, len(sets)) for n in sets] + [(1, 7, n, 2) for n in list(sets)[:2]] + [(2, 9, n, 24) for n in list(sets)[:24]]
+    shared = spark.createDataFrame(spots, "band int, value long, node string, n long")
+    blobs = spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in sets.items()], "node string, shingles binary")
+    rooted = spark.createDataFrame([(n, 1, r) for n, r in roots.items()], "node string, id long, root string")
+    found = {frozenset((r.u, r.v)) for r in simhash._between(shared, blobs, rooted, 0.8).collect()}
+    similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and roots[a] != roots[b] and similar(sets[a], sets[b])}
+    assert found == want and want
+    assert simhash._between(shared, blobs, rooted.withColumn("root", F.lit("r1")), 0.8) is None
+
+
+def test_two_that_resemble_heads_of_their_own_meet(spark, monkeypatch):
+    """A chain of texts, each similar to the next only, with one head a round: groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "FEW", 1)
+    monkeypatch.setattr(simhash, "HEADS", 1)
+    monkeypatch.setattr(simhash, "MOST_HEADS", 1)
+    words, texts = [f"w{i}" for i in range(200)], {}
+    for i in range(24):
+        for k in range(4):
+            words[(i * 37 + k * 50) % 200] = f"new{i}-{k}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_similar(df).collect()} == brute_kept(texts)
