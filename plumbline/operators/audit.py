@@ -112,3 +112,14 @@ def shape_gap(one: DataFrame, two: DataFrame, at: str, value: str, edges: list[f
     inside = (F.size(F.filter("p", lambda q: q["x"] <= F.col("x"))) > 0) & right.isNotNull()
     gaps = points.select(F.size("p").alias("m"), F.when(inside, F.abs(there - F.col("y")) / F.coalesce(F.nullif("sd", F.lit(0.0)), F.lit(1.0))).alias("g"))
     return gaps.agg(F.count("*").alias("points"), F.max("g").alias("g"), F.max("m").alias("m")).select("points", F.round(F.when((F.col("points") >= 3) & (F.col("m") >= 3), F.col("g")), 6).alias("gap"))
+
+
+def shape_floor(df: DataFrame, entity: str, at: str, value: str, edges: list[float], splits: int = 5, seed: int = 0, least: int = 5) -> DataFrame:
+    """(splits, floor): the gap that a faithful table would show: ``shape_gap`` itself between halves of the entities, averaged over splits; null where no split has a gap."""
+    known = df.where(F.col(at).isNotNull() & F.col(value).isNotNull())
+    gaps = None
+    for i in range(splits):
+        left = uniform(seed + i, F.col(entity), "half") < 0.5
+        one = shape_gap(known.where(left), known.where(~left), at, value, edges, least).select("gap")
+        gaps = one if gaps is None else gaps.union(one)
+    return gaps.agg(F.count("gap").alias("splits"), F.round(F.avg("gap"), 6).alias("floor"))

@@ -25,7 +25,7 @@ MISSING = "(missing)"
 #: A column of more levels is refused: bin it first.
 MAX_LEVELS = 64
 #: Chance of a level that a setting never showed.
-LEAST_P = 1e-6
+LEAST_P = 1e-9
 
 
 @dataclass

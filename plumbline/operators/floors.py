@@ -78,6 +78,9 @@ def judge_cells(one: DataFrame, two: DataFrame, cell: list[str], value: str, tra
 def curve_floor(df: DataFrame, entity: str, bin_: str, value: str, splits: int = FLOOR_SPLITS, seed: int = 0) -> DataFrame:
     """The gap that a curve's own halves read, by entity: the greatest difference of bin means in deviations, averaged over splits.
 
+    Of bins that are levels.  A curve over a number, whose gap is read between places, has
+    its floor from ``audit.shape_floor``, which is that computation itself.
+
     All splits are one pass: each row is in one half of every split.
     """
     known = df.where(F.col(value).isNotNull() & F.col(bin_).isNotNull())

@@ -1,4 +1,9 @@
-"""What noise costs: counts released with Gaussian noise, items chosen above a raised floor, and the privacy that training steps spend."""
+"""What noise costs: counts released with Gaussian noise, items chosen above a raised floor, and the privacy that training steps spend.
+
+Noise is a hash of a seed and the item, so that a release comes out the same wherever it is
+made.  Whoever knows the seed can take the noise off again: it has to be kept as secret as
+the data, and not be used for a second release.
+"""
 
 from __future__ import annotations
 
@@ -14,9 +19,9 @@ ORDERS = range(2, 65)
 
 
 def gaussian_scale(epsilon: float, delta: float, cap: int) -> float:
-    """Deviation of the noise on counts to which an entity adds at most ``cap``: the bound by the square sum, so it grows with the root of the cap."""
-    if cap < 1 or not 0 < delta < 1 or epsilon <= 0:
-        raise ValueError("cap at least 1, delta within 0 to 1, epsilon above 0")
+    """Deviation of the noise on counts to which an entity adds at most ``cap``: the classical bound by the square sum, which grows with the root of the cap and holds for an epsilon of 1 at most."""
+    if cap < 1 or not 0 < delta < 1 or not 0 < epsilon <= 1:
+        raise ValueError("cap at least 1, delta within 0 to 1, epsilon above 0 and 1 at most")
     return sqrt(cap) * sqrt(2 * log(1.25 / delta)) / epsilon
 
 
@@ -28,7 +33,7 @@ def capped_counts(df: DataFrame, entity: str, item: str, cap: int, seed: int) ->
 
 
 def gaussian_histogram(counts: DataFrame, epsilon: float, delta: float, cap: int, seed: int) -> DataFrame:
-    """(item, noisy)"""
+    """(item, noisy); ``seed`` has to be secret."""
     return counts.select("item", (F.col("n") + gaussian_scale(epsilon, delta, cap) * normal(seed, F.col("item"), "noise")).alias("noisy"))
 
 
@@ -38,7 +43,7 @@ def raised_floor(floor: float, epsilon: float, cap: int, tau: float = 1e-6) -> f
 
 
 def select_above(counts: DataFrame, floor: float, epsilon: float, cap: int, seed: int, tau: float = 1e-6) -> DataFrame:
-    """(item, noisy) of the items whose noisy count reaches the raised floor."""
+    """(item, noisy) of the items whose noisy count reaches the raised floor; ``seed`` has to be secret."""
     noisy: Column = F.col("n") + laplace(uniform(seed, F.col("item"), "noise"), cap / epsilon)
     return counts.select("item", noisy.alias("noisy")).where(F.col("noisy") >= raised_floor(floor, epsilon, cap, tau))
 

@@ -102,3 +102,14 @@ def shape_gap(spark, sf):
     """Price along quantity, lines of odd suppliers against those of even ones."""
     both = table(spark, sf, "lineitem")
     return a.shape_gap(both.where("l_suppkey % 2 = 0"), both.where("l_suppkey % 2 = 1"), "l_quantity", "l_extendedprice", [10.0, 20.0, 30.0, 40.0])
+
+
+@query("shape_floor", f"""
+WITH l AS (SELECT s, CASE WHEN {_u("s::VARCHAR || ':' || l_orderkey::VARCHAR || ':half'")} < 0.5 THEN 0 ELSE 1 END AS h, l_quantity AS x, l_extendedprice AS y, (l_quantity > 10)::INT + (l_quantity > 20)::INT + (l_quantity > 30)::INT + (l_quantity > 40)::INT AS b FROM lineitem, range(5) AS t(s)),
+c AS (SELECT s, h, b, avg(x) AS x, avg(y) AS y FROM l GROUP BY ALL HAVING count(*) >= 5), d AS (SELECT s, stddev_samp(y) AS sd FROM l WHERE h = 0 GROUP BY s),
+j AS (SELECT o.s, o.x, o.y, max_by(struct_pack(x := t.x, y := t.y), t.x) FILTER (WHERE t.x <= o.x) AS a, min_by(struct_pack(x := t.x, y := t.y), t.x) FILTER (WHERE t.x >= o.x) AS b FROM c AS o JOIN c AS t USING (s) WHERE o.h = 0 AND t.h = 1 GROUP BY o.s, o.x, o.y),
+g AS (SELECT s, round(max(abs(CASE WHEN b.x = a.x THEN a.y ELSE a.y + (j.x - a.x) / (b.x - a.x) * (b.y - a.y) END - j.y) / sd) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL), 6) AS gap FROM j JOIN d USING (s) GROUP BY s)
+SELECT count(gap) AS splits, round(avg(gap), 6) AS floor FROM g""")
+def shape_floor(spark, sf):
+    """What price along quantity strays between halves of the orders, in five splits."""
+    return a.shape_floor(table(spark, sf, "lineitem"), "l_orderkey", "l_quantity", "l_extendedprice", [10.0, 20.0, 30.0, 40.0])

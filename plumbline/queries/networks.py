@@ -5,7 +5,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.parse import vin_valid
+from plumbline.functions.parse import VIN_VALUES, VIN_WEIGHTS, vin_valid
 from plumbline.functions.stats import safe, wilson
 from plumbline.operators import condnet as c
 from plumbline.operators import fidelity, planting
@@ -44,8 +44,8 @@ WITH {R}, {K2}, {P2}, {P1}, p0 AS (SELECT p, count(*)::DOUBLE / sum(count(*)) OV
 b0 AS (SELECT b, count(*)::DOUBLE / sum(count(*)) OVER () AS x FROM r GROUP BY b), k1 AS (SELECT b FROM r GROUP BY b HAVING count(DISTINCT e) >= 10),
 s1 AS (SELECT b, s, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY b) AS x FROM r SEMI JOIN k1 USING (b) GROUP BY b, s), s0 AS (SELECT s, count(*)::DOUBLE / sum(count(*)) OVER () AS x FROM r GROUP BY s),
 g AS (SELECT b, s, p, count(*) AS n FROM r GROUP BY b, s, p)
-SELECT g.b AS band, g.s AS status, g.p AS priority, g.n, round(ln(greatest(b0.x, 1e-6)) + ln(greatest(coalesce(s1.x, s0.x), 1e-6))
-  + ln(greatest(coalesce(p2.x, CASE WHEN g.b IN (SELECT b FROM k2) THEN coalesce(p1.x, 0) END, p0.x), 1e-6)), 6) AS log_likelihood
+SELECT g.b AS band, g.s AS status, g.p AS priority, g.n, round(ln(greatest(b0.x, 1e-9)) + ln(greatest(coalesce(s1.x, s0.x), 1e-9))
+  + ln(greatest(coalesce(p2.x, CASE WHEN g.b IN (SELECT b FROM k2) THEN coalesce(p1.x, 0) END, p0.x), 1e-9)), 6) AS log_likelihood
 FROM g JOIN b0 USING (b) JOIN s0 USING (s) JOIN p0 USING (p) LEFT JOIN s1 USING (b, s) LEFT JOIN p2 USING (b, s, p) LEFT JOIN p1 USING (b, p)""")
 def condnet_likelihood(spark, sf):
     orders = rows(spark, sf)
@@ -168,7 +168,7 @@ def wilson_interval(spark, sf):
     return by.select("lang", "n", "k", F.round(safe(F.col("k"), F.col("n")), 6).alias("share"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-V = "list_sum(list_transform(range(1, 18), lambda i: (CASE WHEN v[i] BETWEEN '0' AND '9' THEN v[i]::INT ELSE [1, 2, 3, 4, 5, 6][ascii(v[i]) - 64] END) * [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2][i])) % 11"
+V = f"list_sum(list_transform(range(1, 18), lambda i: (CASE WHEN v[i] BETWEEN '0' AND '9' THEN v[i]::INT ELSE {[VIN_VALUES[c] for c in 'ABCDEF']}[ascii(v[i]) - 64] END) * {VIN_WEIGHTS}[i])) % 11"
 
 
 @query("vin_check", f"""
