@@ -44,6 +44,30 @@ class Col:
     mess: Mess = field(default_factory=Mess)
 
 
+@dataclass
+class Rule:
+    """A column that follows others: ``date_after`` puts ``target`` ``least`` to ``most`` days after ``source`` (or as many as ``days_from`` says), ``derived`` makes it ``factor`` times ``source``, with noise."""
+
+    kind: str
+    source: str
+    target: str
+    least: int = 0
+    most: int = 0
+    days_from: str | None = None
+    factor: float = 1.0
+    sigma: float = 0.0
+
+
+@dataclass
+class Outcome:
+    """A flag whose chance is logistic in standardised columns; ``between``: the share of true rows that is wanted."""
+
+    name: str
+    effects: dict[str, float]
+    intercept: float = 0.0
+    between: tuple[float, float] | None = None
+
+
 @dataclass
 class Spec:
     title: str
@@ -51,6 +75,8 @@ class Spec:
     rows: int
     seed: int = 7
     duplicate_rate: float = 0.0
+    rules: list[Rule] = field(default_factory=list)
+    outcomes: list[Outcome] = field(default_factory=list)
 
     def problems(self) -> list[str]:
         """Everything that is wrong with the spec, as sentences."""
@@ -75,6 +101,20 @@ class Spec:
                 found.append(f"{c.name}: a and b have to be whole and positive")
             if c.dist == "categorical" and (len(p.get("levels", [])) != len(p.get("weights", [])) or not p.get("levels") or min(p["weights"]) < 0 or sum(p["weights"]) <= 0):
                 found.append(f"{c.name}: levels and weights don't fit")
+        kinds = {c.name: c.ctype for c in self.columns}
+        for r in self.rules:
+            found += [f"rule for {r.target}: no column {n}" for n in (r.source, r.target, r.days_from) if n and n not in kinds]
+            wanted = {"date_after": {"date"}, "derived": {"int", "float"}}.get(r.kind)
+            if wanted is None:
+                found.append(f"rule for {r.target}: no such kind as {r.kind}")
+                continue
+            found += [f"rule for {r.target}: {n} has to be {' or '.join(sorted(wanted))}" for n in (r.source, r.target) if n in kinds and kinds[n] not in wanted]
+            if r.kind == "date_after" and not 0 <= r.least <= r.most:
+                found.append(f"rule for {r.target}: least and most don't fit")
+        for o in self.outcomes:
+            found += [f"outcome {o.name}: {n} is no number" for n in o.effects if kinds.get(n) not in ("int", "float")]
+            if o.name in kinds:
+                found.append(f"outcome {o.name} is a column already")
         return found
 
 
@@ -186,7 +226,26 @@ def clean_table(spark: SparkSession, spec: Spec) -> DataFrame:
     if found := spec.problems():
         raise ValueError("; ".join(found))
     rows = spark.range(spec.rows).withColumnRenamed("id", "row_id")
-    return rows.select("row_id", *[value(c, F.col("row_id"), spec.seed).alias(c.name) for c in spec.columns])
+    made = rows.select("row_id", *[value(c, F.col("row_id"), spec.seed).alias(c.name) for c in spec.columns])
+    for r in spec.rules:
+        if r.kind == "date_after":
+            made = date_after(made, "row_id", r.source, r.target, spec.seed, r.least, r.most, r.days_from)
+        else:
+            made = derived(made, "row_id", r.source, r.target, r.factor, spec.seed, r.sigma, whole=next(c.ctype for c in spec.columns if c.name == r.target) == "int")
+    return made
+
+
+def with_outcomes(clean: DataFrame, spec: Spec) -> DataFrame:
+    """The clean table with the spec's outcomes, as flags."""
+    for o in spec.outcomes:
+        stats = clean.agg(*[f(c).alias(f"_{n}_{c}") for c in o.effects for n, f in (("m", F.avg), ("s", F.stddev_pop))]) if o.effects else None
+        z = F.lit(float(o.intercept))
+        for c, beta in o.effects.items():
+            z = z + beta * F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0))
+        both = clean.crossJoin(stats) if stats is not None else clean  # stats: one row
+        flag = seeds.uniform(spec.seed, F.col("row_id"), o.name, "outcome") < 1 / (1 + F.exp(-z))
+        clean = both.withColumn(o.name, flag).drop(*(stats.columns if stats is not None else []))
+    return clean
 
 
 def _fires(c: Col, row: Column, seed: int, op: str) -> Column:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.registry import ORACLES, QUERIES
 
-for _name in ("attacks", "audit", "blueprints", "coupling", "decorated", "discovery", "dynamics", "fidelity", "flagship", "floors", "generation", "jointly", "networks", "noise", "privacy", "profiles", "related", "relational", "relations", "shaped", "sources", "streams", "tails", "typing"):
+for _name in ("attacks", "audit", "blueprints", "coupling", "decorated", "discovery", "dynamics", "fidelity", "flagship", "floors", "generation", "jointly", "lint", "networks", "noise", "privacy", "profiles", "related", "relational", "relations", "shaped", "sources", "streams", "tails", "typing"):
     import_module(f"plumbline.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -56,3 +56,21 @@ def test_a_table_more_changes_no_other(spark):
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
     claims = r.plan(spark, more).clean["claims"]
     assert claims.count() == 50 and claims.where(F.col("about").isNull()).count() == 0
+
+
+def test_rules_and_outcomes_are_part_of_a_spec(spark):
+    from plumbline.plans.lint import lint_table
+
+    columns = [g.Col("a", "date", "date_range", {"start": "2001-01-01", "days": 9}), g.Col("b", "date", "date_range", {"start": "1990-01-01", "days": 9}), g.Col("n", "int", "uniform", {"low": 0, "high": 5}), g.Col("x", "float", "uniform", {"low": 1.0, "high": 2.0})]
+    good = g.Spec("s", columns, 500, rules=[g.Rule("date_after", "a", "b", days_from="n"), g.Rule("derived", "n", "x", factor=2.0)], outcomes=[g.Outcome("y", {"n": 2.0}, 0.0)])
+    assert good.problems() == []
+    rows = g.with_outcomes(g.clean_table(spark, good), good).collect()
+    assert all((x.b - x.a).days == x.n and x.x == 2 * x.n for x in rows) and 0.3 < sum(x.y for x in rows) / 500 < 0.7
+    told = {(x.level, x.code, x.subject) for x in lint_table(spark, good, "with outliers and duplicates").collect()}
+    assert told == {("INFO", "prevalence", "y"), ("INFO", "overwritten distribution", "b"), ("INFO", "overwritten distribution", "x"), ("WARN", "asked and not declared", "outlier"), ("WARN", "asked and not declared", "duplicate")}
+    late = g.Spec("s", columns, 500, rules=[g.Rule("date_after", "a", "b", days_from="n"), g.Rule("derived", "n", "n", factor=3.0)])
+    assert ("WARN", "uncoupled days", "b") in {(x.level, x.code, x.subject) for x in lint_table(spark, late).collect()}
+    bad = g.Spec("s", columns, 5, rules=[g.Rule("odd", "a", "b"), g.Rule("date_after", "a", "n"), g.Rule("derived", "z", "x"), g.Rule("date_after", "a", "b", 5, 2)], outcomes=[g.Outcome("a", {"b": 1.0})])
+    text = "; ".join(bad.problems())
+    for part in ("no such kind as odd", "n has to be date", "no column z", "least and most don't fit", "b is no number", "outcome a is a column already"):
+        assert part in text
