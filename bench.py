@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from plumbline.queries import QUERIES
 
-HEADLINE = ["fidelity_report", "tvd_bivariate", "cond_curve", "cross_coupling_spearman", "auroc", "interval_join_active", "wrangle_tidy", "inherit_three_hops", "set_cooccurrence_lift", "typing_census", "icc1", "lag_last_observed", "k_safe_bounds", "gen_clean_table", "cleaning_eval", "extraction_recall", "phi_shapes"]
+HEADLINE = ["fidelity_report", "tvd_bivariate", "cond_curve", "cross_coupling_spearman", "auroc", "interval_join_active", "wrangle_tidy", "inherit_three_hops", "set_cooccurrence_lift", "typing_census", "icc1", "lag_last_observed", "k_safe_bounds", "gen_clean_table", "cleaning_eval", "extraction_recall", "phi_shapes", "copula_generate", "condnet_search", "discover_parents", "coupled_keys", "related_draws", "persistent_draws", "relational_plan"]
 
 
 def main() -> None:
