@@ -93,7 +93,7 @@ class Vocabulary:
     twice: int
 
     def leaf(self, word: bytes, n: int) -> int:
-        if word == END:
+        if word == END and n:
             return ENDING
         if n < 2:
             return RARE
@@ -109,7 +109,6 @@ class Vocabulary:
         p = n / self.mass[leaf]
         rare = leaf == RARE
         p[rare] = np.where(n[rare] > 0, (1 - self.unknown) / max(self.once, 1), self.unknown)
-        p[n < 1] = self.unknown  # the end, if no text was learned
         return np.log10(p)
 
     def offsets(self) -> tuple[np.ndarray, np.ndarray]:

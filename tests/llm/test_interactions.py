@@ -96,4 +96,4 @@ def test_query(spark, sf):
     at = [want.columns.index(c) for c in names]
     got = shown(queries.QUERIES["op12_filter_audit"](spark, sf))
     assert got == sorted(tuple(r[i] for i in at) for r in want.fetchall())
-    assert len(got) == 600 * con.sql("SELECT count(DISTINCT coalesce(source, '')) FROM documents").fetchone()[0]
+    assert len(got) == 600 * con.sql("SELECT count(DISTINCT coalesce(source, '')) FROM documents").fetchall()[0][0]

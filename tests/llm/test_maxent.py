@@ -65,7 +65,7 @@ def test_nothing_learned(spark):
 
 def test_chances_of_all_tokens_add_up_to_one():
     rng = np.random.default_rng(3)
-    counts = {b"w%d" % i: int(n) for i, n in enumerate(rng.zipf(1.4, 3_000) % 1_000 + 1)} | {maxent.END: 40}
+    counts = {b"w%d" % i: int(n) for i, n in enumerate(np.maximum(rng.zipf(1.4, 3_000) % 1_000, 1))} | {maxent.END: 40}
     often = sorted((w for w, n in counts.items() if n > 1 and w != maxent.END), key=lambda w: (-counts[w], w))
     head = {w: 2 + i for i, w in enumerate(often[: maxent.HEAD])}
     mass = np.zeros(maxent.LEAVES)
@@ -93,7 +93,7 @@ def test_histories_are_those_of_the_own_document():
     assert np.array_equal(whole[:, 3:6], maxent.histories(leaves, maxent.places(sizes), 3, 6))
     alone = maxent.histories(leaves[5:], maxent.places(sizes[2:]), 0, 2)
     assert np.array_equal(whole[:, 5:], alone) and np.array_equal(whole[:, :2], alone)
-    assert len(set(whole[3].tolist())) == 5  # a pair for each history of its own, START and START shared by three
+    assert len(set(whole[3].tolist())) == 4  # starts of all three, of two after a 5, and two further in
 
 
 def test_a_step_follows_the_gradient():
