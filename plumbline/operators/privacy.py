@@ -55,37 +55,46 @@ def linkage(members: DataFrame, others: DataFrame, released: DataFrame, quasi: l
     return errors.groupBy("arm").agg(F.count("*").alias("scored"), F.round(F.avg(safe(F.abs(F.col("_mean") - F.col(sensitive)), F.col("_sd"))), 6).alias("error"))
 
 
+#: Pairs a query that are looked at one by one in the end, levels at most, and how much a bound may be off by rounding.
+LEAF, LEVELS, SLACK = 32, 40, 1e-9
+
+
 def nearest(queries: DataFrame, key: str, targets: DataFrame, numeric: dict[str, float]) -> DataFrame:
     """For each key the distance to the nearest target over scaled columns; null where a column is null or there is no target.
 
-    Both sides are put on a grid, and a query meets the targets of its own cell and those
-    around it, by equality.  A target found within a cell's width is the nearest; queries
-    without one go on with cells four times as wide, until a cell spans everything.
+    Targets are put on grids, each half as wide as the one before.  A place (queries of one
+    place are one) goes down with the cells that may hold its nearest target: those whose
+    box begins no further away than the nearest box ends.  So a place far from all targets
+    meets those that face it, not all of them.  It ends when what is left is a few targets
+    a place; these are measured one by one.
     """
     names = [f"_x{i}" for i in range(len(numeric))]
     scaled = [(F.col(c).cast("double") / s).alias(n) for n, (c, s) in zip(names, numeric.items(), strict=True)]
-    points = targets.select(*scaled).dropna().distinct()
+    points = written(targets.select(*scaled).dropna().distinct(), "points")
     rows = queries.select(F.col(key).alias("_k"), *scaled)
-    ends = points.select(*names).union(rows.select(*names)).agg(*[f(n) for n in names for f in (F.min, F.max)]).first()
-    n = points.count()
-    spans = [ends[2 * i + 1] - ends[2 * i] for i in range(len(names)) if ends[2 * i] is not None]
-    widest = max(spans, default=0.0) or 1.0
-    wide = widest / max(1.0, n ** (1 / len(names)))
-    out = [rows.select("_k", F.lit(None).cast("double").alias("distance"))]
-    pending = written(rows.dropna(subset=names), "pending")
-    while n and not pending.isEmpty():
-        cells = points.select(*[F.col(x).alias(f"_t{x}") for x in names], *[F.floor(F.col(x) / wide).alias(f"_c{i}") for i, x in enumerate(names)])
-        around = pending
-        for i, x in enumerate(names):
-            around = around.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(F.col(x) / wide) - 1, F.floor(F.col(x) / wide) + 1)))
-        apart = F.sqrt(sum(((F.col(x) - F.col(f"_t{x}")) * (F.col(x) - F.col(f"_t{x}")) for x in names[1:]), (F.col(names[0]) - F.col(f"_t{names[0]}")) * (F.col(names[0]) - F.col(f"_t{names[0]}"))))
-        found = around.join(cells, [f"_c{i}" for i in range(len(names))]).groupBy("_k", *names).agg(F.min(apart).alias("distance"))
-        last = wide > widest
-        done = found if last else found.where(F.col("distance") <= wide)
-        kept = written(done, "nearest")
-        out.append(kept.select("_k", "distance"))
-        pending = written(pending.join(kept, ["_k", *names], "left_anti"), "pending")
-        wide *= 4
-        if last:
+    ends = points.agg(F.count("*").alias("n"), *[f(x).alias(f"{k}{x}") for x in names for k, f in (("a", F.min), ("b", F.max))]).first()
+    if not ends.n:
+        return rows.groupBy(F.col("_k").alias(key)).agg(F.lit(None).cast("double").alias("distance"))
+    wide = max(ends[f"b{x}"] - ends[f"a{x}"] for x in names) or 1.0
+    cell = lambda level: [F.floor((F.col(x) - ends[f"a{x}"]) / (wide / 2**level)).alias(f"_c{i}") for i, x in enumerate(names)]
+    cells = [f"_c{i}" for i in range(len(names))]
+    places = written(rows.select(*names).dropna().distinct(), "places")
+    total = places.count()
+    met = places.withColumns({c: F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")) for c in cells})  # a target at the far end is in cell 1
+    for level in range(1, LEVELS):
+        grid = points.select(*cell(level), *names).groupBy(*cells).agg(F.count("*").alias("_n"), *[f(x).alias(f"{k}{x}") for x in names for k, f in (("_a", F.min), ("_b", F.max))])
+        above = grid.withColumns({f"_p{i}": F.floor(F.col(c) / 2) for i, c in enumerate(cells)})
+        held = met.select(*names, *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cells)]).join(above, [f"_p{i}" for i in range(len(names))])
+        near = [F.greatest(F.col(f"_a{x}") - F.col(x), F.col(x) - F.col(f"_b{x}"), F.lit(0.0)) for x in names]
+        far = [F.greatest(F.abs(F.col(x) - F.col(f"_a{x}")), F.abs(F.col(x) - F.col(f"_b{x}"))) for x in names]
+        length = lambda xs: F.sqrt(sum((x * x for x in xs[1:]), xs[0] * xs[0]))
+        bounded = held.select(*names, *cells, "_n", length(near).alias("_low"), length(far).alias("_high"))
+        least = bounded.groupBy(*names).agg(F.min("_high").alias("_most"))
+        met = written(bounded.join(least, names).where(F.col("_low") <= F.col("_most") * (1 + SLACK) + SLACK).select(*names, *cells, "_n"), "met")
+        size = met.agg(F.sum("_n").alias("pairs"), F.max("_n").alias("most")).first()
+        if (size.pairs or 0) <= LEAF * total or size.most == 1:
             break
-    return reduce(DataFrame.union, out).groupBy(F.col("_k").alias(key)).agg(F.min("distance").alias("distance"))
+    leaves = points.select(*cell(level), *[F.col(x).alias(f"_t{x}") for x in names])
+    apart = length([F.col(x) - F.col(f"_t{x}") for x in names])
+    found = met.join(leaves, cells).groupBy(*names).agg(F.min(apart).alias("distance"))
+    return rows.join(found, names, "left").groupBy(F.col("_k").alias(key)).agg(F.min("distance").alias("distance"))
