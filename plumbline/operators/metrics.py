@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import Z95, hanley, safe, wilson
-from plumbline.operators.ranks import average_ranks
+from plumbline.operators.ranks import average_ranks, with_ranks
 
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney by average ranks; ties count half; null if one class is absent."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("s"), (F.col(label) > 0).cast("int").alias("y"))
-    by = known.groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("m"))
-    r = by.join(average_ranks(known, "s").select("s", "rank"), "s").agg(F.sum("p").alias("positives"), F.sum(F.col("m") - F.col("p")).alias("negatives"), F.sum(F.col("p") * F.col("rank")).alias("r"))
+    r = with_ranks(known, "s", "rank").agg(F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives"), F.sum(F.col("y") * F.col("rank")).alias("r"))
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
     a = safe(F.col("r") - p * (p + 1) / 2, p * n)
     se = hanley(a, p, n)

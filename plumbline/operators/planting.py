@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.seeds import normal, uniform
 from plumbline.operators.fidelity import spearman
-from plumbline.operators.ranks import average_ranks, exact_quantiles
+from plumbline.operators.ranks import exact_quantiles, with_ranks
 from plumbline.sources.shared import written
 
 CELLS = 4_096
@@ -83,8 +83,7 @@ def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def _complete(known: DataFrame, at: list[int], columns: list[str]) -> DataFrame:
     ranked = known
     for i in at:
-        ranks = average_ranks(known.select(f"_c{i}"), f"_c{i}").select(F.col(f"_c{i}").alias(f"_k{i}"), F.col("rank").alias(f"_r{i}"))
-        ranked = ranked.join(ranks, F.col(f"_c{i}") == F.col(f"_k{i}")).drop(f"_k{i}")
+        ranked = with_ranks(ranked, f"_c{i}", f"_r{i}", known).drop(f"_c{i}")
     pairs = [(i, j) for i in at for j in at if j < i]
     one = ranked.agg(F.count("*").alias("n"), *[F.corr(f"_r{i}", f"_r{j}").alias(f"r{i}_{j}") for i, j in pairs])
     each = F.array(*[F.struct(F.lit(f"{columns[j]}/{columns[i]}").alias("pair"), F.round(f"r{i}_{j}", 6).alias("rho")) for i, j in pairs])
@@ -115,18 +114,19 @@ def copula(source: DataFrame, columns: list[str], rows: DataFrame, row: str, see
     root = cholesky(corr)
     shocks = rows.withColumns({f"_e{j}": normal(seed, F.col(row), f"copula{j}") for j in range(n)})
     scores = {f"_z{i}": sum((float(root[i, j]) * F.col(f"_e{j}") for j in range(1, i + 1)), float(root[i, 0]) * F.col("_e0")) for i in range(n)}
-    drawn = written(shocks.select(*rows.columns, *[F.least(F.greatest(z, F.lit(-FAR)), F.lit(FAR)).alias(k) for k, z in scores.items()]), "copula")
+    drawn = shocks.select(*rows.columns, *[F.least(F.greatest(z, F.lit(-FAR)), F.lit(FAR)).alias(k) for k, z in scores.items()])
     places = [-FAR, *[NormalDist().inv_cdf(q) for q in GRID[1:-1]], FAR]
     made = {}
     for i, c in enumerate(columns):
         at = exact_quantiles(source, c, GRID)
         made[c] = _between(F.col(f"_z{i}"), places, at) if at else F.lit(None).cast("double")
-    return drawn.withColumns(made).drop(*scores)
+    return written(drawn.withColumns(made).drop(*scores), "copula")
 
 
 def _between(z: Column, places: list[float], values: list[float]) -> Column:
     """The value at ``z``, linear between places; looked up in arrays, for nested cases of many knots are slow to plan."""
     p, v = (F.array(*[F.lit(float(x)) for x in xs]) for xs in (places, values))
-    i = F.least(F.size(F.filter(p, lambda x: x <= z)), F.lit(len(places) - 1)) - 1
-    step = (z - F.get(p, i)) / (F.get(p, i + 1) - F.get(p, i))
-    return F.get(v, i) + step * (F.get(v, i + 1) - F.get(v, i))
+    # the place is looked for once: the lambda only gives it a name
+    at = F.transform(F.array(z), lambda x: F.least(F.size(F.filter(p, lambda y: y <= x)), F.lit(len(places) - 1)) - 1)
+    value = F.transform(at, lambda i: F.get(v, i) + (z - F.get(p, i)) / (F.get(p, i + 1) - F.get(p, i)) * (F.get(v, i + 1) - F.get(v, i)))
+    return F.get(value, F.lit(0))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,41 +14,56 @@ PRESENCE_BINS = 6
 LEAST_SPREAD = 0.10
 
 
-def _k_knot(placed: DataFrame, total: int, q: float, k: int) -> DataFrame:
-    """One knot from rows (v, e, p): value, entity and place.
+def k_knots(df: DataFrame, entity: str, value: str, row: list[str], at: list[float], k: int = K) -> DataFrame:
+    """(q, v, raw): knots of a number that each rest on k entities; ``raw``: on the value itself.
 
     A value that k entities hold is published as it is.  Otherwise rows come in from the
     quantile's place outward, one below and one above in turn, until k entities are among
     them: an entity comes in with its nearest row, so the window ends with the k-th
-    nearest entity, and no row needs to know the others.
-    """
-    at = max(0, min(total - 1, round(q * (total - 1))))
-    # the row at the place itself, then one below, one above, two below, ...
-    turn = F.when(F.col("p") <= at, 2 * (at - F.col("p")) - (F.col("p") < at).cast("long")).otherwise(2 * (F.col("p") - at))
-    rows = placed.select("v", "e", turn.alias("turn"))
-    here = rows.where("turn = 0").agg(F.first("v").alias("raw"))
-    held = rows.join(F.broadcast(here), F.col("v") == F.col("raw"), "left_semi").agg(F.count_distinct("e").alias("holders"))
-    last = rows.groupBy("e").agg(F.min("turn").alias("turn")).orderBy("turn").limit(k).agg(F.max("turn").alias("last"))
-    mean = rows.crossJoin(F.broadcast(last)).where("turn <= last").agg(F.avg("v").alias("mean"))  # last, here and held: one row
-    out = here.crossJoin(held).crossJoin(mean)
-    shared = F.col("holders") >= k
-    return out.select(F.lit(q).alias("q"), F.round(F.when(shared, F.col("raw")).otherwise(F.col("mean")), 6).alias("v"), shared.alias("raw"))
-
-
-def k_knots(df: DataFrame, entity: str, value: str, row: list[str], at: list[float], k: int = K) -> DataFrame:
-    """(q, v, raw): knots of a number that each rest on k entities; ``raw``: on the value itself.
+    nearest entity.
 
     Places are exact and need no order over all rows: ranks of distinct values, and within
-    a value by ``row``.
+    a value by ``row``.  Only the values that reach into a window are looked at row by row;
+    windows grow until each holds k entities or all rows.
     """
     known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(entity).alias("e"), *[F.col(c).alias(f"_r{i}") for i, c in enumerate(row)])
-    total = known.count()
+    shape = "q double, v double, raw boolean"
+    ranks = written(average_ranks(known, "v").select(F.col("v").alias("x"), (F.col("rank") - (F.col("n") + 1) / 2).cast("long").alias("below"), "n"), "ranks")
+    total = ranks.agg(F.sum("n").alias("n")).first().n
     if not total:
-        return known.sparkSession.createDataFrame([], "q double, v double, raw boolean")
-    ranks = average_ranks(known, "v").select(F.col("v").alias("x"), (F.col("rank") - (F.col("n") + 1) / 2).cast("long").alias("below"))
-    inside = F.row_number().over(Window.partitionBy("v").orderBy(*[f"_r{i}" for i in range(len(row))]))
-    placed = written(known.withColumn("i", inside).join(ranks, F.col("v") == F.col("x")).select("v", "e", (F.col("below") + F.col("i") - 1).alias("p")), "placed")
-    return reduce(DataFrame.union, [_k_knot(placed, total, q, k) for q in at])
+        return known.sparkSession.createDataFrame([], shape)
+    places = {q: max(0, min(total - 1, round(q * (total - 1)))) for q in at}
+    wanted = F.array(*[F.lit(p).cast("long") for p in sorted(set(places.values()))])
+    inside = F.filter(wanted, lambda p: (p >= F.col("below")) & (p < F.col("below") + F.col("n")))
+    raw, shown = {}, {}
+    for r in ranks.select("x", F.round("x", 6).alias("shown"), F.explode(inside).alias("p")).collect():  # a row a place
+        raw[r.p], shown[r.p] = r.x, r.shown
+    some = sorted(set(raw.values()))
+    holders = {r.v: r.m for r in known.where(F.col("v").isin(some)).groupBy("v").agg(F.count_distinct("e").alias("m")).collect()}  # a row a place at most
+    means, left, reach = {}, {p for p in raw if holders[raw[p]] < k}, 64 * k
+    while left:
+        means |= _windows(known, ranks, sorted(left), reach, k, len(row), reach >= total)
+        left, reach = left - set(means), reach * 16
+    rows = [(float(q), shown[p] if holders[raw[p]] >= k else means[p], holders[raw[p]] >= k) for q, p in places.items()]
+    return known.sparkSession.createDataFrame(rows, shape)
+
+
+def _windows(known: DataFrame, ranks: DataFrame, places: list[int], reach: int, k: int, n_row: int, last: bool) -> dict[int, float]:
+    """Means of the rows of each place's window, of windows that end within ``reach`` places of it, or all if this is the last try."""
+    near = F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: (F.col("below") <= p + reach) & (F.col("below") + F.col("n") > p - reach))
+    met = ranks.where(F.size(near) > 0).select("x", "below")
+    within = F.row_number().over(Window.partitionBy("v").orderBy(*[f"_r{i}" for i in range(n_row)]))
+    placed = known.join(met, F.col("v") == F.col("x")).withColumn("p", F.col("below") + within - 1)
+    each = F.explode(F.filter(F.array(*[F.lit(p).cast("long") for p in places]), lambda p: F.abs(p - F.col("p")) <= reach))
+    # the row at the place itself, then one below, one above, two below, ...
+    turn = F.when(F.col("p") <= F.col("at"), 2 * (F.col("at") - F.col("p")) - (F.col("p") < F.col("at")).cast("long")).otherwise(2 * (F.col("p") - F.col("at")))
+    rows = written(placed.withColumn("at", each).select("at", "v", "e", turn.alias("turn")), "windows")
+    order = F.row_number().over(Window.partitionBy("at").orderBy("turn"))  # entities of a window of bounded reach
+    ends = rows.groupBy("at", "e").agg(F.min("turn").alias("turn")).withColumn("i", order).where(F.col("i") <= k).groupBy("at").agg(F.max("turn").alias("last"), F.count("*").alias("m"))
+    if not last:
+        ends = ends.where(F.col("m") == k)
+    one = rows.join(ends.select("at", "last"), "at").where("turn <= last").groupBy("at").agg(F.round(F.avg("v"), 6).alias("mean"))
+    return {r["at"]: r["mean"] for r in one.collect()}  # a row a place
 
 
 def _segment(df: DataFrame, entity: str, value: str, cut: float, upper: bool, bound: float | None) -> DataFrame:

@@ -53,16 +53,18 @@ def fit(df: DataFrame, entity: str, numeric: list[str], levels: list[str], k: in
 
 def draw(rows: DataFrame, row: str, marginals: dict[str, Marginal], seed: int) -> DataFrame:
     """Adds a column for each marginal; each cell depends on its row's key and column only."""
-    made = {}
+    made, names = {}, {c: f"_u_{c}" for c in marginals}
+    # a hash is taken once for each cell, not at each knot that it is compared with
+    rows = rows.withColumns({n: seeds.uniform(seed, F.col(row), c, "value") for c, n in names.items()})
     for c, m in marginals.items():
-        u = seeds.uniform(seed, F.col(row), c, "value")
+        u = F.col(names[c])
         if m.knots:
             x = seeds.quantile_draw(u, m.knots)
             x = F.bround(x).cast("double") if m.whole else x
         else:
             x = seeds.pick(m.levels, m.weights, u)
         made[c] = F.when(seeds.uniform(seed, F.col(row), c, "present") < m.coverage, x)
-    return rows.withColumns(made)
+    return rows.withColumns(made).drop(*names.values())
 
 
 def sticky(df: DataFrame, entity: str, order: list[str], levels: list[str], weights: list[float], stay: float, seed: int, into: str) -> DataFrame:

@@ -2,10 +2,43 @@
 
 import random
 
-from plumbline.operators import privacy
+from plumbline.functions import seeds
+from plumbline.operators import privacy, ranks
+from plumbline.plans import blueprint
 from plumbline.sources import shared
 
 
+def _average(values):
+    at = sorted(values)
+    return {v: (at.index(v) + 1 + len(at) - at[::-1].index(v)) / 2 for v in set(values)}
+
+
+def test_ranks_of_rows(spark):
+    r = random.Random(5)
+    plain = [r.random() for _ in range(3_000)] + [0.25, 0.25, -1.0, float("inf")]
+    tied = [float(r.randrange(7)) for _ in range(3_000)]
+    for values in (plain, tied, [3.0], [2.0, 2.0]):
+        df = spark.createDataFrame(list(enumerate(values)), "i long, v double").repartition(3)
+        want = _average(values)
+        assert {(x.i, x.r) for x in ranks.with_ranks(df, "v", "r").collect()} == {(i, want[v]) for i, v in enumerate(values)}
+        order = sorted(range(len(values)), key=lambda i: (values[i], i))
+        assert {x.i: x.p for x in ranks.row_places(df, "v", "i", "p").collect()} == {i: p for p, i in enumerate(order, 1)}
+
+
+def test_stripes_are_looked_up_by_halving(spark):
+    """Not by a look at each of 255 edges."""
+    plan = ranks.average_ranks(spark.range(10).selectExpr("id * 1.5D AS v"), "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "filter(edges" not in plan
+
+
+def test_a_cell_is_hashed_once(spark):
+    knots = [(q, 10 * q) for q in blueprint.GRID]
+    made = blueprint.draw(spark.range(3).withColumnRenamed("id", "row"), "row", {"a": blueprint.Marginal(1.0, knots), "b": blueprint.Marginal(0.5, knots)}, 7)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 4  # a value and a presence for each
+    alone = made.select("row", seeds.quantile_draw(seeds.uniform(7, made["row"], "a", "value"), knots).alias("w"), "a")
+    assert all(x.a == x.w for x in alone.collect())
+
+
 def test_far_places_do_not_meet_all_targets(spark, monkeypatch):
     """Most suppliers are further from all parts than parts from each other."""
     kept = {}
