@@ -48,11 +48,11 @@ def critical(alpha: float, dof: float) -> float:
     return dof * (1 - a + NormalDist().inv_cdf(1 - alpha) * a**0.5) ** 3
 
 
-def _gains(rows: DataFrame, child: str, parents: list[str], candidates: list[str]) -> DataFrame:
-    """(name, information, dof, n): what each candidate says of the child within the strata of its parents; one pass for all."""
+def _gains(counts: DataFrame, child: str, parents: list[str], candidates: list[str]) -> DataFrame:
+    """(name, information, dof, n): what each candidate says of the child within the strata of its parents, from counts ``_w`` of settings; one pass for all."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("y")) for c in candidates]))
     z = F.array(*[F.col(p) for p in parents]) if parents else F.array().cast("array<string>")
-    cells = rows.select(F.col(child).alias("x"), z.alias("z"), each.alias("e")).groupBy("e.name", "z", "x", "e.y").agg(F.count("*").alias("n"))
+    cells = counts.select(F.col(child).alias("x"), z.alias("z"), "_w", each.alias("e")).groupBy("e.name", "z", "x", "e.y").agg(F.sum("_w").alias("n"))
     of = lambda *keys: F.sum("n").over(Window.partitionBy("name", "z", *keys))  # noqa: E731 - over at most MAX_LEVELS squared cells
     parts = cells.withColumns({"nx": of("x"), "ny": of("y"), "nz": of()})
     g = F.sum(F.col("n") * F.log(F.col("n") * F.col("nz") / (F.col("nx") * F.col("ny")).cast("double")))
@@ -66,6 +66,7 @@ def search(df: DataFrame, entity: str, columns: list[str], max_parents: int = 3,
     sizes = rows.agg(F.count("*").alias("_n"), F.count_distinct("_e").alias("_m"), *[F.count_distinct(c).alias(c) for c in columns]).first()
     if wide := [c for c in columns if sizes[c] > MAX_LEVELS]:
         raise ValueError(f"more than {MAX_LEVELS} levels: {', '.join(wide)}")
+    counts = written(rows.groupBy(*columns).agg(F.count("*").alias("_w")), "counts")  # rows are read once, whatever the number of tests
     found: dict[str, list[str]] = {}
     for i, child in enumerate(columns):
         own: list[str] = []
@@ -74,7 +75,7 @@ def search(df: DataFrame, entity: str, columns: list[str], max_parents: int = 3,
             left = [c for c in columns[:i] if c not in own and 0 < sizes[c] <= room]
             if not left:
                 break
-            best = max(_gains(rows, child, own, left).collect(), key=lambda r: (r.information, r.name))  # a row a candidate
+            best = max(_gains(counts, child, own, left).collect(), key=lambda r: (r.information, r.name))  # a row a candidate
             if 2 * sizes["_m"] * best.information < critical(alpha / len(left), best.dof):
                 break
             own.append(best.name)
@@ -133,7 +134,8 @@ def draw(rows: DataFrame, row: str, net: Net, seed: int) -> DataFrame:
     for child in net.parents:
         u = uniform(seed, F.col(row), child, "net")
         made = look_up(made, net, child, "_dist")
-        hit = F.filter("_dist", lambda d: d["c"] >= u)
+        # the outer lambda names the draw, so that a hash is taken for each row, not for each level
+        hit = F.get(F.transform(F.array(u), lambda v: F.filter("_dist", lambda d: d["c"] >= v)), F.lit(0))
         made = made.withColumn(child, F.coalesce(F.get(hit, F.lit(0))["x"], F.element_at("_dist", -1)["x"])).drop("_dist")
     return made.withColumns({c: F.when(F.col(c) != MISSING, F.col(c)) for c in net.parents})
 

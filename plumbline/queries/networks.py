@@ -10,7 +10,7 @@ from plumbline.functions.stats import safe, wilson
 from plumbline.operators import condnet as c
 from plumbline.operators import fidelity, planting
 from plumbline.registry import ORACLES, query, table
-from plumbline.sources.shared import shared_folder
+from plumbline.sources.shared import shared_folder, written
 
 STRUCTURE = {"band": [], "status": ["band"], "priority": ["band", "status"]}
 
@@ -100,7 +100,7 @@ def condnet_search(spark, sf):
 def condnet_sample(spark, sf):
     """Lines drawn from the network that they teach, held against them: each column and the pair that depends most."""
     source = lines(spark, sf)
-    made = c.draw(source.select("row"), "row", c.learn(source, "l_orderkey", COLUMNS), 17)
+    made = written(c.draw(source.select("row"), "row", c.learn(source, "l_orderkey", COLUMNS), 17).select(*COLUMNS), "made")  # five comparisons read it
     text = source.withColumns({x: F.col(x).cast("string") for x in COLUMNS})
     both = F.concat_ws("/", "quantity", "price")
     out = [fidelity.tvd_levels(text, made, x).select(F.lit(x).alias("column_name"), "tvd") for x in COLUMNS]

@@ -3,7 +3,7 @@
 import random
 
 from plumbline.functions import seeds
-from plumbline.operators import privacy, ranks
+from plumbline.operators import condnet, privacy, ranks
 from plumbline.plans import blueprint
 from plumbline.sources import shared
 
@@ -56,3 +56,13 @@ def test_far_places_do_not_meet_all_targets(spark, monkeypatch):
     want = {k: min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for a, b in targets) for k, x, y in queries}
     assert all(abs(row.distance - want[row.k]) < 1e-9 for row in got) and len(got) == 100
     assert max(df.agg({"_n": "sum"}).first()[0] for df in kept["met"][-1:]) <= 100 * 64  # of 200,000 pairs
+
+
+def test_a_network_is_searched_over_counts(spark, monkeypatch):
+    """Rows are counted by setting once; what each column says of another is had from the counts."""
+    kept = []
+    monkeypatch.setattr(condnet, "written", lambda df, name: kept.append((name, shared.written(df, name))) or kept[-1][1])
+    rows = [(i, str(i % 2), str(i % 2), str(i // 2 % 3)) for i in range(1_200)]
+    found = condnet.search(spark.createDataFrame(rows, "e int, a string, b string, c string"), "e", ["a", "b", "c"])
+    assert found == {"a": [], "b": ["a"], "c": []}
+    assert [name for name, _ in kept] == ["counts"] and kept[0][1].count() == 6
