@@ -13,31 +13,42 @@ TRAPS = ["negation", "hedge", "history"]
 
 
 def write(df: DataFrame, row: str, facts: dict[str, Column], rate: float, seed: int) -> DataFrame:
-    """Adds ``note`` and ``ledger``: for each fact whether the note asserts it, as current and certain, and the trap."""
-    cells = []
-    for name, present in facts.items():
-        u = seeds.uniform(seed, F.col(row), name, "trap")
-        trap = F.when(u < rate, F.element_at(F.array(*[F.lit(t) for t in TRAPS]), (F.floor(u / rate * len(TRAPS)) + 1).cast("int"))).otherwise("clean")
+    """Adds ``note`` and ``ledger``: for each fact whether the note asserts it, as current and certain, and the trap.
+
+    A fact's draw and trap are columns of their own, so each is made once a row.
+    """
+    cells, drawn, traps = [], {}, {}
+    for i, (name, present) in enumerate(facts.items()):
+        drawn[f"_u{i}"] = seeds.uniform(seed, F.col(row), name, "trap")
+        u, trap = F.col(f"_u{i}"), F.col(f"_trap{i}")
+        traps[f"_trap{i}"] = F.when(u < rate, F.element_at(F.array(*[F.lit(t) for t in TRAPS]), (F.floor(u / rate * len(TRAPS)) + 1).cast("int"))).otherwise("clean")
         words = F.lit(name.replace("_", " "))
         said = F.when(trap == "negation", F.concat(F.lit("No sign of "), words)).when(trap == "hedge", F.concat(F.lit("There may be "), words)).when(trap == "history", F.concat(F.lit("In the past there was "), words)).otherwise(F.concat(F.lit("There is "), words))
         cells.append(F.struct(F.lit(name).alias("fact"), present.alias("holds"), (trap != "negation").alias("asserted"), (trap != "history").alias("current"), (trap != "hedge").alias("certain"), trap.alias("trap"), F.concat(said, F.lit(".")).alias("sentence")))
     ledger = F.filter(F.array(*cells), lambda x: x["holds"])
-    return df.withColumn("ledger", ledger).withColumn("note", F.array_join(F.transform("ledger", lambda x: x["sentence"]), " "))
+    made = df.withColumns(drawn).withColumns(traps).withColumn("ledger", ledger).drop(*drawn, *traps)
+    return made.withColumn("note", F.array_join(F.transform("ledger", lambda x: x["sentence"]), " "))
 
 
 def naive_reader(note: Column, facts: list[str]) -> Column:
     """Claims every fact whose words are in the note."""
-    return F.filter(F.array(*[F.lit(f) for f in facts]), lambda f: F.contains(note, F.replace(f, F.lit("_"), F.lit(" "))))
+    return _claims(note, {f: f.replace("_", " ") for f in facts})
 
 
 def careful_reader(note: Column, facts: list[str]) -> Column:
     """Claims facts that the note says there are."""
-    return F.filter(F.array(*[F.lit(f) for f in facts]), lambda f: F.contains(note, F.concat(F.lit("There is "), F.replace(f, F.lit("_"), F.lit(" ")), F.lit("."))))
+    return _claims(note, {f: f"There is {f.replace('_', ' ')}." for f in facts})
+
+
+def _claims(note: Column, words: dict[str, str]) -> Column:
+    """The facts whose words are in the note; without a lambda, into which a note that is written in the same plan would be moved, and written for each fact."""
+    return F.array_compact(F.array(*[F.when(F.contains(note, F.lit(w)), F.lit(f)) for f, w in words.items()]))
 
 
 def grade(df: DataFrame, claims: str) -> DataFrame:
     """For each trap: facts that the notes assert as current and certain, those found, and claims of facts that they don't."""
-    each = df.select(F.explode("ledger").alias("x"), F.col(claims).alias("c")).select("x.*", F.array_contains("c", F.col("x.fact")).alias("claimed"))
+    # outer: for a plain one the optimizer asks first whether the ledger is empty, by making it once more from the draws
+    each = df.select(F.explode_outer("ledger").alias("x"), F.col(claims).alias("c")).where("x is not null").select("x.*", F.array_contains("c", F.col("x.fact")).alias("claimed"))
     true = F.col("asserted") & F.col("current") & F.col("certain")
     per = each.groupBy("trap").agg(F.count(F.when(true, 1)).alias("stated"), F.count(F.when(true & F.col("claimed"), 1)).alias("found"), F.count(F.when(~true, 1)).alias("trapped"), F.count(F.when(~true & F.col("claimed"), 1)).alias("fell"))
     return per.select("trap", "stated", "found", "trapped", "fell", F.round(safe(F.col("found"), F.col("stated")), 6).alias("recall"), F.round(safe(F.col("fell"), F.col("trapped")), 6).alias("false_positive_rate"))

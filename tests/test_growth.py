@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from plumbline.functions import seeds
 from plumbline.operators import condnet, privacy, ranks
-from plumbline.plans import blueprint
+from plumbline.plans import blueprint, notes
 from plumbline.sources import shared
 
 
@@ -66,3 +68,14 @@ def test_a_network_is_searched_over_counts(spark, monkeypatch):
     found = condnet.search(spark.createDataFrame(rows, "e int, a string, b string, c string"), "e", ["a", "b", "c"])
     assert found == {"a": [], "b": ["a"], "c": []}
     assert [name for name, _ in kept] == ["counts"] and kept[0][1].count() == 6
+
+
+def test_a_note_is_written_once_for_its_reader(spark):
+    facts = {"old_age": F.col("id") > 2, "low_price": F.col("id") % 2 == 0, "far": F.col("id") < 0}
+    made = notes.write(spark.range(40), "id", facts, 0.5, 8)
+    for reader in (notes.naive_reader, notes.careful_reader):
+        graded = notes.grade(made.withColumn("claims", reader(F.col("note"), list(facts))), "claims")
+        plan = graded._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sha2(") == 3 and plan.count("array_join(") == 1
+        claimed = sum(r.found + r.fell for r in graded.collect())
+        assert claimed == made.where("id > 2").count() + made.where("id % 2 = 0").count() if reader is notes.naive_reader else claimed < 57
