@@ -42,10 +42,15 @@ def overlap(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
 
 
 def integrity(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Rows, rows with a parent, orphans (present but without one) and blanks of a link."""
+    """Rows, rows with a parent, orphans (present but without one) and blanks of a link.
+
+    Values are counted before they meet the keys, so blanks are one row and not a task's share of the join.
+    """
     keys = parent.select(F.col(pk).alias("_k")).distinct()
-    held = child.select(F.col(fk).alias("_v")).join(keys, F.col("_v") == F.col("_k"), "left")
-    return held.agg(F.count("*").alias("n_rows"), F.count("_k").alias("with_parent"), F.count(F.when(F.col("_v").isNotNull() & F.col("_k").isNull(), 1)).alias("orphans"), F.count(F.when(F.col("_v").isNull(), 1)).alias("blank"))
+    held = child.select(F.col(fk).alias("_v")).groupBy("_v").agg(F.count("*").alias("_n")).join(keys, F.col("_v") == F.col("_k"), "left")
+    rows = lambda kind: F.coalesce(F.sum(F.when(kind, F.col("_n"))), F.lit(0))
+    found, blank = F.col("_k").isNotNull(), F.col("_v").isNull()
+    return held.agg(rows(F.lit(True)).alias("n_rows"), rows(found).alias("with_parent"), rows(~blank & ~found).alias("orphans"), rows(blank).alias("blank"))
 
 
 def inherit(child: DataFrame, parent: DataFrame, fk: str, pk: str, columns: list[str], path: str | None = None) -> DataFrame:

@@ -112,3 +112,14 @@ def test_rank_correlations_are_pairwise_complete(spark):
     assert got["x/half"] == (1500, -1.0) and got["x/none"] == got["y/none"] == got["half/none"] == (0, None)
     assert got["x/y"] == (3000, fidelity.spearman(df, "x", "y").first().rho)
     assert got["y/half"] == (1500, fidelity.spearman(df, "y", "half").first().rho)
+
+
+def test_blanks_of_a_link_do_not_meet_the_keys(spark):
+    """A table of blanks is one row by the time it is joined, and an empty one gives noughts."""
+    child = spark.range(400).select(F.when(F.col("id") % 4 == 0, F.col("id") % 8).alias("k"))
+    found = relate.integrity(child, "k", spark.createDataFrame([(4,), (4,), (9,)], "p long"), "p")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join") :].count("Aggregate") == 2  # values are counted as well as keys made distinct
+    r = found.first()
+    assert (r.n_rows, r.with_parent, r.orphans, r.blank) == (400, 50, 50, 300)
+    assert tuple(relate.integrity(child.limit(0), "k", child, "k").first()) == (0, 0, 0, 0)
