@@ -51,9 +51,11 @@ def vocabulary(df: DataFrame, entity: str, column: str, k: int = K, sep: str = "
 def cooccurrence(df: DataFrame, entity: str, row: str, column: str, k: int = K, sep: str = ";", min_rows: int = 30) -> DataFrame:
     """Ordered token pairs of one row: how much one lifts the other, and their phi."""
     held = df.select(F.col(row).alias("r"), F.col(entity).alias("e"), F.explode(F.array_distinct(tokens(F.col(column), sep))).alias("t"))
-    # a row's own pairs, made within the row
-    pairs = df.select(F.col(entity).alias("e"), F.array_distinct(tokens(F.col(column), sep)).alias("ts")).select("e", F.explode("ts").alias("a"), "ts").select("e", "a", F.explode("ts").alias("b")).where("a <> b")
-    joint = pairs.groupBy("a", "b").agg(F.count("*").alias("joint"), F.count_distinct("e").alias("entities")).where(F.col("entities") >= k)
+    # a row's own pairs, made within the row, the smaller first; counted by entity, then over entities, and told both ways
+    pairs = df.select(F.col(entity).alias("e"), F.array_distinct(tokens(F.col(column), sep)).alias("ts")).select("e", F.explode("ts").alias("a"), "ts").select("e", "a", F.explode(F.filter("ts", lambda t: t > F.col("a"))).alias("b"))
+    once = pairs.groupBy("e", "a", "b").agg(F.count("*").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("joint"), F.count("e").alias("entities")).where(F.col("entities") >= k)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    joint = once.select(ways.alias("w"), "joint", "entities").select("w.a", "w.b", "joint", "entities")
     each = held.groupBy("t").agg(F.count("*").alias("n_t"))
     whole = df.agg(F.count("*").alias("n"))
     out = joint.join(each.select(F.col("t").alias("a"), F.col("n_t").alias("n_a")), "a").join(each.select(F.col("t").alias("b"), F.col("n_t").alias("n_b")), "b").crossJoin(whole).where(F.col("n_a") >= min_rows)  # whole: one row

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.functions import seeds
-from plumbline.operators import condnet, decorated, privacy, ranks
+from plumbline.operators import condnet, decorated, entities, privacy, ranks
 from plumbline.plans import blueprint, notes
 from plumbline.sources import shared
 
@@ -90,3 +90,12 @@ def test_equal_cells_are_read_once(spark):
     assert any("Aggregate [column_name" in x and ", c#" in x for x in lines[read:])  # below the reading
     r = found.first()
     assert (r.kind, r.decimals, r.thousands, r.unparsed) == ("currency", 2, True, round(4 / 396, 6))
+
+
+def test_a_pair_of_tokens_is_made_one_way(spark):
+    """Counted once by entity, and told both ways."""
+    df = spark.createDataFrame([(i, None if i == 0 else i % 5, "a;b;c" if i % 2 else "b;a;a") for i in range(40)], "r int, e int, s string")
+    found = entities.cooccurrence(df, "e", "r", "s", k=5)
+    assert "countdistinct" not in (plan := found._jdf.queryExecution().analyzed().toString().lower()) and "count(distinct" not in plan
+    got = {(r.a, r.b): (r.joint, r.entities) for r in found.collect()}
+    assert got == {("a", "b"): (40, 5), ("b", "a"): (40, 5), ("a", "c"): (20, 5), ("b", "c"): (20, 5)}  # c has too few rows to be told of
