@@ -2,52 +2,76 @@
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import ceil, log, log2
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.seeds import normal, uniform
 from plumbline.functions.stats import safe
+from plumbline.operators import binned
 from plumbline.operators.metrics import auroc
 from plumbline.operators.sampling import split
+from plumbline.sources.shared import written
 
 SEED = 20_260_731
 MIN_SKILL = 0.02
 
 
-def _skill(scored: DataFrame, target: str, base: float) -> float:
-    r = scored.agg(F.sum((F.col(target) - F.col("prediction")) ** 2).alias("sse"), F.sum((F.col(target) - base) ** 2).alias("all")).first()
-    return 1 - r.sse / r["all"] if r["all"] else 0.0
+# Stripes of a hash within which values change places, and the rows of a stripe's range in expectation.
+STRIPES, RANGE = 64, 50_000
 
 
 def explain(df: DataFrame, entity: str, row: str, target: str, parents: list[str], holdout: float = 0.3, trees: int = 20) -> DataFrame:
     """(parent, skill, importance): the model's skill on held-out entities, and what of it is lost when a parent's values change places.
 
-    Values change places by a join on their order by a hash, among held-out rows, so the
-    answer depends on keys and the seed alone.
+    Values change places in their order by a hash, among held-out rows, so the answer
+    depends on keys, values and the seed alone.  Rows are counted by the bins that trees
+    tell apart: the model is fitted and judged on cells.
     """
-    known = df.select(entity, row, F.col(target).cast("double").alias(target), *[F.col(p).cast("double").alias(p) for p in parents]).dropna()
-    test, train = split(known, entity, holdout, SEED)
-    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, maxDepth=4, seed=SEED)
-    shape = VectorAssembler(inputCols=parents, outputCol="features")
-    fitted = model.fit(shape.transform(train.select(*parents, target)))
-    base = train.agg(F.avg(target)).first()[0] or 0.0
-    skill = _skill(fitted.transform(shape.transform(test)), target, base)
-    out = []
-    for p in parents:
-        # each row takes the value of the row that follows it by a hash, within stripes of the hash
-        stripe = F.floor(uniform(SEED, F.col(row), p) * 64)
-        w = Window.partitionBy("_stripe").orderBy(F.xxhash64(F.col(row), F.lit(p)), row)
-        mixed = test.withColumn("_stripe", stripe).withColumn("_next", F.coalesce(F.lead(p).over(w), F.first(p).over(w))).withColumn(p, F.col("_next"))
-        out.append((p, skill, skill - _skill(fitted.transform(shape.transform(mixed)), target, base)))
+    held = uniform(SEED, F.col("_e")) < holdout  # the rows that ``split`` holds out
+    known = df.select(F.col(entity).alias("_e"), F.col(row).alias("_r"), F.col(target).cast("double").alias("_y"), *[F.col(p).cast("double").alias(p) for p in parents]).dropna()
+    rows = written(known.select("_y", *parents, held.alias("_held"), F.when(held, F.col("_r")).alias("_r")), "rows")  # read three times
+    edges = binned.thresholds(rows.where("not _held"), parents)
+    by = {f"_b{i}": binned.place(F.col(p), edges[p]) for i, p in enumerate(parents)}
+    counted = binned.cells(rows, {"_held": F.col("_held"), **by}, ["_y"])
+    test, train = counted.where("_held"), counted.where("not _held")
+    model = binned.fit(train, list(by), 0, trees, 4, SEED)
+    n, base, varies = binned.spread(test, 1)[0], binned.spread(train, 1)[1][0], binned.spread(counted, 1)[2][0]
+    total = binned.squared_error(test.withColumn("prediction", F.lit(base)), 0) if varies else 0.0
+
+    def skill(cells: DataFrame) -> float:
+        return 1 - binned.squared_error(model.transform(binned.assembled(cells, list(by))), 0) / total if total else 0.0
+
+    whole, moved = skill(test), _moved(rows.where("_held").withColumns(by), list(by), parents, n)
+    out = [(p, whole, whole - skill(moved.where(F.col("_p") == i))) for i, p in enumerate(parents)]
     return df.sparkSession.createDataFrame(out, "parent string, skill double, importance double").withColumn("claimed", (F.col("skill") >= MIN_SKILL) & (F.col("importance") >= 0.002))
 
 
+def _moved(rows: DataFrame, bins: list[str], parents: list[str], n: int) -> DataFrame:
+    """Cells of all ``n`` rows for each parent, ``_p``, whose bin is that of the row that follows by a hash, within stripes of another; a stripe's last row takes its first one's.
+
+    Stripes are parted into ranges of the hash, the more the more rows: a range's last row
+    alone looks beyond it, at the first one of the next.  Rows of one key are in the order
+    of a hash of their values.
+    """
+    bits = max(0, ceil(log2(max(1, n) / (STRIPES * RANGE))))
+    draws = [F.struct(F.lit(i).alias("_p"), F.floor(uniform(SEED, F.col("_r"), p) * STRIPES).alias("_stripe"), F.xxhash64(F.col("_r"), F.lit(p)).alias("_h"), F.xxhash64("_y", *parents, F.lit(p)).alias("_t"), F.col(b).alias("_own")) for i, (p, b) in enumerate(zip(parents, bins, strict=True))]
+    each = rows.select("_y", *bins, F.inline(F.array(*draws))).withColumn("_range", F.shiftright("_h", 64 - bits) if bits else F.lit(0).cast("long"))
+    w = Window.partitionBy("_p", "_stripe", "_range").orderBy("_h", "_t")
+    near = each.withColumns({"_next": F.lead("_own").over(w), "_first": F.first("_own").over(w)})
+    end = F.when(F.col("_next").isNull(), F.struct("_stripe", "_range", "_first"))
+    turned = {b: F.when(F.col("_p") == i, F.col("_next")).otherwise(F.col(b)) for i, b in enumerate(bins)}
+    counted = binned.cells(near, {"_p": F.col("_p"), "_end": end, **turned}, ["_y"])
+    ends = Window.partitionBy("_p", "_end._stripe").orderBy("_end._range")  # a row a range
+    beyond = F.coalesce(F.lead("_end._first").over(ends), F.first("_end._first").over(ends))
+    last = counted.where("_end is not null").withColumn("_next", beyond)
+    return counted.where("_end is null").unionByName(last.withColumns({b: F.coalesce(b, "_next") for b in bins}).drop("_next"))
+
+
 def ar1(df: DataFrame, entity: str, order: list[str], rho: float, seed: int = SEED) -> DataFrame:
     """Adds a standard normal series of each entity with lag-1 correlation ``rho``, from hashed draws in row order.
 
