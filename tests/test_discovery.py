@@ -54,8 +54,8 @@ def test_explained_as_by_rows(spark, monkeypatch):
     assert few.claimed and kept[-1] <= 32 * 7
 
 
-def test_a_range_alone_is_sorted(spark, monkeypatch):
-    """Few values a stripe, or none: the last takes the first's."""
+def test_moves_keep_all_values(spark, monkeypatch):
+    """Few rows a stripe, or none: the last takes the first's."""
     rows = _rows(spark, 400).withColumn("_y", F.col("y")).withColumn("_r", F.col("r")).withColumn("_b0", F.col("c").cast("int"))
     for size in (50_000, 1):
         monkeypatch.setattr(discovery, "RANGE", size)
