@@ -28,6 +28,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(*BATCH)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """One side of a join neither side of which is sent whole to all: Spark takes what an explode or a Python function makes for no larger than what goes in, and a file for as large as it is compressed."""
+    return df.hint("merge")
+
+
 def tidy() -> None:
     """Gives memory that a Python worker has freed back to the system; the worker lives on for other tasks."""
     pa.default_memory_pool().release_unused()

@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow, forget, free_name, tidy
+from plumbline.llm.common import arrow, by_merge, forget, free_name, tidy
 from plumbline.llm.components import components
 from plumbline.sources.shared import written
 
@@ -130,7 +130,7 @@ def _meetings(points: DataFrame, distance: int) -> DataFrame:
         spots = [F.struct(F.lit(i).cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.lit(~b).cast("long")).alias("rest")) for i, b in enumerate(bits)]
     spread = points.select("fp", F.explode(F.array(*spots)).alias("at"))
     least = spread.groupBy("at").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1")
-    return spread.join(least, "at").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v")).distinct()
+    return by_merge(spread).join(least, "at").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def links(points: DataFrame, distance: int = DISTANCE, busy: int = BUSY) -> DataFrame:
@@ -141,10 +141,10 @@ def links(points: DataFrame, distance: int = DISTANCE, busy: int = BUSY) -> Data
     points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = _signatures(points, (distance + 2) // 2)
     sizes = signed.groupBy("bit", "rest").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(signed.join(sizes, ["bit", "rest"]), "signatures")
+    met = written(by_merge(signed).join(sizes, ["bit", "rest"]), "signatures")
     few = met.where(F.col("n") <= busy)
     other = few.select("bit", "rest", F.col("fp").alias("v"))
-    pairs = few.join(other, ["bit", "rest"]).where((F.col("fp") > F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= distance))
+    pairs = by_merge(few).join(other, ["bit", "rest"]).where((F.col("fp") > F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= distance))
     found = pairs.select(F.col("fp").alias("u"), "v").distinct()
     return found.union(_meetings(met.where(F.col("n") > busy).select("fp").distinct(), distance))
 
@@ -154,11 +154,11 @@ def members(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     docs = written(df.select(F.col(f"`{key}`").alias("id"), fingerprints(df[f"`{text}`"], words, seed).alias("fp")), "fingerprints")
     prints = docs.groupBy("fp").agg(F.min("id").alias("id"))
     roots = components(links(prints.select("fp"), distance))
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    rooted = by_merge(prints).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     # a group's root is a fingerprint; its name is the smallest id below it
     named = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    where = rooted.join(named, "root").select("fp", "component_id")
-    return docs.join(where, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    where = by_merge(rooted).join(named, "root").select("fp", "component_id")
+    return by_merge(docs).join(where, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", **how: int) -> DataFrame:
