@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add, arrow, ASCII_SPACE, free_name
+from plumbline.llm.common import add, arrow, ASCII_SPACE, by_merge, free_name
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -66,7 +66,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("byte"))
     common = common.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("byte") for i in range(SALTS)])))
     drops = (
-        lines.join(common, ["h1", "h2", "salt"])
+        by_merge(lines).join(common, ["h1", "h2", "salt"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc").alias(doc))
         .agg(F.collect_set(F.struct("h1", "h2")).alias(gone))

@@ -187,9 +187,9 @@ def _sketch(text: str | None, words: int, seed: int) -> dict:
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the edges (u, v) whose sets are similar: each v's set is read once, then those of its u, in a sorted stream."""
     sizes = edges.groupBy("v").agg(F.count("*").alias("n"))
-    parted = edges.join(sizes, "v").select("u", "v", F.when(F.col("n") > MANY, F.pmod(F.xxhash64("u"), F.lit(PARTS))).otherwise(0).cast("int").alias("part"))
+    parted = by_merge(edges).join(sizes, "v").select("u", "v", F.when(F.col("n") > MANY, F.pmod(F.xxhash64("u"), F.lit(PARTS))).otherwise(0).cast("int").alias("part"))
     heads = parted.select("v", "part").distinct().select(F.col("v").alias("node"), "v", "part", F.lit(0).alias("at"))
-    rows = heads.union(parted.select(F.col("u").alias("node"), "v", "part", F.lit(1).alias("at"))).join(sets, "node")
+    rows = by_merge(heads.union(parted.select(F.col("u").alias("node"), "v", "part", F.lit(1).alias("at")))).join(sets, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint32)
@@ -258,7 +258,7 @@ def _similar(shared: DataFrame, sets: DataFrame, similarity: float) -> list[Data
     """Links of similar nodes, from the band values that they share: all of small ones, of large ones those with their heads."""
     at = ["band", "value"]
     few = shared.where(F.col("n") <= FEW).select(*at, "node")
-    pairs = few.alias("a").join(few.alias("b"), at).where("a.node > b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    pairs = by_merge(few.alias("a")).join(few.alias("b"), at).where("a.node > b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     links = [written(_verified(pairs, sets, similarity), "similar")]
     now, heads_of = written(shared.where(F.col("n") > FEW).select(*at, "node", "n", F.xxhash64("node").alias("h"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("root")), "busy"), HEADS
     while not now.isEmpty():
@@ -270,10 +270,10 @@ def _similar(shared: DataFrame, sets: DataFrame, similarity: float) -> list[Data
         parts = F.when(F.col("n") > MANY, PARTS).otherwise(1)
         first = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).withColumn("at", F.lit(0))
         rest = now.withColumn("part", F.pmod(F.col("h"), parts).cast("long")).withColumn("at", F.lit(1))
-        met = written(_led(first.union(rest.select(first.columns)).join(sets, "node"), similarity), "similar")
+        met = written(_led(by_merge(first.union(rest.select(first.columns))).join(sets, "node"), similarity), "similar")
         links.append(met.select(F.col("node").alias("u"), "v"))
         closed = met.select(*at, "node").union(heads.select(*at, "node")).distinct().withColumn("closed", F.lit(True))
-        left = now.join(closed, [*at, "node"], "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
+        left = by_merge(now).join(closed, [*at, "node"], "left").withColumn("open", F.col("open") & F.col("closed").isNull()).drop("closed")
         last, now = now, written(left.join(left.where("open").select(*at).distinct(), at, "left_semi").select(now.columns), "busy")
         forget(last)
         heads_of = min(8 * heads_of, MOST_HEADS)
@@ -284,12 +284,12 @@ def _similar(shared: DataFrame, sets: DataFrame, similarity: float) -> list[Data
 def _between(shared: DataFrame, sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame | None:
     """Links of similar nodes of different groups that share a large band value; None where each such value has one group."""
     at = ["band", "value"]
-    named = shared.where(F.col("n") > FEW).select(*at, "node").join(rooted.select("node", "root"), "node")
+    named = by_merge(shared.where(F.col("n") > FEW).select(*at, "node")).join(rooted.select("node", "root"), "node")
     sizes = named.groupBy(*at, "root").agg(F.count("*").alias("m"))
     several = sizes.groupBy(*at).agg(F.count("*").alias("groups"), F.max_by("root", F.struct("m", "root")).alias("largest")).where("groups > 1").drop("groups")
     # sets that are similar differ in size by a factor of 1 / similarity at most, so by one bucket
     bucket = F.floor(F.log(F.greatest(F.octet_length("shingles") / 4, F.lit(1.0))) / (-np.log(similarity) + 1e-9)).cast("int")
-    rows = written(named.join(several, at).join(sets.select("node", bucket.alias("bucket")), "node").withColumns({"h": F.xxhash64("node"), "open": F.lit(False)}), "between")
+    rows = written(named.join(several, at).join(by_merge(sets.select("node", bucket.alias("bucket"))), "node").withColumns({"h": F.xxhash64("node"), "open": F.lit(False)}), "between")
     if rows.isEmpty():
         forget(rows)
         return None
@@ -298,9 +298,9 @@ def _between(shared: DataFrame, sets: DataFrame, rooted: DataFrame, similarity:
     part = F.xxhash64("bucket", "chunk")
     columns = [*at, "node", "h", "open", "root"]
     first = heads.join(cells, [*at, "bucket"]).withColumn("chunk", F.pmod("h", F.col("chunks")).cast("int")).select(*columns, part.alias("part"), F.lit(0).alias("at"))
-    near = rows.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)]))).join(cells, [*at, "bucket"])
+    near = by_merge(rows.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])))).join(cells, [*at, "bucket"])
     rest = near.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns, part.alias("part"), F.lit(1).alias("at"))
-    found = written(_led(first.union(rest).join(sets, "node"), similarity).select(F.col("node").alias("u"), "v").distinct(), "similar")
+    found = written(_led(by_merge(first.union(rest)).join(sets, "node"), similarity).select(F.col("node").alias("u"), "v").distinct(), "similar")
     forget(rows)
     return found
 
@@ -322,17 +322,17 @@ def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words:
     edges = docs.select("node", "fp").distinct().join(prints.withColumnRenamed("node", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
     near = links(prints.select("fp"), distance)
     for a in ("u", "v"):
-        near = near.join(prints.select(F.col("fp").alias(a), F.col("node").alias(f"{a}_node")), a)
+        near = by_merge(near).join(prints.select(F.col("fp").alias(a), F.col("node").alias(f"{a}_node")), a)
     edges = edges.union(near.select("u_node", "v_node"))
     held = points.select("node", F.posexplode("bands").alias("band", "value"))
     met = held.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(held.join(met, ["band", "value"]), "bands")
+    shared = written(by_merge(held).join(met, ["band", "value"]), "bands")
     found = _similar(shared, sets, similarity)
     for one in found:
         edges = edges.union(one)
 
     def named(links: DataFrame) -> DataFrame:
-        return written(points.select("node", "id").join(components(links).select("node", "root"), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
+        return written(by_merge(points.select("node", "id")).join(components(links).select("node", "root"), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "rooted")
 
     rooted = named(edges)
     if (more := _between(shared, sets, rooted, similarity)) is not None:

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, simhash
+from plumbline.llm import components, linededup, simhash
 
 
 def _depth(line):
@@ -13,13 +13,19 @@ def _depth(line):
 
 
 def broadcast(plan):
-    """What is below each broadcast of a plan that ran."""
+    """What is below each broadcast of a plan that ran, down to exchanges whose rows Spark has sized when they were made."""
     lines = plan.rpartition("== Final Plan ==")[2].partition("== Initial Plan ==")[0].split("\n\n")[0].split("\n")
     for i, line in enumerate(lines):
         if "BroadcastExchange" in line:
-            below = lines[i + 1 :]
-            ends = next((k for k, x in enumerate(below) if _depth(x) <= _depth(line)), len(below))
-            yield "\n".join(below[:ends])
+            kept, known = [], None
+            for x in lines[i + 1 :]:
+                if _depth(x) <= _depth(line):
+                    break
+                known = None if known is not None and _depth(x) <= known else known
+                if known is None:
+                    kept.append(x)
+                    known = _depth(x) if "ShuffleQueryStage" in x else None
+            yield "\n".join(kept)
 
 
 @contextmanager
@@ -54,3 +60,15 @@ def test_signatures_and_edges(spark, busy):
     with sent(spark) as out:
         groups = components.components(simhash.links(points, busy=busy)).count()
     assert not out and groups
+
+
+def test_stages_send_no_rows_made_by_tasks(spark, sf):
+    """Lines and salts, signatures, bands and their heads: each in its own join."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    crowd = spark.range(60).select((F.col("id") + 10**6).alias("doc_id"), F.concat(F.lit(" ".join(f"w{i}" for i in range(60)) + " "), F.concat_ws(" ", *[F.concat(F.lit("v"), F.floor(F.col("id") / d).cast("string")) for d in (1, 2, 8)])).alias("text"))
+    docs = docs.select("doc_id", "text").union(crowd)
+    with sent(spark) as out:
+        linededup.dedup(docs).write.format("noop").mode("overwrite").save()
+        kept = simhash.keep_similar(docs).count()
+    assert 0 < kept < docs.count()
+    assert not [x for x in out if "Generate" in x or "MapInArrow" in x]
