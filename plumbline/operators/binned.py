@@ -10,6 +10,7 @@ from functools import reduce
 from itertools import pairwise
 from math import isqrt
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +29,7 @@ def thresholds(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
     Values are counted; where they are more than ``PARTS``, neighbours that begin in the
     same part of the rows' order go together, so a split is out by a part at most.
     """
-    counts = written(df.select(*columns).unpivot([], columns, "c", "x").groupBy("c", "x").agg(F.count("*").alias("n")), "values")
+    counts = written(df.select(*columns).unpivot([], columns, "c", "x").where("x is not null").groupBy("c", "x").agg(F.count("*").alias("n")), "values")
     sizes = {r.c: r for r in counts.groupBy("c").agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()}
     many = [c for c in columns if c in sizes and sizes[c].d > PARTS]
     parts = [counts.where(~F.col("c").isin(many)).select("c", F.col("x").alias("low"), F.col("x").alias("high"), "n")]
@@ -109,3 +110,16 @@ def fit(held: DataFrame, bins: list[str], i: int, trees: int, depth: int, seed:
     shaped = assembled(merged, bins).select("_x", "_y", "_n").coalesce(1 + k // CELLS)
     # so many bins that no cell is left out where Spark looks for splits: it samples above their square
     return GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_n", maxIter=trees, maxDepth=depth, maxBins=max(BINS, isqrt(k) + 1), seed=seed).fit(shaped)
+
+
+def classify(held: DataFrame, bins: list[str], trees: int, depth: int, seed: int):
+    """The model of a class by bins, fitted on cells with ``ones`` and ``zeros`` rows; both classes weigh the same, however many rows they have.  None where one is absent."""
+    merged = written(held.groupBy(*bins).agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")), "fit")
+    one = merged.agg(F.count("*").alias("k"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).first()
+    if not one.ones or not one.zeros:
+        return None
+    half = (one.ones + one.zeros) / 2
+    sides = F.array(*[F.struct(F.lit(y).alias("_y"), (F.col(c) * (half / one[c])).alias("_n")) for y, c in ((1.0, "ones"), (0.0, "zeros"))])
+    rows = merged.select(*bins, F.inline(sides)).where("_n > 0")
+    shaped = assembled(rows, bins).select("_x", "_y", "_n").coalesce(1 + 2 * one.k // CELLS)
+    return GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_n", maxIter=trees, maxDepth=depth, maxBins=max(BINS + 1, isqrt(2 * one.k) + 1), seed=seed).fit(shaped)

@@ -12,7 +12,17 @@ from plumbline.operators.ranks import average_ranks, with_ranks
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney by average ranks; ties count half; null if one class is absent."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("s"), (F.col(label) > 0).cast("int").alias("y"))
-    r = with_ranks(known, "s", "rank").agg(F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives"), F.sum(F.col("y") * F.col("rank")).alias("r"))
+    return _mann_whitney(with_ranks(known, "s", "rank").agg(F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives"), F.sum(F.col("y") * F.col("rank")).alias("r")))
+
+
+def counted_auroc(df: DataFrame, score: str, ones: str, zeros: str) -> DataFrame:
+    """``auroc`` of rows that are counted by class for each score."""
+    each = df.groupBy(F.col(score).alias("s")).agg(F.sum(ones).alias("y"), F.sum(zeros).alias("x"))
+    ranks = average_ranks(each.withColumn("n", F.col("y") + F.col("x")), "s", weight="n").select(F.col("s").alias("v"), "rank")
+    return _mann_whitney(each.join(ranks, F.col("s") == F.col("v")).agg(F.sum("y").alias("positives"), F.sum("x").alias("negatives"), F.sum(F.col("y") * F.col("rank")).alias("r")))
+
+
+def _mann_whitney(r: DataFrame) -> DataFrame:
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
     a = safe(F.col("r") - p * (p + 1) / 2, p * n)
     se = hanley(a, p, n)

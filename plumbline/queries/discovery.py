@@ -16,8 +16,10 @@ def discover_parents(spark, sf):
 
 @query("distinguishability")
 def distinguishability(spark, sf):
+    """Lines of even and odd orders: how well boosted trees tell them apart, within the range of the odd ones as well, and by which columns."""
     lines = table(spark, sf, "lineitem").withColumn("row", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return d.distinguishable(lines.where("l_orderkey % 2 = 0"), lines.where("l_orderkey % 2 = 1"), ["l_quantity", "l_extendedprice", "l_discount"], "row")
+    out = d.distinguishable(lines.where("l_orderkey % 2 = 0"), lines.where("l_orderkey % 2 = 1"), ["l_quantity", "l_extendedprice", "l_discount"], "row")
+    return out.withColumns({c: F.round(c, 4) for c in ("blame", "beyond")})
 
 
 @query("ar1_generate")

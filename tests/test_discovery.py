@@ -1,11 +1,13 @@
 """What explains what, against models fitted on rows and values that change places row by row."""
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from plumbline.functions.seeds import normal, uniform
-from plumbline.operators import discovery
+from plumbline.operators import discovery, metrics
 from plumbline.operators.sampling import split
 
 PARENTS, TREES = ["a", "b", "c"], 4
@@ -74,3 +76,43 @@ def test_rows_of_one_key_in_any_layout(spark):
 def test_nothing_to_explain(spark):
     flat = discovery.explain(_rows(spark, 500).withColumn("y", F.lit(0.1)), "e", "r", "y", PARENTS, trees=TREES).collect()
     assert [(r.skill, r.importance, r.claimed) for r in flat] == [(0.0, 0.0, False)] * 3
+
+
+def _sides(spark, n=4_000):
+    """Alike but for how ``a`` and ``b`` go together, and for ends of ``c`` that only the first has."""
+    x = {k: F.floor(uniform(i, F.col("id")) * 8).cast("double") for i, k in enumerate(PARENTS, 5)}
+    rows = spark.range(2 * n).select(F.concat(F.lit("r"), "id").alias("r"), (F.col("id") % 2 == 0).alias("real"), *[v.alias(k) for k, v in x.items()])
+    rows = rows.withColumns({"b": F.when(F.col("real"), F.when((F.col("a") < 4) == (F.col("b") < 4), F.col("b")).otherwise(7 - F.col("b"))).otherwise(F.col("b")), "c": F.when(F.col("real") & (F.col("c") == 7), 20.0).otherwise(F.col("c"))}).localCheckpoint()
+    return rows.where("real"), rows.where("not real").limit(n // 2).localCheckpoint()
+
+
+def test_tables_told_apart_as_by_rows(spark):
+    """What no column shows alone is found; ends that only one side has count in one figure and not in the other."""
+    real, made = _sides(spark)
+    got = {r.column_name: r for r in discovery.distinguishable(real, made, PARENTS, "r", 8, 4).collect()}
+    whole = got.pop(None)
+    shape = VectorAssembler(inputCols=PARENTS, outputCol="x")
+    test, train = split(real.withColumn("y", F.lit(1)).union(made.withColumn("y", F.lit(0))), "r", 0.3, discovery.SEED)
+    weigh = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    train = train.withColumn("w", F.when(F.col("y") == 1, F.lit(sum(weigh.values()) / 2 / weigh[1])).otherwise(sum(weigh.values()) / 2 / weigh[0]))
+    rows = GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=8, maxDepth=5, seed=discovery.SEED).fit(shape.transform(train))
+    want = metrics.auroc(rows.transform(shape.transform(test)).withColumn("p", vector_to_array("probability")[1]), "p", "y").first()
+    assert (whole.positives, whole.negatives) == (want.positives, want.negatives) and abs(whole.auroc - want.auroc) < 0.01
+    assert whole.auroc > whole.within + 0.01 > 0.7 and whole.verdict == "distinguishable"
+    assert all(abs(got[p].within - 0.5) < 0.05 for p in "abc")
+    assert abs(sum(r.blame for r in got.values()) - 1) < 1e-9 and min(got["a"].blame, got["b"].blame) > got["c"].blame
+    assert got["a"].beyond == 0 and abs(got["c"].beyond - 1 / 8) < 0.02
+
+
+def test_missing_values_and_empty_sides(spark):
+    real, made = _sides(spark, 600)
+    gone = discovery.distinguishable(real.withColumn("a", F.when(F.col("b") > 1, F.col("a"))), made, ["a"], "r", 4, 4).collect()
+    assert all(0.56 < r.within < 0.7 for r in gone)  # a quarter is missing and gone[0].positives + gone[0].negatives > 200
+    none = discovery.distinguishable(real, made.limit(0), ["a"], "r", 4, 4).collect()
+    assert [(r.auroc, r.within, r.verdict) for r in none] == [(None, None, None)] * 2
+
+
+def test_counted_scores_as_rows(spark):
+    rows = spark.range(500).select((F.col("id") % 37 % 11).alias("p"), (F.col("id") % 3 == F.col("id") % 5).cast("int").alias("y"))
+    cells = rows.groupBy("p", (F.col("p") % 2).alias("z")).agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
+    assert metrics.counted_auroc(cells, "p", "ones", "zeros").first() == metrics.auroc(rows, "p", "y").first()
