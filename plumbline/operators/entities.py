@@ -17,7 +17,11 @@ KNOTS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 def safe_bounds(df: DataFrame, entity: str, value: str, k: int = K) -> DataFrame:
     """Means of the k smallest minima and the k largest maxima of entities; null below 2k entities."""
-    per = df.where(F.col(value).isNotNull()).groupBy(entity).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return bounds_of(df.where(F.col(value).isNotNull()).groupBy(entity).agg(F.min(value).alias("low"), F.max(value).alias("high")), k)
+
+
+def bounds_of(per: DataFrame, k: int = K) -> DataFrame:
+    """``safe_bounds`` from the least and greatest value, ``low`` and ``high``, of each entity."""
     low = per.orderBy("low").limit(k).agg(F.avg("low").alias("low"))
     high = per.orderBy(F.desc("high")).limit(k).agg(F.avg("high").alias("high"))
     out = per.agg(F.count("*").alias("entities")).crossJoin(low).crossJoin(high)  # a row each

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import seeds
+from plumbline.operators.entities import bounds_of
 from plumbline.operators.entities import levels as level_table
-from plumbline.operators.entities import safe_bounds
 from plumbline.operators.tails import k_knots
+from plumbline.sources.shared import written
 
 GRID = [0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
@@ -34,15 +35,17 @@ def fit(df: DataFrame, entity: str, numeric: list[str], levels: list[str], k: in
     mean of the rows around its place that k entities are among.
     """
     out = {}
-    for c in numeric:
-        x = F.col(c).cast("double")
-        one = df.agg(F.avg(x.isNotNull().cast("double")).alias("p"), F.bool_and(x == F.floor(x)).alias("w")).first()
-        ends = safe_bounds(df.withColumn("_x", x), entity, "_x", k).first()
+    if numeric:  # of all numbers at a time: entities are grouped once
+        xs = [F.col(c).cast("double") for c in numeric]
+        one = df.agg(*[f for i, x in enumerate(xs) for f in (F.avg(x.isNotNull().cast("double")).alias(f"p{i}"), F.bool_and(x == F.floor(x)).alias(f"w{i}"))]).first()
+        per = written(df.groupBy(F.col(entity).alias("_e")).agg(*[f for i, x in enumerate(xs) for f in (F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}"))]), "ends")
+    for i, c in enumerate(numeric):
+        ends = bounds_of(per.select(F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high")).where("low is not null"), k).first()
         if ends.low is None:
             continue  # too few entities to publish anything
         inner = {r.q: r.v for r in k_knots(df, entity, c, [entity], GRID[1:-1], k).collect()}
         values = [ends.low, *[min(max(inner[q], ends.low), ends.high) for q in GRID[1:-1]], ends.high]
-        out[c] = Marginal(one.p, list(zip(GRID, values, strict=True)), bool(one.w))
+        out[c] = Marginal(one[f"p{i}"], list(zip(GRID, values, strict=True)), bool(one[f"w{i}"]))
     for c in levels:
         rows = level_table(df, entity, c, k).orderBy(F.desc("n_rows"), "level").limit(most).collect()
         if rows:
@@ -63,7 +66,7 @@ def draw(rows: DataFrame, row: str, marginals: dict[str, Marginal], seed: int) -
             x = F.bround(x).cast("double") if m.whole else x
         else:
             x = seeds.pick(m.levels, m.weights, u)
-        made[c] = F.when(seeds.uniform(seed, F.col(row), c, "present") < m.coverage, x)
+        made[c] = x if m.coverage >= 1 else F.when(seeds.uniform(seed, F.col(row), c, "present") < m.coverage, x)  # draws are below 1
     return rows.withColumns(made).drop(*names.values())
 
 

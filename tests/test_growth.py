@@ -99,3 +99,20 @@ def test_a_pair_of_tokens_is_made_one_way(spark):
     assert "countdistinct" not in (plan := found._jdf.queryExecution().analyzed().toString().lower()) and "count(distinct" not in plan
     got = {(r.a, r.b): (r.joint, r.entities) for r in found.collect()}
     assert got == {("a", "b"): (40, 5), ("b", "a"): (40, 5), ("a", "c"): (20, 5), ("b", "c"): (20, 5)}  # c has too few rows to be told of
+
+
+def test_marginals_group_entities_once_and_draw_no_needless_presence(spark, monkeypatch):
+    """Ends of all columns come from one table of entities and are those of each column alone; a column without gaps draws values only."""
+    rows = spark.range(600).select((F.col("id") % 40).alias("e"), F.concat(F.lit("r"), "id").alias("row"), (F.col("id") % 97).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") * 1.5).alias("b"), F.lit(None).cast("double").alias("c"))
+    grouped, own = [], blueprint.written
+    monkeypatch.setattr(blueprint, "written", lambda df, name: grouped.append(name) or own(df, name))
+    found = blueprint.fit(rows, "e", ["a", "b", "c"], [])
+    assert grouped == ["ends"] and list(found) == ["a", "b"] and (found["a"].coverage, found["b"].coverage) == (1.0, 0.8)
+    for c in "ab":
+        ends = entities.safe_bounds(rows, "e", c).first()
+        assert (found[c].knots[0][1], found[c].knots[-1][1]) == (ends.low, ends.high)
+    made = blueprint.draw(rows.select("row"), "row", found, 7)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "a:present" not in plan.replace(", ", ":") and "b:present" in plan.replace(", ", ":")
+    was = seeds.uniform(7, F.col("row"), "a", "present") < 1.0
+    assert made.where(~was | F.col("a").isNull()).count() == 0 and 0 < made.where("b is null").count() < 200
